@@ -9,8 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Entries that a worker's memos hold before they start anew: a bound of its memory.
-MEMO = 400_000
+#: Entries that each of a memo's two generations holds: a bound of a worker's memory.
+MEMO = 250_000
 LONG_PIECE = 64  # longer pieces are not remembered
 #: Unicode's white space. The split pattern never joins a character with white space after it, so a text
 #: may be cut wherever white space begins and the parts encoded apart.
@@ -47,7 +47,7 @@ class Bpe:
             self.bytes_of[rank] = token
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), (rank, len(token) - 1))
         self.automaton.make_automaton()
         self.prefix = self._prefixes()
         self.pairs: dict[tuple[int, int], int] = {}
@@ -56,8 +56,7 @@ class Bpe:
         self._split_tokens()
         self.texts = [str(rank) for rank in range(len(self.bytes_of))]
         self.cut = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
-        self.pieces = _Memo(lambda piece: self.encode_piece(piece.encode("utf-8", "surrogatepass")))
-        self.words = _Memo(lambda word: [t for piece in self.find(word) for t in self.pieces[piece]])
+        self.words = _Memo(self._encode_word)
 
     def _prefixes(self) -> list[int]:
         """For each token the longest token that is a proper prefix of it, or -1."""
@@ -111,21 +110,30 @@ class Bpe:
         self.memo_pairs[key] = answer
         return answer
 
+    def _encode_word(self, word: str) -> list[int]:
+        """The tokens of all matches of the pattern in a run of white space and what follows it up to the next."""
+        found = self.find(word)
+        if len(found) == 1:
+            return self.encode_piece(word.encode("utf-8", "surrogatepass"))
+        return [t for piece in found for t in self.words[piece]]  # a match is its own only match
+
     def encode_piece(self, piece: bytes) -> list[int]:
         """The tokens of one piece of text."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
+        adjacent = self.adjacent
+        text = piece.decode("latin-1")
+        greedy = [rank for _, (rank, _) in self.automaton.iter_long(text)]
+        if all(map(adjacent, greedy, greedy[1:])) and sum(map(len, map(self.bytes_of.__getitem__, greedy))) == len(piece):
+            return greedy  # longest matches that may all be adjacent: nothing to step back from
         n = len(piece)
         longest = [-1] * n
-        reach = [0] * n
-        for last, (rank, size) in self.automaton.iter(piece.decode("latin-1")):
-            first = last - size + 1
-            if size > reach[first]:
-                reach[first], longest[first] = size, rank
+        for last, (rank, back) in self.automaton.iter(text):
+            longest[last - back] = rank  # matches come by their ends, so the longest is the last to stay
         out: list[int] = []
         dead = bytearray(n + 1)
         at, token = 0, longest[0]
-        prefix, bytes_of, adjacent = self.prefix, self.bytes_of, self.adjacent
+        prefix, bytes_of = self.prefix, self.bytes_of
         while at < n:
             while token >= 0:
                 end = at + len(bytes_of[token])
@@ -155,15 +163,19 @@ class Bpe:
 
 
 class _Memo(dict):
-    """What ``make`` gave for the short strings seen before."""
+    """What ``make`` gave for the short strings seen before, in two generations: what the older one still gives moves on."""
 
     def __init__(self, make):
         self.make = make
+        self.older: dict = {}
 
     def __missing__(self, piece: str) -> list[int]:
-        ids = self.make(piece)
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = tuple(self.make(piece))  # tuples of ints: the garbage collector leaves them alone
         if len(piece) <= LONG_PIECE:
             if len(self) >= MEMO:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

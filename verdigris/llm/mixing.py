@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm._common import stage, with_global_rank
@@ -11,8 +11,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 #: Bits of the hash that one histogram resolves, and how many histograms are made, each inside the boundary bucket
-#: of the one before: together all 64 bits.
-BITS, LEVELS = 16, 4
+#: of the one before: together all 60 bits of the hash.
+BITS, LEVELS = 15, 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -45,6 +45,12 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
     return table.select("source", "source_size", F.least(cap, F.lit(unit) * F.col("_weight")).alias("target"))
 
 
+def mix_hash(key: Column) -> Column:
+    """60 bits of the key's MD5 as a long that is never negative; a null key hashes like the empty text."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -63,8 +69,8 @@ def mix_sources(
     each pass shuffles only sums. The boundary bucket is taken if that brings the sum nearer to the target.
 
     Defined results: a null or empty text has size 0 and is taken 0 words (``copies`` still counts it). A null source
-    is a source of its own, last in the order. Equal hashes (repeated rows: same id, source and text) are taken or left together. An
-    empty table gives an empty result. Reruns agree, as the hash depends on id, source and text only.
+    is a source of its own, last in the order. Rows of one source with the same id hash alike and are taken or left
+    together. An empty table gives an empty result. Reruns agree, as the hash depends on the id only.
 
     Returns ``doc_id, size, source_size, target, taken, copies, source``.
     """
@@ -73,7 +79,7 @@ def mix_sources(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)).alias("_hash"),
+            mix_hash(F.col(id_col)).alias("_hash"),
         ),
         "sizes",
     )
@@ -87,12 +93,11 @@ def mix_sources(
     plan = stage(plan.withColumn("_prefix", F.lit(0).cast("long")).withColumn("_under", F.lit(0).cast("long")), "plan")
     key = F.col("source").eqNullSafe(F.col("_source"))
     for level in range(LEVELS):
-        bits = BITS * (level + 1)
-        bucket = F.shiftrightunsigned(F.col("_hash"), 64 - bits) if bits < 64 else F.col("_hash")
+        bucket = F.shiftright(F.col("_hash"), BITS * (LEVELS - 1 - level))
         small = plan.select(F.col("source").alias("_source"), "_prefix")
         inside = sized.join(small, key).withColumn("_bucket", bucket)
         if level:
-            inside = inside.where(F.shiftrightunsigned(F.col("_bucket"), BITS) == F.col("_prefix"))
+            inside = inside.where(F.shiftright(F.col("_bucket"), BITS) == F.col("_prefix"))
         sums = inside.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
         # A bucket's place inside its boundary bucket: at most 2 ** BITS rows a source.
         place = F.col("_bucket").bitwiseAND(2**BITS - 1)
@@ -122,9 +127,7 @@ def mix_sources(
     # Now the prefix is a whole hash; its rows are taken if that ends nearer to the target.
     nearer = (F.col("_left") * 2 > F.col("_last")) & (F.col("_last") > 0)
     rule = plan.select(F.col("source").alias("_source"), "source_size", "target", "_whole", F.col("_prefix").alias("_limit"), nearer.alias("_with"))
-    flip = F.lit(-(2**63)).cast("long")
-    hashed, limit = F.col("_hash").bitwiseXOR(flip), F.col("_limit").bitwiseXOR(flip)  # compares as unsigned
-    more = ((hashed < limit) | ((hashed == limit) & F.col("_with"))).cast("long")
+    more = ((F.col("_hash") < F.col("_limit")) | ((F.col("_hash") == F.col("_limit")) & F.col("_with"))).cast("long")
     copies = F.least(F.col("_whole") + F.when(F.col("_whole") < most, more).otherwise(0), F.lit(most).cast("long"))
     return sized.join(rule, key).select(
         "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source"

@@ -27,10 +27,19 @@ def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(_table(spark, sf_dir, "documents"))
 
 
+def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from verdigris.llm.bpe import bpe_tokens
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_tokens(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm.mixing import mix_sources
 
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_exact_dedup, op7_hilbert_sharding, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_exact_dedup, op7_hilbert_sharding, op9_byte_level_bpe, op10_source_mixing)}
