@@ -77,3 +77,25 @@ def with_global_rank(df: DataFrame, order: list[str], rank: str, name: str) -> D
     # One row for each range partition: as many as spark.sql.shuffle.partitions says, never a share of the data.
     joined = placed.join(F.broadcast(before), "_part")
     return joined.withColumn(rank, F.col("_before") + F.col("_place") - 1).drop("_part", "_place", "_before")
+
+
+def text_slices(column, chars: int = 2_000_000):
+    """The texts of an Arrow column (null: empty) in order, as lists of about so many characters: a bound of memory."""
+    texts, size = [], 0
+    for value in column:
+        texts.append(value.as_py() or "")
+        size += len(texts[-1])
+        if size >= chars:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
+def mix64(x):
+    """Spread the bits of an array of uint64 (the finaliser of splitmix64)."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -15,6 +15,18 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm.near_dedup import near_classes
+
+    return near_classes(_table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm.language_id import language_id
+
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm.exact_dedup import exact_dedup
 
@@ -42,4 +54,4 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_exact_dedup, op7_hilbert_sharding, op9_byte_level_bpe, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_near_dedup, op5_language_id, op6_exact_dedup, op7_hilbert_sharding, op9_byte_level_bpe, op10_source_mixing)}
