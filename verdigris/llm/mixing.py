@@ -51,38 +51,11 @@ def mix_hash(key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def mix_sources(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights=WEIGHTS,
-    share: float = SHARE,
-    most: int = MOST,
-) -> DataFrame:
-    """Say how often the mix takes each document so that each source's words come near its target.
-
-    A document's size is its number of words. A source whose target is ``q`` whole sizes and a remainder takes each of its
-    documents ``q`` times, and once more those whose hash lies under the source's threshold. The thresholds come
-    from histograms: words by source and the top bits of the hash, the bucket in which the remainder is reached,
-    then a histogram of that bucket alone on the next bits, and so on to the last bit. No document is sorted, and
-    each pass shuffles only sums. The boundary bucket is taken if that brings the sum nearer to the target.
+def mix_rule(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """One row for each source of ``sized`` (``source, size, _hash``; staged): how often its documents are taken.
 
-    Defined results: a null or empty text has size 0 and is taken 0 words (``copies`` still counts it). A null source
-    is a source of its own, last in the order. Rows of one source with the same id hash alike and are taken or left
-    together. An empty table gives an empty result. Reruns agree, as the hash depends on the id only.
-
-    Returns ``doc_id, size, source_size, target, taken, copies, source``.
+    ``_whole`` times each document; once more those whose hash lies below ``_limit``, or on it if ``_with``.
     """
-    sized = stage(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            mix_hash(F.col(id_col)).alias("_hash"),
-        ),
-        "sizes",
-    )
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources, weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -126,9 +99,57 @@ def mix_sources(
         )
     # Now the prefix is a whole hash; its rows are taken if that ends nearer to the target.
     nearer = (F.col("_left") * 2 > F.col("_last")) & (F.col("_last") > 0)
-    rule = plan.select(F.col("source").alias("_source"), "source_size", "target", "_whole", F.col("_prefix").alias("_limit"), nearer.alias("_with"))
+    return plan.select(F.col("source").alias("_source"), "source_size", "target", "_whole", F.col("_prefix").alias("_limit"), nearer.alias("_with"))
+
+
+def copies_taken(most: int = MOST) -> Column:
+    """How often a document beside its source's rule is taken."""
     more = ((F.col("_hash") < F.col("_limit")) | ((F.col("_hash") == F.col("_limit")) & F.col("_with"))).cast("long")
-    copies = F.least(F.col("_whole") + F.when(F.col("_whole") < most, more).otherwise(0), F.lit(most).cast("long"))
-    return sized.join(rule, key).select(
+    return F.least(F.col("_whole") + F.when(F.col("_whole") < most, more).otherwise(0), F.lit(most).cast("long"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return stage(
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), mix_hash(F.col(id_col)).alias("_hash")),
+        "sizes",
+    )
+
+
+def mix_sources(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights=WEIGHTS,
+    share: float = SHARE,
+    most: int = MOST,
+) -> DataFrame:
+    """Say how often the mix takes each document so that each source's words come near its target.
+
+    A document's size is its number of words. A source whose target is ``q`` whole sizes and a remainder takes each of its
+    documents ``q`` times, and once more those whose hash lies under the source's threshold. The thresholds come
+    from histograms: words by source and the top bits of the hash, the bucket in which the remainder is reached,
+    then a histogram of that bucket alone on the next bits, and so on to the last bit. No document is sorted, and
+    each pass shuffles only sums. The boundary bucket is taken if that brings the sum nearer to the target.
+
+    Defined results: a null or empty text has size 0 and is taken 0 words (``copies`` still counts it). A null source
+    is a source of its own, last in the order. Rows of one source with the same id hash alike and are taken or left
+    together. An empty table gives an empty result. Reruns agree, as the hash depends on the id only.
+
+    Returns ``doc_id, size, source_size, target, taken, copies, source``.
+    """
+    sized = _sized(docs, id_col, text_col, source_col)
+    rule = mix_rule(sized, weights, share, most)
+    copies = copies_taken(most)
+    return sized.join(rule, F.col("source").eqNullSafe(F.col("_source"))).select(
         "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source"
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of the mix with all their columns: a document as often as it is taken. The texts meet their source's rule where they lie."""
+    rule = mix_rule(_sized(docs, id_col, text_col, source_col)).select("_source", "_whole", "_limit", "_with")
+    ruled = docs.withColumn("_hash", mix_hash(F.col(id_col))).join(rule, F.col(source_col).eqNullSafe(F.col("_source")))
+    repeated = F.explode(F.array_repeat(F.lit(0), copies_taken().cast("int"))).alias("_copy")
+    return ruled.select(*[F.col(f"`{c}`") for c in docs.columns], repeated).drop("_copy")

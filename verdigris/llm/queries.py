@@ -15,12 +15,24 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm.pii import pii_report
+
+    return pii_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm.near_dedup import near_classes
 
     return near_classes(_table(spark, sf_dir, "documents"))
 
 
+def op4_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm.vp_tree import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm.language_id import language_id
 
@@ -39,6 +51,12 @@ def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm.warc import archive_round_trip
+
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,4 +72,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_near_dedup, op5_language_id, op6_exact_dedup, op7_hilbert_sharding, op9_byte_level_bpe, op10_source_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_pii,
+        op3_near_dedup,
+        op4_vantage_point_trees,
+        op5_language_id,
+        op6_exact_dedup,
+        op7_hilbert_sharding,
+        op8_warc,
+        op9_byte_level_bpe,
+        op10_source_mixing,
+    )
+}
