@@ -51,6 +51,11 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows as one struct column ``row``: joins and helper columns can't clash with whatever columns the table has."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts of one byte a character take the fast path; the others map character by character."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

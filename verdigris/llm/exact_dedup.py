@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm._common import ascii_lower, stage
+from verdigris.llm._common import ascii_lower, packed, stage
 
 #: A digest that more than this share of the rows carries is certain to be found as frequent; the Misra-Gries
 #: summary keeps 1 / SUPPORT counters, which is also the bound of the broadcast table.
@@ -72,13 +72,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the survivors are thinned to one by id and digest as well.
     """
     decided = stage(exact_dedup(docs, id_col, text_col), "decided")
-    digest = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
+    digest = F.sha2(ascii_lower(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))).cast("binary"), 256)
     dropped = decided.where(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id")))
     dropped = dropped.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    with_digest = docs.withColumn("_digest", digest)
-    left = with_digest.join(
-        dropped, F.col("_digest").eqNullSafe(F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti"
-    )
+    rows = packed(docs).select("row", digest.alias("_digest"), F.col(f"row.`{id_col}`").alias("_key"))
+    left = rows.join(dropped, F.col("_digest").eqNullSafe(F.col("_sha")) & F.col("_key").eqNullSafe(F.col("_id")), "left_anti")
     if not decided.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty():
-        left = left.dropDuplicates([id_col, "_digest"])
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+        left = left.dropDuplicates(["_key", "_digest"])
+    return left.select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm._common import stage, with_global_rank
+from verdigris.llm._common import packed, stage, with_global_rank
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -150,6 +150,6 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of the mix with all their columns: a document as often as it is taken. The texts meet their source's rule where they lie."""
     rule = mix_rule(_sized(docs, id_col, text_col, source_col)).select("_source", "_whole", "_limit", "_with")
-    ruled = docs.withColumn("_hash", mix_hash(F.col(id_col))).join(rule, F.col(source_col).eqNullSafe(F.col("_source")))
-    repeated = F.explode(F.array_repeat(F.lit(0), copies_taken().cast("int"))).alias("_copy")
-    return ruled.select(*[F.col(f"`{c}`") for c in docs.columns], repeated).drop("_copy")
+    rows = packed(docs).withColumn("_hash", mix_hash(F.col(f"row.`{id_col}`")))
+    ruled = rows.join(rule, F.col(f"row.`{source_col}`").eqNullSafe(F.col("_source")))
+    return ruled.select("row", F.explode(F.array_repeat(F.lit(0), copies_taken().cast("int"))).alias("_copy")).select("row.*")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm._common import mix64, stage, text_slices
+from verdigris.llm._common import mix64, packed, stage, text_slices
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -387,4 +387,4 @@ def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """One row of each near-duplicate class, that of the smallest id, with all its columns; rows with a null id stay."""
     classes = stage(near_classes(docs, id_col, text_col), "near-classes")
     dropped = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_drop"))
-    return docs.join(dropped, F.col(id_col) == F.col("_drop"), "left_anti")
+    return packed(docs).join(dropped, F.col(f"row.`{id_col}`") == F.col("_drop"), "left_anti").select("row.*")
