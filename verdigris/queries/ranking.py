@@ -161,10 +161,10 @@ def _domain(table):
     return rows.withColumn("category", R.domain_category(*columns)).withColumn("factor", R.domain_factor(*columns, True))
 
 
-@query(f"WITH {DOMAIN_SQL} SELECT o_orderkey, category, round(factor::DOUBLE, 4) AS factor, round(base * factor::DOUBLE, 6) AS score FROM b")
+@query(f"WITH {DOMAIN_SQL} SELECT o_orderkey, category, round(factor::DOUBLE, 4) AS factor, round(base * factor::DOUBLE, 4) AS score FROM b")
 def domain_boost(table, spark):
     """Scores raised and lowered by a record's domain."""
-    return _domain(table).select("o_orderkey", "category", F.round("factor", 4).alias("factor"), F.round(F.col("base") * F.col("factor"), 6).alias("score"))
+    return _domain(table).select("o_orderkey", "category", F.round("factor", 4).alias("factor"), F.round(F.col("base") * F.col("factor"), 4).alias("score"))
 
 
 @query(
