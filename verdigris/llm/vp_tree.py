@@ -117,8 +117,9 @@ def norms(rows: np.ndarray) -> np.ndarray:
 
 
 def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Cosines in double precision; a row's value depends on the row and the query alone."""
-    return (rows * query).sum(axis=-1) / (norms(rows) * norms(query))
+    """Cosines in double precision; sums follow the components' order, so a row's value depends on the row and the query alone."""
+    total = lambda x: np.add.accumulate(x, axis=-1)[..., -1]
+    return total(rows * query) / (np.sqrt(total(rows * rows)) * np.sqrt(total(query * query)))
 
 
 def chords(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
