@@ -18,7 +18,7 @@ def tokens(text: Column) -> Column:
 def _accent_table() -> tuple[str, str]:
     """Latin letters with one combining mark after decomposition, and their bare letters: made from a rule."""
     pairs = []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for code in [0xAA, 0xBA, *range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
         split = unicodedata.normalize("NFKD", chr(code))
         bare = "".join(c for c in split if not unicodedata.combining(c))
         if len(bare) == 1 and bare != chr(code):

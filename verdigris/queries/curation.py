@@ -160,3 +160,82 @@ def clause_labels(table, spark):
 def normalized_text(table, spark):
     """Texts without accents and case, by digest."""
     return table("documents").select("doc_id", F.md5(normalize(F.col("text")).cast("binary")).alias("digest"))
+
+
+KIND_SQL = "CASE o_custkey % 3 WHEN 0 THEN 'portaria' WHEN 1 THEN 'decreto' ELSE 'lei' END"
+
+
+@query(f"SELECT o_orderkey, {KIND_SQL} AS kind, (o_orderkey % 900 + 1)::VARCHAR AS number, year(o_orderdate)::INT AS year FROM orders")
+def norm_references(table, spark):
+    """Acts named in texts by kind, number and year."""
+    from verdigris.functions.legal import norm_references
+
+    kind = F.when(F.col("o_custkey") % 3 == 0, "Portaria nº ").when(F.col("o_custkey") % 3 == 1, "Decreto n. ").otherwise("Lei ")
+    said = F.concat(F.lit("Fica revogada a "), kind, (F.col("o_orderkey") % 900 + 1).cast("string"), F.lit("/"), F.year("o_orderdate").cast("string"), F.lit(", e nada mais."))
+    found = table("orders").select("o_orderkey", F.explode(norm_references(said)).alias("r"))
+    return found.select("o_orderkey", "r.kind", "r.number", "r.year")
+
+
+@query(
+    """WITH l AS (SELECT o_custkey, o_orderkey, o_orderkey % 3 AS k FROM orders),
+    a AS (SELECT *, last_value(CASE WHEN k = 1 THEN o_orderkey END IGNORE NULLS) OVER w AS art, last_value(CASE WHEN k = 2 THEN o_orderkey END IGNORE NULLS) OVER w AS par,
+      last_value(CASE WHEN k = 0 THEN o_orderkey END IGNORE NULLS) OVER w AS inc FROM l WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT o_orderkey, CASE k WHEN 1 THEN 'artigo' WHEN 2 THEN 'paragrafo' ELSE 'inciso' END AS level,
+      concat_ws(' > ', 'Artigo Art. ' || art::VARCHAR, CASE WHEN par IS NOT NULL AND (art IS NULL OR par > art) THEN 'Paragrafo § ' || par::VARCHAR END,
+      CASE WHEN inc IS NOT NULL AND inc > coalesce(greatest(art, par), art, par, -1) THEN 'Inciso II' END) AS path FROM a"""
+)
+def device_paths(table, spark):
+    """The provision in which each line of an act stands."""
+    from verdigris.functions.legal import device_paths
+
+    key = F.col("o_orderkey")
+    line = F.when(key % 3 == 1, F.concat(F.lit("Art. "), key.cast("string"), F.lit(". Texto"))).when(key % 3 == 2, F.concat(F.lit("§ "), key.cast("string"), F.lit(" Texto")))
+    rows = table("orders").select("o_custkey", "o_orderkey", line.alias("line")).fillna("II - texto", ["line"])
+    return device_paths(rows, "o_custkey", "o_orderkey", "line").select("o_orderkey", "level", "path")
+
+
+@query("SELECT o_orderkey, (o_orderkey % 90 + 1)::INT AS amount, 'day' AS unit, strftime(o_orderdate::DATE + (o_orderkey % 90 + 1)::INT, '%Y-%m-%d') AS start FROM orders")
+def relative_starts(table, spark):
+    """Delayed entries into force counted from publication."""
+    from verdigris.functions.dates import advance
+    from verdigris.functions.legal import relative_start
+
+    said = F.concat(F.lit("Esta Portaria entra em vigor após decorridos "), (F.col("o_orderkey") % 90 + 1).cast("string"), F.lit(" dias de sua publicação."))
+    rows = table("orders").select("o_orderkey", "o_orderdate", relative_start(said).alias("d"))
+    start = advance(F.to_date("o_orderdate"), F.col("d.amount"), F.col("d.unit"))
+    return rows.select("o_orderkey", "d.amount", "d.unit", F.date_format(start, "yyyy-MM-dd").alias("start"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey, 'k' || c_custkey::VARCHAR AS k FROM customer) SELECT count(*)::BIGINT AS n, min(row_id) AS low, max(row_id) AS high, count(DISTINCT row_id)::BIGINT AS ids FROM
+    (SELECT (SELECT count(*) FROM c WHERE c_custkey % 4 = 0) - 1 + row_number() OVER () AS row_id FROM c WHERE c_custkey % 4 <> 0)"""
+)
+def index_new_rows(table, spark):
+    """Rows that an index lacks get the ids that follow its greatest."""
+    from pyspark.sql import Window
+
+    from verdigris.operators.enrichment import number_ids
+
+    rows = table("customer").select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("k"), "c_custkey")
+    known = rows.where("c_custkey % 4 = 0").select("k", (F.row_number().over(Window.partitionBy().orderBy("k")) - 1).cast("long").alias("row_id"))
+    made = number_ids(rows, known, "k", "row_id")
+    return made.agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.count_distinct("row_id").alias("ids"))
+
+
+@query(
+    "WITH e AS (SELECT event_type, date_trunc('day', ts) AS w FROM events) SELECT strftime(w, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n FROM e GROUP BY ALL"
+)
+def windowed_event_counts(table, spark):
+    """Events by kind and day."""
+    from verdigris.streaming.incremental import windowed_counts
+
+    return windowed_counts(table("events"), "ts", "event_type", "1 day", "1 hour").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 6 = 0")
+def changed_rows(table, spark):
+    """Rows that differ between two states."""
+    before = table("customer").select("c_custkey", "c_acctbal")
+    after = before.withColumn("c_acctbal", F.when(F.col("c_custkey") % 6 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    changed = C.changed_rows(before, after, "c_custkey", ["c_acctbal"])
+    return changed.select("c_custkey", (F.col("c_acctbal") - 1).alias("c_acctbal"))
