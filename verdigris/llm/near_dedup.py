@@ -30,31 +30,47 @@ BLOCK = 256
 MEMO = 400_000
 
 
+class _WordCodes(dict):
+    """Hashes of words, kept for the words seen last."""
+
+    def __init__(self):
+        import xxhash
+
+        self.digest = xxhash.xxh3_64_intdigest
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > MEMO:
+            self.clear()
+        code = self[word] = self.digest(word.encode("utf-8", "surrogatepass"))
+        return code
+
+
 class Shingler:
     """Shingle hashes of texts: runs of ``WORDS`` words in lower case; a shorter text is one shingle."""
 
     def __init__(self):
-        self.memo: dict[str, int] = {}
+        self.codes = _WordCodes()
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct hashes, sorted, and how often each occurs."""
+    def all(self, text: str) -> np.ndarray:
+        """The hashes in the text's order, repeated ones too."""
         words = text.lower().split()
         if not words:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        import xxhash
-
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for word in words:
-            if word not in memo:
-                memo[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        codes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+            return np.zeros(0, np.uint64)
+        codes = np.fromiter(map(self.codes.__getitem__, words), np.uint64, len(words))
         size = min(WORDS, len(codes))
         mixed = np.zeros(len(codes) - size + 1, np.uint64)
         for k in range(size):
             mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(codes) - size + 1 + k]
-        return np.unique(mix64(mixed), return_counts=True)
+        return mix64(mixed)
+
+    def distinct(self, text: str) -> np.ndarray:
+        """The distinct hashes, sorted."""
+        found = np.sort(self.all(text))
+        return found[np.append(True, found[1:] != found[:-1])] if len(found) else found
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes, sorted, and how often each occurs."""
+        return np.unique(self.all(text), return_counts=True)
 
 
 def _map_texts(docs: DataFrame, make, schema: str) -> DataFrame:
@@ -84,7 +100,7 @@ class _LocalCounts:
 
     def __call__(self, _, texts):
         for text in texts:
-            self.parts.append(self.shingle(text)[0])
+            self.parts.append(self.shingle.distinct(text))
             self.docs += 1
             self.held += len(self.parts[-1])
         # A group ends where it is large enough for its counts to tell, and at the latest at a bound of memory.
@@ -111,7 +127,7 @@ class _ExactCounts:
 
     def __call__(self, _, texts):
         for text in texts:
-            found, _ = self.shingle(text)
+            found = self.shingle.distinct(text)
             at = np.searchsorted(self.wanted, found)
             at = at[self.wanted[np.minimum(at, len(self.wanted) - 1)] == found] if len(self.wanted) else at[:0]
             self.counts[at] += 1
@@ -150,11 +166,20 @@ class Weights:
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         found, times = self.shingle(text)
-        idf = np.full(len(found), self.most)
-        if len(self.common) and len(found):
-            at = np.minimum(np.searchsorted(self.common, found), len(self.common) - 1)
-            idf = np.where(self.common[at] == found, self.idf[at], idf)
-        return found, times * idf
+        return found, times * self.idf_of(found)
+
+    def idf_of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.common):
+            return np.full(len(hashes), self.most)
+        at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
+        return np.where(self.common[at] == hashes, self.idf[at], self.most)
+
+    def elements(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same weights as a set: one element of a shingle's IDF for each time that it occurs."""
+        found, times = self.shingle(text)
+        idf = self.idf_of(found)
+        turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return mix64(np.repeat(found, times) + turn.astype(np.uint64)), np.repeat(idf, times)
 
 
 @lru_cache(maxsize=2)
@@ -276,10 +301,11 @@ def verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> Da
 
 
 def _across(rest: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose signatures agree, in one bucket and different components.
+    """Texts to compare, block by block: ``task, outer, id, root``.
 
-    ``rest``: ``band, id, root, n`` of buckets with several components. Rows outside the bucket's largest component
-    meet all rows of the bucket, block by block; a block holds about ``BLOCK`` rows, and a task two blocks.
+    ``rest``: ``band, id, root, n`` of buckets with several components. Rows outside the bucket's largest component (``outer``)
+    meet all rows of the bucket; a block holds about ``BLOCK`` rows and a task two blocks, of which those rows come out
+    that agree with one of another component. A pair counts in the first band that it shares.
     """
     groups = rest.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
     top = groups.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("top"), F.max("size").alias("most"))
@@ -287,25 +313,71 @@ def _across(rest: DataFrame, signatures: DataFrame) -> DataFrame:
     nu, nm = F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
     place = F.xxhash64("id", F.lit(7))
     entry = F.collect_list(F.struct("id", "root", "signature"))  # a block: its size is bounded by the number of blocks
-    few = rows.where(F.col("root") != F.col("top")).groupBy("band", F.pmod(place, nu).alias("u"), nm.alias("nm")).agg(entry.alias("us"))
-    few = few.select("band", "us", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"))
+    few = rows.where(F.col("root") != F.col("top")).groupBy("band", F.pmod(place, nu).cast("int").alias("u"), nm.alias("nm")).agg(entry.alias("us"))
+    few = few.select("band", "u", "us", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"))
     many = rows.groupBy("band", F.pmod(place, nm).cast("int").alias("m")).agg(entry.alias("ms"))
-    return few.join(many, ["band", "m"]).select("us", "ms").mapInArrow(_block_pairs, "a long, b long").distinct()
+    pairs = few.join(many, ["band", "m"]).select(F.xxhash64("band", "u", "m").alias("task"), "band", "us", "ms")
+    return pairs.mapInArrow(_block_candidates, "task long, outer boolean, id long, root long")
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             (ids, roots, rows), (others, their, columns) = (
                 (x.field("id").to_numpy(), x.field("root").to_numpy(), _signature_rows(x.field("signature")))
-                for x in (batch.column(0)[k].values, batch.column(1)[k].values)
+                for x in (batch.column(2)[k].values, batch.column(3)[k].values)
             )
             agree = np.zeros((len(ids), len(others)), np.int16)
-            for place in range(SAMPLES):
-                agree += rows[:, place, None] == columns[None, :, place]
-            u, m = np.nonzero((agree >= AGREE) & (roots[:, None] != their[None, :]))
-            a, b = np.minimum(ids[u], others[m]), np.maximum(ids[u], others[m])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            first = np.full(agree.shape, BANDS, np.int16)  # the first band that a pair shares
+            for j in reversed(range(BANDS)):
+                same = np.ones(agree.shape, bool)
+                for place in range(j * BAND, (j + 1) * BAND):
+                    equal = rows[:, place, None] == columns[None, :, place]
+                    agree += equal
+                    same &= equal
+                first[same] = j
+            band = np.flatnonzero(band_keys(rows[0]).view(np.int64) == batch.column(1)[k].as_py())[0]
+            found = (agree >= AGREE) & (first == band) & (roots[:, None] != their[None, :])
+            u, m = np.flatnonzero(found.any(axis=1)), np.flatnonzero(found.any(axis=0))
+            task = np.full(len(u) + len(m), batch.column(0)[k].as_py(), np.int64)
+            outer = np.arange(len(task)) < len(u)
+            arrays = [pa.array(x) for x in (task, outer, np.append(ids[u], others[m]), np.append(roots[u], their[m]))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["task", "outer", "id", "root"])
+
+
+def verified_blocks(rows: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
+    """Links ``a, b`` between the outer and the other texts of each task: for each outer text one to each component.
+
+    All pairs of a task are compared by one product of matrices: a shingle that occurs k times stands for k elements of its IDF,
+    so that the sum of smaller weights is the IDF of the shared elements.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        weights = Weights(*shared.value)
+        outer = table["outer"].to_numpy(zero_copy_only=False)
+        ids, roots = table["id"].to_numpy(), table["root"].to_numpy()
+        parts = [weights.elements(text.as_py()) for text in table["text"]]
+        keys, column = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        owner = np.repeat(np.arange(len(parts)), [len(h) for h, _ in parts])
+        idf = np.zeros(len(keys))
+        idf[column] = np.concatenate([w for _, w in parts])
+        total = np.bincount(owner, idf[column], len(parts))
+        shared_weight = np.zeros((outer.sum(), (~outer).sum()))
+        for start in range(0, len(keys), 8192):
+            cut = (column >= start) & (column < start + 8192)
+            has = np.zeros((len(parts), min(8192, len(keys) - start)), np.float64)
+            has[owner[cut], column[cut] - start] = 1
+            shared_weight += (has[outer] * idf[start : start + 8192]) @ has[~outer].T
+        likeness = shared_weight / (total[outer][:, None] + total[~outer][None, :] - shared_weight)
+        links = {}
+        for u, m in zip(*np.nonzero(likeness >= threshold - 1e-12), strict=True):
+            a, b = ids[outer][u], ids[~outer][m]
+            if roots[outer][u] != roots[~outer][m]:
+                links.setdefault((a, roots[~outer][m]), (min(a, b), max(a, b)))
+        a, b = zip(*links.values(), strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.join(texts, "id").select("task", "outer", "id", "root", "text").groupBy("task").applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -337,9 +409,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        other by digest and go on once.
     3. In each band's bucket every text is a candidate with the bucket's first and last text (by hashed id): two rows
        for each text and bucket, however large the bucket. Candidates whose signatures agree are compared in full.
-    4. What these links leave in different components although it shares a bucket is compared too: signatures block
-       against block inside tasks, of which only agreeing pairs come out; they are verified like the others. So no
-       link between texts that share a band is left out, and a large group that is already connected costs nothing.
+    4. What these links leave in different components although it shares a bucket is compared too, block against block
+       inside tasks: first signatures, then the texts that agree with one of another component. So no link that would join
+       two classes is left out, no pairs come out of a task but links, and a group that is already connected costs nothing.
 
     Defined results: a null text counts as empty; empty texts equal each other and nothing else; texts of fewer than
     five words are one shingle; a document without links is its own class. Ids must not be null or repeat; rows with a null id
@@ -374,7 +446,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = stage(shared_buckets.where("n > 3").select("band", "id").join(joined, "id", "left").select("band", "id", root), "placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("n")).where("r <> s")
     rest = stage(placed.join(mixed, "band").select("band", "id", "root", "n"), "rest")
-    more = verified(stage(_across(rest, signatures), "likely"), texts, shared, threshold)
+    more = verified_blocks(stage(_across(rest, signatures), "likely"), texts, shared, threshold)
     total = stage(links.unionByName(more), "links")
     roots = components(total)
     owned = owner.join(roots.withColumnRenamed("id", "text_id"), "text_id", "left")
