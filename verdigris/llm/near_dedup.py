@@ -27,40 +27,54 @@ RARE = 0.001
 #: Rows of the table of random parameters that shingles are hashed to.
 ROWS = 1 << 14
 BLOCK = 256
-MEMO = 400_000
 
 
-class _WordCodes(dict):
-    """Hashes of words, kept for the words seen last."""
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+RADIX = 0x9E3779B97F4A7C15
 
-    def __init__(self):
-        import xxhash
 
-        self.digest = xxhash.xxh3_64_intdigest
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the radix and of its inverse modulo 2 ** 64."""
+    made = []
+    for base in (RADIX, pow(RADIX, -1, 1 << 64)):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    return tuple(made)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        code = self[word] = self.digest(word.encode("utf-8", "surrogatepass"))
-        return code
+
+def word_codes(text: str) -> np.ndarray:
+    """A hash of each word (run of bytes other than ASCII white space) of the text in lower case, in its order.
+
+    A word's polynomial in the radix is a difference of running sums, shifted to its start by the inverse's power.
+    """
+    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    space = np.ones(len(data) + 2, np.int8)
+    space[1:-1] = SPACES[data]
+    edges = np.flatnonzero(np.diff(space))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    powers, inverse = _powers(max(1 << 16, 1 << int(len(data)).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 class Shingler:
     """Shingle hashes of texts: runs of ``WORDS`` words in lower case; a shorter text is one shingle."""
 
-    def __init__(self):
-        self.codes = _WordCodes()
-
     def all(self, text: str) -> np.ndarray:
         """The hashes in the text's order, repeated ones too."""
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.uint64, len(words))
+        codes = word_codes(text)
+        if not len(codes):
+            return codes
         size = min(WORDS, len(codes))
         mixed = np.zeros(len(codes) - size + 1, np.uint64)
         for k in range(size):
-            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(codes) - size + 1 + k]
+            mixed = mixed * np.uint64(RADIX) + codes[k : len(codes) - size + 1 + k]
         return mix64(mixed)
 
     def distinct(self, text: str) -> np.ndarray:
@@ -90,32 +104,48 @@ def _map_texts(docs: DataFrame, make, schema: str) -> DataFrame:
 
 
 class _LocalCounts:
-    """Document frequencies inside a group of documents: only those that may matter leave the task."""
+    """Document frequencies inside one task: only those that may matter leave it.
 
-    def __init__(self, share: float, group: int = 20_000):
-        self.share, self.group = share, group
-        self.shingle, self.clear = Shingler(), 0
+    Counts take bounded memory: beyond ``limit`` shingles the rarest are forgotten, and ``missed`` is the most that any
+    shingle's count may have lost by that. What more than ``share`` of the task's documents hold is always reported.
+    """
+
+    def __init__(self, share: float, limit: int = 6_000_000):
+        self.share, self.limit, self.shingle = share, limit, Shingler()
+        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.parts: list[np.ndarray] = []
-        self.docs = self.held = 0
+        self.docs = self.held = self.missed = 0
 
     def __call__(self, _, texts):
         for text in texts:
             self.parts.append(self.shingle.distinct(text))
             self.docs += 1
             self.held += len(self.parts[-1])
-        # A group ends where it is large enough for its counts to tell, and at the latest at a bound of memory.
-        if self.held > 4_000_000 and self.docs * self.share >= 4 or self.held > 12_000_000:
-            yield from self.end()
+        if self.held > 2_000_000:
+            self.merge()
+        yield from ()
+
+    def merge(self):
+        found, times = np.unique(np.concatenate(self.parts), return_counts=True)
+        if len(self.hashes):
+            found, at = np.unique(np.concatenate([self.hashes, found]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([self.counts, times])).astype(np.int64)
+        least = 0
+        while len(found) > self.limit:
+            least += 1
+            keep = times > least
+            found, times = found[keep], times[keep]
+        self.missed += least
+        self.hashes, self.counts, self.parts, self.held = found, times, [], 0
 
     def end(self):
         if self.docs:
-            found, times = np.unique(np.concatenate(self.parts), return_counts=True)
-            often = times > self.share * self.docs
-            hashes = np.append(found[often].view(np.int64), 0)
-            counts = np.append(times[often], 0)
+            self.merge()
+            often = self.counts > self.share * self.docs - self.missed
+            hashes = np.append(self.hashes[often].view(np.int64), 0)
+            counts = np.append(self.counts[often] + self.missed, 0)  # no less than the true ones
             docs = np.append(np.zeros(len(hashes) - 1, np.int64), self.docs)
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts, pa.int64()), pa.array(docs)], names=["shingle", "df", "docs"])
-        self.parts, self.docs, self.held = [], 0, 0
 
 
 class _ExactCounts:
@@ -141,9 +171,9 @@ class _ExactCounts:
 def common_shingles(texts: DataFrame, rare: float = RARE) -> tuple[np.ndarray, np.ndarray, int]:
     """The shingles in more than the share ``rare`` of all documents, with their weights (IDF), and the number of documents.
 
-    What more than ``rare`` of all documents hold, more than half that share of some group of documents holds: groups
-    report shingles above half the share, and of those a shingle stays a candidate whose reported counts exceed half
-    of ``rare`` times all documents. There are at most 2 / ``rare`` times the mean number of shingles in a document of them,
+    A task reports the shingles in more than half that share of its documents. One in more than ``rare`` of all documents
+    has reports of more than half of ``rare`` times all documents, as what goes unreported is less than that; so only
+    such shingles stay candidates. There are at most 2 / ``rare`` times the mean number of shingles in a document of them,
     whatever the corpus. A second pass counts the candidates exactly.
     """
     local = stage(_map_texts(texts, lambda: _LocalCounts(rare / 2), "shingle long, df long, docs long"), "local-df")
