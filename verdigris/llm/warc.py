@@ -92,12 +92,15 @@ def _page(urn: str) -> int | None:
 
 
 def train_dictionary(pages: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE) -> bytes:
-    """A Zstandard dictionary of a bounded number of payloads, drawn by hash; empty if they are too few."""
+    """A Zstandard dictionary of about ``sample`` payloads, drawn by a hash of the id; empty if they are too few.
+
+    The share that brings so many is filtered where the pages lie; only what is drawn goes to the driver.
+    """
     import zstandard
 
-    html = F.col(html_col)
-    some = pages.where(html.isNotNull() & (F.octet_length(html) <= SAMPLE_BYTES))
-    drawn = some.select(html.alias("h"), F.xxhash64(F.col(id_col)).alias("k")).orderBy("k", F.xxhash64("h")).limit(sample).collect()
+    html, share = F.col(html_col), sample / max(pages.count(), sample)
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("dictionary")), F.lit(1 << 40)) / float(1 << 40)
+    drawn = pages.where((draw < share) & html.isNotNull() & (F.octet_length(html) <= SAMPLE_BYTES)).select(html.alias("h")).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r.h.encode("utf-8", "surrogatepass") for r in drawn]).as_bytes()
     except zstandard.ZstdError:
