@@ -465,6 +465,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.count(F.lit(1)).alias("n"),
     )
     shared_buckets = stage(buckets.join(ends.where("n > 1"), "band"), "buckets")
+    # Only these texts are compared; the whole table's texts are shuffled this once.
+    texts = stage(texts.join(shared_buckets.select("id").distinct(), "id", "left_semi"), "texts")
     star = shared_buckets.select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other")
     pairs = star.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     left = signatures.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
