@@ -312,6 +312,11 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(agree))
 
 
+def _merge(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A sort-merge join, whatever the sizes: both sides grow with the corpus, so what a small one does is what a large one does."""
+    return left.join(right.hint("merge"), key, how)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
     """The pairs ``a, b`` of ids whose texts have at least the similarity asked for."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
@@ -327,7 +332,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> Da
                 keep.append(weighted_jaccard(last[1], weights(tb.as_py())) >= threshold)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return _merge(_merge(pairs, left, "a"), right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _across(rest: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -339,7 +344,7 @@ def _across(rest: DataFrame, signatures: DataFrame) -> DataFrame:
     """
     groups = rest.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
     top = groups.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("top"), F.max("size").alias("most"))
-    rows = rest.join(top, "band").join(signatures, "id")
+    rows = _merge(rest.join(top, "band"), signatures, "id")
     nu, nm = F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
     place = F.xxhash64("id", F.lit(7))
     entry = F.collect_list(F.struct("id", "root", "signature"))  # a block: its size is bounded by the number of blocks
@@ -407,7 +412,7 @@ def verified_blocks(rows: DataFrame, texts: DataFrame, shared, threshold: float)
         a, b = zip(*links.values(), strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.join(texts, "id").select("task", "outer", "id", "root", "text").groupBy("task").applyInArrow(run, "a long, b long")
+    return _merge(rows, texts, "id").select("task", "outer", "id", "root", "text").groupBy("task").applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -466,12 +471,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     shared_buckets = stage(buckets.join(ends.where("n > 1"), "band"), "buckets")
     # Only these texts are compared; the whole table's texts are shuffled this once.
-    texts = stage(texts.join(shared_buckets.select("id").distinct(), "id", "left_semi"), "texts")
+    texts = stage(_merge(texts, shared_buckets.select("id").distinct(), "id", "left_semi"), "texts")
     star = shared_buckets.select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other")
     pairs = star.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     left = signatures.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
     right = signatures.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-    likely = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
+    likely = _merge(_merge(pairs, left, "a"), right, "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
     links = stage(verified(stage(likely, "likely"), texts, shared, threshold), "links")
     joined = components(links)
     root = F.coalesce("root", "id").alias("root")
