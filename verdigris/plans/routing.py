@@ -19,9 +19,13 @@ def plain(text: str) -> str:
     return " ".join("".join(c for c in split if not unicodedata.combining(c)).lower().split())
 
 
+#: The commands that a question may begin with.
+COMMANDS = ("cnpj", "anm", "rag")
+
+
 def route_command(text: str) -> tuple[str | None, str]:
     """``@cnpj``, ``@anm`` or ``@rag`` at the head of a question, and the rest."""
-    found = re.match(r"\s*@(cnpj|anm|rag)\b\s*(.*)", text or "", re.IGNORECASE | re.DOTALL)
+    found = re.match(rf"\s*@({"|".join(COMMANDS)})\b\s*(.*)", text or "", re.IGNORECASE | re.DOTALL)
     return (found[1].lower(), found[2].strip()) if found else (None, (text or "").strip())
 
 
