@@ -6,6 +6,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -158,6 +159,12 @@ class Bpe:
             out += ids
         return out
 
+    def forget(self) -> None:
+        """Drop what the memos hold."""
+        self.words.clear()
+        self.words.older = {}
+        self.memo_pairs.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -195,23 +202,30 @@ def bpe_tokens(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = None
-        for batch in batches:
-            bpe = bpe or _bpe(shared, pattern)
-            counts, encoded, decoded, tokens = [], [], [], []
-            for value in batch.column(1):
-                found = bpe.encode(value.as_py() or "")
-                counts.append(len(found))
-                encoded.append(hashlib.sha256(" ".join(map(bpe.texts.__getitem__, found)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode(found)).hexdigest())
-                if ids:
-                    tokens.append(found)
-            arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        bpe = _bpe(shared, pattern)
+        try:
+            for batch in batches:
+                yield encoded_batch(bpe, batch)
+        finally:
+            bpe.forget()  # the worker stays, and what runs in it next needs the memory
+
+    def encoded_batch(bpe: Bpe, batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, encoded, decoded, tokens = [], [], [], []
+        for value in batch.column(1):
+            found = bpe.encode(value.as_py() or "")
+            counts.append(len(found))
+            encoded.append(hashlib.sha256(" ".join(map(bpe.texts.__getitem__, found)).encode()).hexdigest())
+            decoded.append(hashlib.sha256(bpe.decode(found)).hexdigest())
             if ids:
-                arrays.append(pa.array(tokens, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                tokens.append(pa.array(found, pa.int32()))
+        arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if ids:
+            ends = np.cumsum([0, *counts]).astype(np.int32)
+            values = pa.concat_arrays(tokens) if tokens else pa.array([], pa.int32())
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends), values))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     from pyspark.sql import functions as F
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -328,8 +329,14 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text the language identification accepts, with all their columns."""
-    models = train(docs, id_col, text_col, lang_col)
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("text"))
-    kept = score_texts(marked, models, ["_row"]).where("accepted")
-    return kept.select("_row.*")
+    """The rows whose text the language identification accepts, with all their columns; only the texts go to the workers."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))
+
+    @F.pandas_udf("boolean")
+    def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = _Scorer(shared.value)
+        for batch in batches:
+            slices = text_slices(pa.Array.from_pandas(batch, type=pa.string()))
+            yield pd.Series([row[-1] for texts in slices for row in scorer.judge(texts)], dtype=bool)
+
+    return docs.where(accepted(F.col(f"`{text_col}`")))
