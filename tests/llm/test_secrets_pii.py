@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
-from verdigris.llm.pii import pii_report
+import pytest
+
+from verdigris.llm.pii import first_and_longest, pii_report
 from verdigris.llm.secrets import secret_report
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -95,6 +97,34 @@ def test_trees_add_spans_only_outside_base_ones(documents):
         assert all(a[1] <= b[0] for a, b in zip(sorted(spans), sorted(spans)[1:], strict=False))
 
 
+@pytest.mark.parametrize("negatives", [150, 0])
+def test_trees_add_what_the_base_misses(documents, negatives):
+    rng = random.Random(11)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    lead = lambda: rng.choice(["mail", "call", "with", "on", "write to", "dial"])
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))
+    failing = [d for d in (number(16) for _ in range(300)) if not luhn(d)][:negatives]
+    given = [f"{lead()} {name()}.{name()}@{name()}.{rng.choice(['com', 'org'])} today" for _ in range(150)]
+    given += [f"{lead()} +1 ({number(3)}) 555-{number(4)} now" for _ in range(150)]
+    given += [f"{lead()} {d} now" for d in failing] + [f"{lead()} 20{10 + i % 9}-0{1 + i % 9}-1{i % 9} today" for i in range(negatives)]
+    planted = {
+        "write to jane.doe (at) example dot com today": "jane.doe (at) example dot com", "write to jane.doe [at] mail.example.com today": "jane.doe [at] mail.example.com",
+        "call (343) 555-1234 now": "(343) 555-1234", "dial (743) 555-9876 today": "(743) 555-9876",
+    }
+    got = {r.doc_id: r for r in pii_report(documents([*given, *planted])).collect()}
+    for i, (text, want) in enumerate(planted.items(), len(given)):
+        assert got[i].n_added == 1
+        _, start, end = got[i].spans.split(":")
+        assert text[int(start) : int(end)] == want
+    assert not any(got[i].n_added for i in range(len(given)))
+
+
+def test_a_dropped_span_drops_no_other(spark):
+    rows = [(1, "a", 0, 10), (1, "b", 8, 20), (1, "c", 15, 25), (1, "a", 25, 30), (2, "b", 0, 9), (2, "a", 0, 5), (2, "c", 5, 9)]
+    kept = first_and_longest(spark.createDataFrame(rows, "_row long, kind string, start long, end long")).collect()
+    assert sorted(map(tuple, kept)) == [(1, "a", 0, 10), (1, "a", 25, 30), (1, "c", 15, 25), (2, "b", 0, 9)]
+
+
 def test_empty_tables(documents):
     assert secret_report(documents([])).count() == 0
     assert pii_report(documents([])).count() == 0
