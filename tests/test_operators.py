@@ -207,3 +207,37 @@ def test_enrichment(spark):
     sheet = spark.createDataFrame([("lei1", "2022-02-02", " ")], "doc string, inicio string, fim string")
     base = spark.createDataFrame([("Lei 1.pdf", None, "old")], "doc string, start string, end string")
     assert enrichment.apply_sheet(base, sheet, "doc", {"inicio": "start", "fim": "end"}).first()[1:] == ("2022-02-02", "old")
+
+
+def test_links_and_paths_are_whole(spark, tmp_path):
+    """All companies of a partner, and paths against brute force over all edges, with a table of targets."""
+    import random
+
+    from verdigris import catalogue
+    from verdigris.operators import registry as G
+
+    spark.createDataFrame([(i, i) for i in range(150)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.createDataFrame([(i, 7, 50.0, "R") for i in range(150)], "l_orderkey long, l_suppkey long, l_quantity double, l_returnflag string")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalogue.QUERIES["linked_companies"](spark, str(tmp_path)).collect()
+    assert sorted((r.p, r.c) for r in got) == [(7, c) for c in range(1, 150)]
+
+    rng = random.Random(4)
+    pairs = sorted({(rng.randrange(12), rng.randrange(100, 106)) for _ in range(30)})
+    edges = spark.createDataFrame(pairs, "c long, p long")
+    first, ends = pairs[0][0], {c for c, _ in pairs if c % 3 == 0} - {pairs[0][0]}
+
+    def walk(path):
+        if len(path) > 1 and path[-1] in ends:
+            yield tuple(path)
+        elif len(path) < 5:
+            for c, p in pairs:
+                if c == path[-1]:
+                    for other, via in pairs:
+                        if via == p and str(other) not in map(str, path):
+                            yield from walk([*path, p, other])
+
+    want = sorted(tuple(map(str, path)) for path in walk([first]))
+    table = edges.where(F.col("c").isin(list(ends))).select("c")
+    for targets in (table, sorted(ends)):
+        assert sorted(tuple(r.path) for r in G.relationship_paths(edges, [first], targets, "c", "p", 2).collect()) == want

@@ -35,31 +35,37 @@ def name_search(rows: DataFrame, query: list[str], name: Column, k: int, order:
     return scored.where("match > 0").orderBy(F.desc("match"), order).limit(k)
 
 
-def linked(edges: DataFrame, company: object, company_col: str, partner_col: str, per_partner: int = 100) -> DataFrame:
-    """Companies that share a partner with one company: ``partner, other``; at most some of each partner, by order."""
+def linked(edges: DataFrame, company: object, company_col: str, partner_col: str, per_partner: int | None = 100) -> DataFrame:
+    """Companies that share a partner with one company: ``partner, other``; at most some of each partner, by order, or all (None)."""
     partners = edges.where(F.col(company_col) == company).select(partner_col).distinct()
     others = edges.join(partners, partner_col, "left_semi").where(F.col(company_col) != company).select(partner_col, company_col).distinct()
+    if per_partner is None:
+        return others
     n = F.row_number().over(Window.partitionBy(partner_col).orderBy(company_col))
     return others.withColumn("_n", n).where(F.col("_n") <= per_partner).drop("_n")
 
 
-def relationship_paths(edges: DataFrame, sources: list, targets: list, company_col: str, partner_col: str, depth: int = 2) -> DataFrame:
+def relationship_paths(edges: DataFrame, sources: list, targets: list | DataFrame, company_col: str, partner_col: str, depth: int = 2) -> DataFrame:
     """Paths from source to target companies over shared partners: ``path`` (company, partner, company, ...) and ``hops``.
 
     Each hop joins the frontier with the edges twice; a company is never visited twice on a path, and a path ends at a target.
+    Targets are values or a table with the company column; a table is joined, so it can be of any size.
     """
     e = edges.select(F.col(company_col).cast("string").alias("c"), F.col(partner_col).cast("string").alias("p")).distinct()
-    sources, targets = [str(x) for x in sources], [str(x) for x in targets]
+    sources = [str(x) for x in sources]
+    if not isinstance(targets, DataFrame):
+        targets = edges.sparkSession.createDataFrame([(str(x),) for x in targets], f"`{company_col}` string")
+    ends = targets.select(F.col(company_col).cast("string").alias("at")).distinct()
     frontier = e.where(F.col("c").isin(sources)).select("c").distinct().select(F.col("c").alias("at"), F.array("c").alias("path"))
     found = None
     for hop in range(1, depth + 1):
-        step = frontier.join(e, frontier["at"] == e["c"]).select("path", "p")
+        step = frontier.join(e.withColumnRenamed("c", "at"), "at").select("path", "p")
         other = e.withColumnRenamed("c", "to").withColumnRenamed("p", "via")
         step = step.join(other, F.col("p") == F.col("via")).where(~F.array_contains("path", F.col("to")))
         step = step.select(F.col("to").alias("at"), F.concat("path", F.array("p", "to")).alias("path"))
-        hits = step.where(F.col("at").isin(targets)).select("path", F.lit(hop).alias("hops"))
+        hits = step.join(ends, "at", "left_semi").select("path", F.lit(hop).alias("hops"))
         found = hits if found is None else found.unionByName(hits)
-        frontier = step.where(~F.col("at").isin(targets))
+        frontier = step.join(ends, "at", "left_anti")
     return found
 
 
