@@ -241,3 +241,29 @@ def test_links_and_paths_are_whole(spark, tmp_path):
     table = edges.where(F.col("c").isin(list(ends))).select("c")
     for targets in (table, sorted(ends)):
         assert sorted(tuple(r.path) for r in G.relationship_paths(edges, [first], targets, "c", "p", 2).collect()) == want
+
+
+def test_fingerprints_gather_no_group(spark):
+    import hashlib
+
+    from verdigris.operators import curation as C
+
+    rows = [(s, i, None if i % 7 == 0 else f"t{i % 13}é") for i in range(3000) for s in (("a", None, "b")[i % 3],)] + [("c", None, "x"), ("c", 3, "y")]
+    frame = C.fingerprint(spark.createDataFrame(rows, "source string, doc_id long, text string"), "source", "doc_id", "text")
+    want = {}
+    for source, i, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+        n, lines = want.get(source, (0, ""))
+        line = "" if i is None else f"{i}\x1f{hashlib.sha256((text or '').encode()).hexdigest()}\n"
+        want[source] = (n + 1, lines + line)
+    got = {r.source: (r.n_chunks, r.fingerprint) for r in frame.collect()}
+    assert got == {k: (n, hashlib.sha256(lines.encode()).hexdigest()) for k, (n, lines) in want.items()}
+    assert "collect_list" not in frame._jdf.queryExecution().toString()
+
+
+def test_new_rows_are_numbered_without_one_window(spark, data):
+    import re
+
+    from verdigris import catalogue
+
+    plan = catalogue.QUERIES["index_new_rows"](spark, str(data))._jdf.queryExecution().toString()
+    assert not re.search(r"row_number\(\) windowspecdefinition\(k#", plan)

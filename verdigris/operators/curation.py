@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from verdigris.functions.text import alnum_key, normalize
 
@@ -24,11 +25,43 @@ def registry_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> Data
 
 
 def fingerprint(chunks: DataFrame, doc: str, chunk_id: str, text: str) -> DataFrame:
-    """``doc, n_chunks, fingerprint``: SHA-256 over the chunks' ids and text digests in order. Texts don't leave their task."""
-    part = F.struct(F.col(chunk_id).alias("id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("d"))
-    rows = chunks.groupBy(doc).agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    line = F.transform("parts", lambda p: F.concat(p["id"].cast("string"), F.lit("\x1f"), p["d"], F.lit("\n")))
-    return rows.select(doc, F.size("parts").alias("n_chunks"), F.sha2(F.array_join(line, "").cast("binary"), 256).alias("fingerprint"))
+    """``doc, n_chunks, fingerprint``: SHA-256 over the chunks' ids and text digests in order. Texts don't leave their task.
+
+    The digest of a group runs over its sorted lines as they come, so that no group is ever gathered in a row or in
+    memory. Lines of one group go through one task, as SHA-256 has no parts that could be put together: some 80 bytes a chunk.
+    """
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    rows = chunks.select(F.col(doc).alias("doc"), F.col(chunk_id).alias("id"), digest.alias("d")).repartition("doc").sortWithinPartitions("doc", "id", "d")
+    # A chunk without an id is counted and has no line.
+    lines = rows.select("doc", F.concat(F.col("id").cast("string"), F.lit("\x1f"), "d", F.lit("\n")).alias("line"))
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        current, sha, n = None, None, 0
+        for batch in batches:
+            done = []
+            for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if sha is None or key != current:
+                    if sha is not None:
+                        done.append((current, n, sha.hexdigest()))
+                    current, sha, n = key, hashlib.sha256(), 0
+                n += 1
+                if line is not None:
+                    sha.update(line.encode())
+            if done:
+                yield made(pa, done, batch.schema.field(0).type)
+        if sha is not None:
+            yield made(pa, [(current, n, sha.hexdigest())], batch.schema.field(0).type)
+
+    def made(pa, rows, kind):
+        keys, counts, digests = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(counts, pa.int32()), pa.array(digests, pa.string())], names=[doc, "n_chunks", "fingerprint"])
+
+    schema = StructType([StructField(doc, chunks.schema[doc].dataType), StructField("n_chunks", IntegerType()), StructField("fingerprint", StringType())])
+    return lines.mapInArrow(run, schema)
 
 
 def upsert(current: DataFrame, updates: DataFrame, key: list[str], keep_old_where_null: list[str] | None = None) -> DataFrame:
