@@ -5,7 +5,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from verdigris.llm import pii, secrets
+from verdigris.llm._spans import find_spans
 from verdigris.llm.pii import first_and_longest, pii_report
 from verdigris.llm.secrets import secret_report
 
@@ -125,6 +128,24 @@ def test_a_dropped_span_drops_no_other(spark):
     assert sorted(map(tuple, kept)) == [(1, "a", 0, 10), (1, "a", 25, 30), (1, "c", 15, 25), (2, "b", 0, 9)]
 
 
+def test_digits_need_not_stand_side_by_side(documents):
+    spaced, dashed = " ".join("4532015112830366"), "-".join("4532015112830366")
+    given = [f"pay {spaced} now", f"pay {dashed} now"]
+    got = {r.doc_id: r for r in pii_report(documents(given)).collect()}
+    assert [(got[i].n_card, got[i].spans) for i in range(2)] == [(1, "card:4:35")] * 2
+    key = "AbcdefghijklmnopqrstuvW7"
+    assert secret_report(documents([f"host = db.example.com\n{key}"])).first().spans == "host:0:21,blob:22:46"
+
+
+def test_pre_tests_are_implied_by_their_patterns(spark):
+    texts = ["ann (at } mail { dot } org", "ann { at } mail { dot } org", "ann(at )mail.org", "1 2", "1-2", "343 555 1234", "AB12CD", "Abcdefghijklmnopqrst7"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for p in [*pii.BASE, *pii.MORE, *secrets.BASE, *secrets.WEAK]:
+        want = {r.text for r in rows.where(F.rlike("text", F.lit(p.regex))).collect()}
+        found = find_spans(rows, "text", ["text"], [p]).where("kind is not null")
+        assert {r.text for r in found.collect()} == want, p.kind
+
+
 def test_empty_tables(documents):
     assert secret_report(documents([])).count() == 0
     assert pii_report(documents([])).count() == 0

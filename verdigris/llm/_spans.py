@@ -15,7 +15,7 @@ class Pattern:
     kind: str
     regex: str
     needs: tuple[str, ...] = ()
-    digits: bool = False  # the text must hold two digits
+    digits: str = ""  # a cheap pattern of digits that every match holds
 
 
 def _pieces(text: Column, p: Pattern, before: int, after: int) -> Column:
@@ -38,7 +38,7 @@ def _pieces(text: Column, p: Pattern, before: int, after: int) -> Column:
         for word in p.needs:
             may = may | F.contains(text, F.lit(word))
     if p.digits:
-        may = may & F.rlike(text, F.lit("[0-9]{2}"))
+        may = may & F.rlike(text, F.lit(p.digits))
     return F.when(may, F.when(F.rlike(text, regex), found))
 
 

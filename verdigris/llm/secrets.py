@@ -12,7 +12,7 @@ BASE = [
     Pattern("assign", ASSIGN, (":", "=")),
     # A run shorter than asked for can't hold a long enough one, so the length stands in the pattern.
     Pattern("access", r"AKIA[A-Z0-9]{16,}", ("AKIA",)),
-    Pattern("hex", r"[0-9a-f]{24,}", digits=False),
+    Pattern("hex", r"[0-9a-f]{24,}"),
 ]
 #: Weak parts, reported only beside their complements: a name for whom, something that looks like a key, a place.
 WEAK = [
@@ -22,7 +22,7 @@ WEAK = [
         (":", "="),
     ),
     Pattern("key", r"""(?i:(?:pass|pwd|auth|bearer|credentials?|private_?key|access_?key))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", (":", "=")),
-    Pattern("blob", r"[A-Za-z0-9+/_-]{20,}={0,2}", digits=True),
+    Pattern("blob", r"[A-Za-z0-9+/_-]{20,}={0,2}", digits="[0-9]"),
     Pattern("endpoint", r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s"'<>]+""", ("://",)),
     Pattern("host", r"""(?i:(?:host(?:name)?|endpoint|server))["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::[0-9]+)?""", (":", "=")),
 ]
