@@ -146,6 +146,15 @@ def test_pre_tests_are_implied_by_their_patterns(spark):
         assert {r.text for r in found.collect()} == want, p.kind
 
 
+def test_scopes_bound_the_links(documents):
+    far = "user: bob\n" + "# comment\n" * 60 + "pass = hunter22zz"
+    two = "user: bob\npass = hunter22zz\n\nsome words\n\nhost = db.example.com\ntoken = abcdef12"
+    got = {r.doc_id: r for r in secret_report(documents([far, two, "token = abcdef12"])).collect()}
+    assert got[0].spans == "ident:0:9,key:610:627" and got[0].credentials == "0:ident:0:9,0:key:610:627"
+    assert [x.split(":")[:2] for x in got[1].credentials.split(",")] == [["0", "ident"], ["0", "key"], ["2", "host"], ["2", "assign"]]
+    assert got[2].spans == "assign:0:16" and got[2].credentials == ""
+
+
 def test_empty_tables(documents):
     assert secret_report(documents([])).count() == 0
     assert pii_report(documents([])).count() == 0

@@ -30,25 +30,22 @@ WEAK = [
 BREAK = Pattern("break", r"\n[\x20\t\r]*\n", ("\n",))
 KINDS = [p.kind for p in BASE + WEAK]
 IDENTIFIERS, SECRETS, ENDPOINTS = ["access", "ident"], ["assign", "hex", "key", "blob"], ["endpoint", "host"]
-#: Parts of one credential stand at most so many characters apart, within one scope.
-REACH = 200
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All reported spans of all texts; a text without any gives one row with null kind.
 
     Base kinds (``assign``, ``access``, ``hex``) are reported always. Weak kinds are parts of a credential that say little
-    alone: an identifier, a secret or an endpoint. The text's scopes are its blocks between blank lines. Each part's
-    interval, widened by ``reach``, is joined with the intervals of the other two roles in its scope: an identifier
-    or an endpoint needs a secret there and a secret an identifier or an endpoint. As only the nearest part of a
-    role on either side can decide, the join is a sweep: running maxima of ends and minima of starts along the
-    scope, in time n log n, with no pairs made however many parts a scope holds. A weak span that overlaps a base span is dropped:
-    the base span reports it.
+    alone: an identifier, a secret or an endpoint. The text's scopes are its blocks between blank lines, and a scope
+    bounds the join, however far apart its parts stand: an identifier or an endpoint needs a secret there and a secret an
+    identifier or an endpoint. Each role's presence is counted once for a scope, with no pairs made however many parts it
+    holds. Parts that are linked so, base kinds too, have the scope's number as their ``credential``. A weak span that
+    overlaps a base span is dropped: the base span reports it.
 
     Defined results: null and empty texts have no spans; ids may be null or repeated (each row stands alone); other
     columns are neither read nor returned; an empty table gives an empty result.
 
-    Returns ``_row, doc_id, kind, match, start, end, weak``.
+    Returns ``_row, doc_id, kind, match, start, end, weak, credential`` (null: not linked).
     """
     found = find_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", ["doc_id"], [*BASE, *WEAK, BREAK])
     value = F.regexp_extract("match", ASSIGN, 2)
@@ -69,32 +66,35 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.withColumn("_base_start", F.min(F.when(base, F.col("start"))).over(behind))
     clear = F.coalesce(F.col("_base_end") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("_base_start") >= F.col("end"), F.lit(True))
     found = found.withColumn("weak", weak).withColumn("_live", ~weak | clear)
-    scope = Window.partitionBy("_row", "_scope").orderBy(F.col("start").asc_nulls_first(), "end", "kind")
-    scope_back = Window.partitionBy("_row", "_scope").orderBy(F.col("start").desc_nulls_last(), F.col("end").desc(), F.col("kind").desc())
+    scope = Window.partitionBy("_row", "_scope")
     near = {}
     for name, kinds in (("identifier", IDENTIFIERS), ("secret", SECRETS), ("endpoint", ENDPOINTS)):
         is_part = F.col("kind").isin(kinds) & F.col("_live")
-        found = found.withColumn(f"_{name}_end", F.max(F.when(is_part, F.col("end"))).over(scope.rowsBetween(Window.unboundedPreceding, -1)))
-        found = found.withColumn(f"_{name}_start", F.min(F.when(is_part, F.col("start"))).over(scope_back.rowsBetween(Window.unboundedPreceding, -1)))
-        near[name] = F.coalesce(F.col("start") - F.col(f"_{name}_end") <= reach, F.lit(False)) | F.coalesce(
-            F.col(f"_{name}_start") - F.col("end") <= reach, F.lit(False)
-        )
+        found = found.withColumn(f"_{name}", F.count_if(is_part).over(scope))
+        near[name] = F.col(f"_{name}") > 0
     complemented = F.when(F.col("kind").isin(SECRETS), near["identifier"] | near["endpoint"]).otherwise(near["secret"])
     reported = F.col("kind").isNotNull() & (F.col("kind") != "break") & (base | (F.col("_live") & complemented))
-    return found.select("_row", "doc_id", *[F.when(reported, F.col(c)).alias(c) for c in ("kind", "match", "start", "end", "weak")])
+    found = found.withColumn("credential", F.when(F.col("_live") & complemented, F.col("_scope")))
+    return found.select("_row", "doc_id", *[F.when(reported, F.col(c)).alias(c) for c in ("kind", "match", "start", "end", "weak", "credential")])
 
 
-def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """One row for each document: counts of the base kinds, the digest of the base spans and all spans as text."""
-    spans = secret_spans(docs, id_col, text_col, reach)
+def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: counts of the base kinds, the digest of the base spans, all spans as text, and the linked ones.
+
+    ``credentials`` has ``credential:kind:start:end`` of each linked span; spans of one credential share the number.
+    """
+    spans = secret_spans(docs, id_col, text_col)
     entry = F.when(
-        F.col("kind").isNotNull(), F.struct("kind", kind_place(KINDS, F.col("kind")).alias("k"), "start", "end", "weak")
+        F.col("kind").isNotNull(), F.struct("kind", kind_place(KINDS, F.col("kind")).alias("k"), "start", "end", "weak", "credential")
     )
     rows = spans.groupBy("_row", "doc_id").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.count_if(F.col("weak")).alias("n_weak"),
         F.collect_list(entry).alias("_all"),
     )
+    order = F.transform(F.filter("_all", lambda x: x["credential"].isNotNull()), lambda x: F.struct(*[x[c].alias(c) for c in ("start", "k", "end", "kind", "credential")]))
+    said = lambda x: F.concat_ws(":", *[x[c].cast("string") for c in ("credential", "kind", "start", "end")])
+    linked = F.array_join(F.transform(F.array_sort(order), said), ",")
     return rows.select(
         "doc_id",
         "n_assign",
@@ -103,4 +103,5 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.sha2(joined(F.filter("_all", lambda x: ~x["weak"]), False).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("_all"), False).alias("spans"),
         "n_weak",
+        linked.alias("credentials"),
     )
