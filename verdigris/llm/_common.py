@@ -9,22 +9,33 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
+#: Bytes of an Arrow batch that goes to a Python worker: rows are long texts, and several copies of a batch are held at once.
+BATCH_BYTES = 4 << 20
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) a temporary folder is made, once for each application.
+    Where the setting is absent a session on this machine alone (``local[*]``) gets a temporary folder, once for each
+    application; on a cluster that is an error, as executors and driver don't share such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         found = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Lower the session's limit of bytes for a batch sent to Python workers, if it still has Spark's default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(size))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -42,13 +53,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing lazy refers to any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete the folders of staged tables that nothing lazy refers to any more."""
+    for df in tables:
+        spark = df.sparkSession
+        own = shared_dir(spark)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            # Only what ``stage`` made, never an input.
+            if folder.split(":", 1)[-1].lstrip("/").startswith(own.split(":", 1)[-1].lstrip("/")):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -63,6 +77,24 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def frequent_values(rows: DataFrame, key: str, support: float = 0.001) -> DataFrame:
+    """At most ``1 / support`` values of ``key`` (staged), with all that more than ``support`` of the rows carry (Misra-Gries)."""
+    found = rows.stat.freqItems([key], support).select(F.explode(f"{key}_freqItems").alias(key))
+    return stage(found.where(F.col(key).isNotNull()).distinct(), "frequent")
+
+
+def frequent_first(rows: DataFrame, table: DataFrame, key: str, frequent: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined (inner) with ``table``, which has one narrow row for each value of ``key`` at most.
+
+    The frequent values' rows are looked up where they lie, by a broadcast of the bounded number of ``frequent_values``; so a hot
+    value fills no task. The others are shuffled and merged. ``rows`` and ``table`` are staged tables: each is read twice.
+    """
+    frequent = frequent_values(rows, key) if frequent is None else frequent
+    hot = stage(table.join(F.broadcast(frequent), key, "left_semi"), "frequent")
+    rare = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rare.join(table.hint("merge"), key))
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from verdigris.llm._common import bound_batches
+
 #: Entries that each of a memo's two generations holds: a bound of a worker's memory.
 MEMO = 250_000
 LONG_PIECE = 64  # longer pieces are not remembered
@@ -198,6 +200,7 @@ def bpe_tokens(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     Returns ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and with ``ids`` the tokens as ``array<int>``.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
 

@@ -7,25 +7,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm._common import mix64, stage, text_slices
+from verdigris.llm._common import bound_batches, mix64, stage, text_slices
 
 ORDER = 5
 #: Documents of each language, as expected, that the models are fitted on; further ones of the same number calibrate.
 SAMPLE = 1000
-#: N-grams of this order or above that occur once are left out of the tables; their mass goes to the shorter ones.
-PRUNE_FROM = 4
-#: A text of more characters than this is judged no more surely than one of this many.
+#: Lengths (predicted characters) at which bands begin: short texts stray farther from their language's mean.
+BANDS = (1, 16, 32, 64, 128, 256, 512)
+#: The limit of a band lies above every calibrating text of the language, and if texts of other languages lie higher still, half-way
+#: to what this share of them stays under; at least by this part of the language's own span above its mean.
+FOREIGN_SHARE, ROOM = 0.05, 0.25
+#: The score's odds are those of a text of at most this many characters, so that it doesn't say 1 for each longer text.
 EVIDENCE = 50
-#: A text is rejected if its cross-entropy lies this many times as far above its language's mean as that of any
-#: calibrating text, and by at least MARGIN bits a character: passages in another language don't make a text foreign.
-SLACK = 1.5
-MARGIN = 2.0
+#: Words whose rows a worker keeps.
 MEMO = 300_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -46,60 +45,9 @@ def letter_runs(text: str) -> list[str]:
     return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
-@dataclass
-class CharModels:
-    """The tables of all languages. ``grams[n - 1]``: sorted hashes of n-grams and a row of log2 probabilities each.
-
-    A row holds a value for each language, NaN where the language lacks the n-gram. ``contexts[n - 1]``: the same for
-    the contexts of n-grams with the log2 weights of shorter n-grams, 0 where a language lacks the context.
-    ``limits``: for each language its mean cross-entropy, and the calibrated limit of the standardised excess.
-    """
-
-    langs: list[str]
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-    limits: np.ndarray | None = None
-
-    def word_rows(self, words: list[str]) -> np.ndarray:
-        """For each word: log2 likelihood in each language and the number of predicted characters (with the space after it)."""
-        codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        place = np.arange(len(codes))
-        spaces = np.flatnonzero(codes == 32)
-        lead = np.zeros(len(codes), np.int64)
-        lead[spaces[1:]] = spaces[:-1]
-        inner = codes != 32
-        lead[inner] = np.maximum.accumulate(np.where(inner, 0, place))[inner]
-        reach = np.minimum(place - lead + 1, ORDER)
-        keys = gram_keys(codes)
-        longest = keys[reach - 1, place]
-        _, first, back = np.unique(longest[1:], return_index=True, return_inverse=True)
-        scores = self._position_scores(keys, first + 1, reach)[back]
-        starts = spaces[:-1]  # positions are shifted by the first space, which nothing predicts
-        rows = np.add.reduceat(scores, starts, axis=0)
-        return np.column_stack([rows, np.diff(spaces)])
-
-    def _position_scores(self, keys: np.ndarray, at: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        table, rows = self.grams[0]
-        score = rows[_find(table, keys[0, at])]
-        live = np.arange(len(at))
-        for n in range(2, ORDER + 1):
-            live = live[reach[at[live]] >= n]
-            context = _find(self.contexts[n - 1][0], keys[n - 2, at[live] - 1])
-            seen = context < len(self.contexts[n - 1][0])
-            live, context = live[seen], context[seen]  # a context that no language has is no part of a longer one
-            if not len(live):
-                break
-            table, rows = self.grams[n - 1]
-            found = rows[_find(table, keys[n - 1, at[live]])]
-            score[live] = np.where(np.isnan(found), self.contexts[n - 1][1][context] + score[live], found)
-        return score
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The keys' places in the sorted table; its length for a key that it lacks."""
-    at = np.searchsorted(table, keys)
-    inside = np.minimum(at, max(len(table) - 1, 0))
-    return np.where(table[inside] == keys, inside, len(table)) if len(table) else np.zeros(len(keys), np.int64)
+def band_of(n: int) -> int:
+    """The band of a text with ``n`` predicted characters."""
+    return int(np.searchsorted(BANDS, n, side="right")) - 1
 
 
 POWERS = [np.uint64(pow(BASE, n, 1 << 64)) for n in range(ORDER)]
@@ -125,13 +73,84 @@ def keys_of(grams: list[str]) -> np.ndarray:
     return mix64(((codes + np.uint64(1)) * np.array(POWERS[:size][::-1], np.uint64)).sum(axis=1, dtype=np.uint64) + TAGS[size - 1])
 
 
+def places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram hashes of words between spaces, and how long the n-gram at each place may be: back to the space before the word."""
+    place, spaces = np.arange(len(codes)), np.flatnonzero(codes == 32)
+    lead = np.zeros(len(codes), np.int64)
+    lead[spaces[1:]] = spaces[:-1]
+    inner = codes != 32
+    lead[inner] = np.maximum.accumulate(np.where(inner, 0, place))[inner]
+    return gram_keys(codes), np.minimum(place - lead + 1, ORDER)
+
+
+@dataclass
+class LanguageModel:
+    """One language. ``grams[n - 1]``: sorted hashes of its n-grams and their log2 probabilities.
+
+    ``rests[n - 1]``: the same for the contexts of n-grams, with the log2 weight of the shorter n-gram.
+    """
+
+    grams: list[tuple[np.ndarray, np.ndarray]]
+    rests: list[tuple[np.ndarray, np.ndarray]]
+    unseen: float  # log2 probability of a character that it never saw
+
+    def log2_at(self, keys: np.ndarray, at: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """log2 probability of the character at each of the places ``at`` after what stands before it."""
+        found, p = _look(self.grams[0], keys[0, at])
+        score = np.where(found, p, self.unseen)
+        live = np.arange(len(at))
+        for n in range(2, ORDER + 1):
+            live = live[reach[at[live]] >= n]
+            known, rest = _look(self.rests[n - 1], keys[n - 2, at[live] - 1])
+            live, rest = live[known], rest[known]  # a context that the language lacks is no part of a longer one
+            if not len(live):
+                break
+            found, p = _look(self.grams[n - 1], keys[n - 1, at[live]])
+            score[live] = np.where(found, p, rest + score[live])
+        return score
+
+
+def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the sorted table holds each key, and its value."""
+    hashes, values = table
+    if not len(hashes):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+    return hashes[at] == keys, values[at]
+
+
+@dataclass
+class CharModels:
+    """The models of all languages, and ``limits[i, band]``: the cross-entropy up to which a text is accepted as language i."""
+
+    langs: list[str]
+    models: list[LanguageModel]
+    limits: np.ndarray | None = None
+
+    def word_rows(self, words: list[str]) -> np.ndarray:
+        """For each word: log2 likelihood in each language and the number of predicted characters (with the space after it)."""
+        codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        keys, reach = places(codes)
+        longest = keys[reach - 1, np.arange(len(codes))]
+        _, first, back = np.unique(longest[1:], return_index=True, return_inverse=True)
+        spaces = np.flatnonzero(codes == 32)
+        rows = np.zeros((len(words), len(self.models) + 1))
+        for i, model in enumerate(self.models):
+            score = model.log2_at(keys, first + 1, reach)[back]
+            rows[:, i] = np.add.reduceat(score, spaces[:-1])  # places are shifted by the first space, which nothing predicts
+        rows[:, -1] = np.diff(spaces)
+        return rows
+
+
 def gram_tables(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Kneser-Ney tables from ``lang, word, times``: ``lang, gram, p`` and ``lang, context, rest``.
+    """Kneser-Ney tables from ``lang, word, times``: ``lang, gram, p`` and ``lang, n, context, rest``.
 
     A word stands between two spaces; n-grams reach back to the space before it at most. An n-gram of the highest
     order, or one that begins with the space, has its count; a shorter one the number of characters that occur before it.
-    With d the order's discount, p(c|h) = (count(hc) - d) / count(h) + rest(h) p(c|h without its first character), where
-    rest(h) is the mass that the kept n-grams leave.
+    With d the order's discount, n1 / (n1 + 2 n2) from the numbers of n-grams counted once and twice (0.5 without
+    any counted once; at most 0.999),
+    p(c|h) = (count(hc) - d) / count(h) + rest(h) p(c|h without its first character), rest(h) = d types(h) / count(h).
+    The unigrams share their rest evenly with one character never seen.
     """
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     ends = F.sequence(F.lit(2), F.length("s"))
@@ -153,25 +172,37 @@ def gram_tables(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = stage(counts, "counts")
     once, twice = F.count_if(F.col("c") == 1).cast("double"), F.count_if(F.col("c") == 2).cast("double")
     # A row for each language and order.
-    discounts = counts.groupBy("lang", "n").agg(F.when(once > 0, once / (once + 2 * twice)).otherwise(0.5).alias("d"))
-    totals = counts.groupBy("lang", "n", "context").agg(F.sum("c").alias("total"))
-    kept = counts.where((F.col("n") < PRUNE_FROM) | (F.col("c") > 1))
-    kept = kept.join(totals, ["lang", "n", "context"]).join(F.broadcast(discounts), ["lang", "n"])
-    kept = stage(kept.withColumn("own", F.greatest(F.col("c") - F.col("d") * 0.999, F.lit(0.0)) / F.col("total")), "kept")
-    rest = stage(
-        kept.groupBy("lang", "n", "context").agg(F.greatest(1 - F.sum("own"), F.lit(1e-9)).alias("rest"), F.count(F.lit(1)).alias("types")), "rest"
-    )
-    first = kept.where("n = 1").join(rest.where("n = 1").select("lang", "rest", "types"), "lang")
-    # The unigrams share their rest with one character never seen.
-    level = stage(first.select("lang", "gram", (F.col("own") + F.col("rest") / (F.col("types") + 1)).alias("p")), "level")
-    tables = level
+    discounts = counts.groupBy("lang", "n").agg(F.when(once > 0, F.least(once / (once + 2 * twice), F.lit(0.999))).otherwise(0.5).alias("d"))
+    totals = counts.groupBy("lang", "n", "context").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("types"))
+    rests = stage(totals.join(F.broadcast(discounts), ["lang", "n"]).withColumn("rest", F.col("d") * F.col("types") / F.col("total")), "rests")
+    own = counts.join(rests, ["lang", "n", "context"]).withColumn("own", (F.col("c") - F.col("d")) / F.col("total"))
+    own = stage(own.select("lang", "n", "gram", "shorter", "own", "rest", "types"), "own")
+    level = own.where("n = 1").select("lang", "gram", (F.col("own") + F.col("rest") / (F.col("types") + 1)).alias("p"))
+    level = tables = stage(level, "level")
     for order in range(2, ORDER + 1):
-        own = kept.where(F.col("n") == order).join(rest.where(F.col("n") == order).select("lang", "context", "rest"), ["lang", "context"])
         lower = level.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("lower"))
-        level = stage(own.join(lower, ["lang", "shorter"]).select("lang", "gram", (F.col("own") + F.col("rest") * F.col("lower")).alias("p")), "level")
+        level = own.where(F.col("n") == order).join(lower, ["lang", "shorter"])
+        level = stage(level.select("lang", "gram", (F.col("own") + F.col("rest") * F.col("lower")).alias("p")), "level")
         tables = tables.unionByName(level)
-    weights = rest.select("lang", "context", F.when(F.col("n") == 1, F.col("rest") / (F.col("types") + 1)).otherwise(F.col("rest")).alias("rest"), "n")
-    return tables, weights
+    alone = F.when(F.col("n") == 1, F.col("rest") / (F.col("types") + 1)).otherwise(F.col("rest"))
+    return tables, rests.select("lang", "n", "context", alone.alias("rest"))
+
+
+def _hashed(rows: DataFrame, gram: str, value: str) -> DataFrame:
+    """``lang, n, key, value``: n-grams as hashes, so that what the driver gathers is a few bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(1).to_pylist()
+            sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+            keys = np.zeros(len(grams), np.uint64)
+            for n in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == n)
+                keys[at] = keys_of([grams[i] for i in at])
+            arrays = [batch.column(0), pa.array(sizes), pa.array(keys.view(np.int64)), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "n", "key", "value"])
+
+    return rows.select("lang", gram, F.col(value).cast("double").alias("value")).mapInArrow(run, "lang string, n long, key long, value double")
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> CharModels:
@@ -185,79 +216,99 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: in
     sizes = known.groupBy("lang", "calibrates").count()
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
     draw = F.pmod(F.xxhash64(F.col("_id"), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    # One row for each language and fold.
+    # Two rows for each language; the driver gathers a model of each anyway, which is some thousands of times as much.
     drawn = known.join(F.broadcast(sizes), ["lang", "calibrates"]).where(draw < share)
     runs = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
     words = drawn.where(~F.col("calibrates")).select("lang", runs).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("times"))
-    tables, weights = gram_tables(words)
-    # Bounded by the sample: the n-grams of so many documents.
-    grams, rests = tables.toPandas(), weights.toPandas()
+    tables, rests = gram_tables(words)
+    # Bounded by the sample: the n-grams of so many documents, 20 bytes each.
+    grams, rests = _hashed(tables, "gram", "p").toPandas(), _hashed(rests, "context", "rest").toPandas()
     langs = sorted(grams["lang"].unique())
-    column = {lang: i for i, lang in enumerate(langs)}
-    models = CharModels(langs, [], [])
-    sizes_of = grams["gram"].str.len()
-    for n in range(1, ORDER + 1):
-        part = grams[sizes_of == n]
-        floor = np.full(len(langs), np.nan)
-        if n == 1:
-            unseen = rests[rests["n"] == 1]
-            for lang, rest in zip(unseen["lang"], unseen["rest"], strict=True):
-                floor[column[lang]] = np.log2(rest)
-        models.grams.append(_table(part["gram"], part["lang"], part["p"], column, floor))
-        part = rests[(rests["n"] == n) & (n > 1)]
-        models.contexts.append(_table(part["context"], part["lang"], part["rest"], column, np.zeros(len(langs))))
+    models = CharModels(langs, [_model(grams[grams["lang"] == lang], rests[rests["lang"] == lang]) for lang in langs])
     if langs:
-        _calibrate(models, drawn.where("calibrates"))
+        models.limits = _limits(models, drawn.where("calibrates"))
     return models
 
 
-def _table(grams, langs, values, column: dict[str, int], empty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and their rows; the row after the last is for what the table lacks."""
-    hashes, at = np.unique(keys_of(list(grams)), return_inverse=True)
-    rows = np.tile(empty, (len(hashes) + 1, 1))
-    rows[at, np.fromiter((column[x] for x in langs), np.int64, len(langs))] = np.log2(values.to_numpy(float))
-    return hashes, rows
-
-
-def _calibrate(models: CharModels, drawn: DataFrame) -> None:
-    """Set the limits from the cross-entropies of labelled texts that the models haven't seen."""
-    scored = score_texts(drawn.select(F.col("_id").alias("doc_id"), "text", "lang"), models, ["doc_id", "lang"])
-    right = scored.where((F.col("lang") == F.col("lang_pred")) & (F.col("n_predicted") > 0))
-    mean = F.sum(F.col("cross_entropy") * F.col("n_predicted")) / F.sum("n_predicted")
-    right = stage(right.select("lang", "cross_entropy", "n_predicted"), "calibration")
-    means = dict(right.groupBy("lang").agg(mean).collect())  # a row for each language
-    limits = np.zeros((2, len(models.langs)))
-    limits[0], limits[1] = np.inf, np.inf
-    for i, lang in enumerate(models.langs):
-        limits[0, i] = means.get(lang, np.inf)
-    by_lang = F.create_map(*[x for lang, m in means.items() for x in (F.lit(lang), F.lit(m))]) if means else None
-    if by_lang is not None:
-        excess = (F.col("cross_entropy") - by_lang[F.col("lang")]) * F.sqrt(F.least(F.col("n_predicted"), F.lit(400)))
-        top = dict(right.groupBy("lang").agg(F.max(excess)).collect())
-        for i, lang in enumerate(models.langs):
-            limits[1, i] = top.get(lang, np.inf)
-    models.limits = limits
-
-
-def score_texts(rows: DataFrame, models: CharModels, carry: list[str]) -> DataFrame:
-    """``lang_pred, score, cross_entropy, n_predicted, accepted`` beside the columns of ``carry``; ``rows`` has ``text``."""
-    spark: SparkSession = rows.sparkSession
-    shared = spark.sparkContext.broadcast(models)
+def _model(grams, rests) -> LanguageModel:
+    def table(rows) -> tuple[np.ndarray, np.ndarray]:
+        keys = rows["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return keys[order], np.log2(rows["value"].to_numpy(float))[order]
+
+    # The context of an n-gram has n - 1 characters.
+    return LanguageModel(
+        [table(grams[grams["n"] == n]) for n in range(1, ORDER + 1)],
+        [table(rests[rests["n"] == (n - 1 if n > 1 else -1)]) for n in range(1, ORDER + 1)],
+        float(np.log2(rests["value"][rests["n"] == 0].iloc[0])),
+    )
+
+
+def _limits(models: CharModels, drawn: DataFrame) -> np.ndarray:
+    """Limits of the cross-entropy by language and band, from labelled texts that the models haven't seen.
+
+    A language's own texts say how far up it reaches. Texts of the other languages, scored as if theirs had no model, stand for
+    what no model knows: for each of them the best of the other models' cross-entropies.
+    """
+    scored = _score(drawn, models, ["lang"]).where("n_predicted > 0").withColumn("right", F.col("lang") == F.col("lang_pred"))
+    cut = lambda c: F.greatest(F.lit(0), *[F.when(c >= b, i).otherwise(0) for i, b in enumerate(BANDS)])
+    scored = stage(scored.withColumn("band", cut(F.col("n_predicted"))), "calibration")
+    own = scored.where("right").groupBy("lang", "band").agg(F.avg("cross_entropy").alias("mean"), F.max("cross_entropy").alias("top"))
+    other = scored.where("right and second is not null").groupBy("second", "band").agg(F.percentile_approx("second_entropy", FOREIGN_SHARE, 1000).alias("low"))
+    place = {lang: i for i, lang in enumerate(models.langs)}
+    mean, top, low = (np.full((len(place), len(BANDS)), np.nan) for _ in range(3))
+    for r in own.collect():  # a row for each language and band, as below
+        mean[place[r.lang], r.band], top[place[r.lang], r.band] = r["mean"], r.top
+    for r in other.collect():
+        low[place[r.second], r.band] = r.low
+    limits = np.full(mean.shape, np.inf)
+    for i in range(len(place)):
+        reach = -np.inf
+        # From long texts to short ones: what a long text may have a short one may have too.
+        for band in range(len(BANDS) - 1, -1, -1):
+            if np.isfinite(top[i, band]):
+                reach = max(reach, top[i, band] + ROOM * (top[i, band] - mean[i, band]))
+                gap = low[i, band] if np.isfinite(low[i, band]) else np.nanmin(low[:, band], initial=np.inf)
+                between = (top[i, band] + gap) / 2 if np.isfinite(gap) else -np.inf
+                limits[i, band] = max(reach, between)
+    # A band without calibrating texts takes the limit of the next shorter one that has some, else the next longer one's.
+    for i in range(len(place)):
+        for order in (range(1, len(BANDS)), range(len(BANDS) - 2, -1, -1)):
+            step = -1 if order.step > 0 else 1
+            for band in order:
+                if not np.isfinite(limits[i, band]):
+                    limits[i, band] = limits[i, band + step]
+    return limits
+
+
+VERDICT = (
+    ("lang_pred", T.StringType(), pa.string()),
+    ("score", T.DoubleType(), pa.float64()),
+    ("cross_entropy", T.DoubleType(), pa.float64()),
+    ("n_predicted", T.LongType(), pa.int64()),
+    ("accepted", T.BooleanType(), pa.bool_()),
+    ("second", T.StringType(), pa.string()),
+    ("second_entropy", T.DoubleType(), pa.float64()),
+)
+
+
+def _score(rows: DataFrame, models: CharModels, carry: list[str]) -> DataFrame:
+    """The fields of ``VERDICT`` beside the columns of ``carry``; ``rows`` has ``text``, which is not returned."""
+    bound_batches(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(models)
     picked = rows.select(*carry, "text")
     schema = T.StructType([f for f in picked.schema.fields if f.name != "text"])
-    for name, kind in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("cross_entropy", T.DoubleType()), ("n_predicted", T.LongType()), ("accepted", T.BooleanType())):
+    for name, kind, _ in VERDICT:
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
             made = [row for texts in text_slices(batch.column(batch.num_columns - 1)) for row in scorer.judge(texts)]
-            columns = list(zip(*made, strict=True)) or [()] * 5
-            types = [pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
+            columns = list(zip(*made, strict=True)) or [()] * len(VERDICT)
             arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            arrays += [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            names = [*carry, "lang_pred", "score", "cross_entropy", "n_predicted", "accepted"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            arrays += [pa.array(c, t) for c, (_, _, t) in zip(columns, VERDICT, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return picked.mapInArrow(run, schema)
 
@@ -273,13 +324,19 @@ class _Scorer:
         self.place: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.models.langs) + 1))
 
-    def judge(self, texts: list[str]) -> list[tuple]:
-        runs = [letter_runs(text) for text in texts]
-        if not self.models.langs:
-            return [(UNKNOWN, 0.0, None, 0, False)] * len(texts)
+    def judge(self, texts: list[str]) -> Iterator[tuple]:
+        """A tuple of the fields of ``VERDICT`` for each text."""
+        for text in texts:
+            run = letter_runs(text)
+            if run and self.models.langs:
+                yield self._verdict(self._rows_of(run))
+            else:
+                yield (UNKNOWN, 0.0, None, 0, False, None, None)
+
+    def _rows_of(self, run: list[str]) -> np.ndarray:
         if len(self.place) > MEMO:
             self.start()
-        fresh = list(dict.fromkeys(w for run in runs for w in run if w not in self.place))
+        fresh = list(dict.fromkeys(w for w in run if w not in self.place))
         if fresh:
             begin = len(self.place)
             self.place.update(zip(fresh, range(begin, begin + len(fresh)), strict=True))
@@ -290,53 +347,60 @@ class _Scorer:
             for part in range(0, len(fresh), 20_000):
                 words = fresh[part : part + 20_000]
                 self.rows[begin + part : begin + part + len(words)] = self.models.word_rows(words)
-        return [self._verdict(run) for run in runs]
+        return self.rows[np.fromiter(map(self.place.__getitem__, run), np.int64, len(run))]
 
-    def _verdict(self, run: list[str]) -> tuple:
-        if not run:
-            return (UNKNOWN, 0.0, None, 0, False)
-        total = self.rows[np.fromiter(map(self.place.__getitem__, run), np.int64, len(run))].sum(axis=0)
+    def _verdict(self, rows: np.ndarray) -> tuple:
+        total = rows.sum(axis=0)
         n = int(total[-1])
         bits = -total[:-1] / n
         best = int(np.argmin(bits))
         score = 1 / float(np.exp2(np.minimum((bits[best] - bits) * min(n, EVIDENCE), 0)).sum())
-        accepted = True
-        if self.models.limits is not None:
-            mean, limit = self.models.limits[:, best]
-            accepted = not bits[best] - mean > max(MARGIN, SLACK * limit / np.sqrt(min(n, 400)))
-        return (self.models.langs[best], score, float(bits[best]), n, bool(accepted))
+        accepted = self.models.limits is None or bool(bits[best] <= self.models.limits[best, band_of(n)])
+        langs = self.models.langs
+        if len(langs) == 1:
+            return (langs[best], score, float(bits[best]), n, accepted, None, None)
+        bits[best], least = np.inf, float(bits[best])
+        second = int(np.argmin(bits))
+        return (langs[best], score, least, n, accepted, langs[second], float(bits[second]))
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """Predict the language of each whole text; nothing but the training's small tables is shuffled.
 
     Each language has an interpolated Kneser-Ney model of the characters of its words. A text's runs of letters are
-    scored in all models at once; the lowest cross-entropy for each character wins. The text is rejected (``accepted``
-    false) if its cross-entropy exceeds the language's mean by more than calibrating texts did, with slack, where
-    short texts may differ more. Labels are learnt from the rows of folds 0, 1 and 3 of the id's CRC-32 only.
+    scored in all models; the lowest cross-entropy for each character wins. The text is rejected (``accepted``
+    false) if its cross-entropy lies above the limit of its language for texts about as long: above every calibrating text of the
+    language and, where other languages' texts lie higher still, half-way to them (``_limits``). Labels are learnt from the rows of
+    folds 0, 1 and 3 of the id's CRC-32 only.
 
     Defined results: a null text, and one without letters, is ``und`` with score 0 and rejected; so is every text if no
-    row can be learnt from. A row with null id or null language is predicted but not learnt from (null id: ``held_out``
-    false). Equal scores go to the language first by code point. Rows may repeat; other columns are neither read nor
+    row can be learnt from. Without calibrating texts nothing else is rejected. A row with null id or null language is predicted but not learnt from (null id: ``held_out``
+    false). Equal scores go to the language first by code point. Rows may repeat and count each; other columns are neither read nor
     returned; an empty table gives an empty result.
 
-    Returns ``doc_id, held_out, lang_pred, score, cross_entropy, n_predicted, accepted``.
+    Returns ``doc_id, held_out, lang_pred, score, cross_entropy, n_predicted, accepted, second, second_entropy``.
     """
     models = train(docs, id_col, text_col, lang_col, sample)
     held_out = F.coalesce(fold(F.col(id_col)) == 2, F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    return score_texts(rows, models, ["doc_id", "held_out"])
+    return _score(rows, models, ["doc_id", "held_out"])
 
 
 def keep_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text the language identification accepts, with all their columns; only the texts go to the workers."""
+    """The rows whose text the language identification accepts, with all their columns.
+
+    Rows pass through the workers in batches of bounded bytes; none waits beside them, as it would for a function of one column.
+    Defined results are those of ``language_id``: texts that are null or have no letters go, whatever else their row holds.
+    """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))
+    place = docs.columns.index(text_col)
+    accepted = [name for name, _, _ in VERDICT].index("accepted")
 
-    @F.pandas_udf("boolean")
-    def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            slices = text_slices(pa.Array.from_pandas(batch, type=pa.string()))
-            yield pd.Series([row[-1] for texts in slices for row in scorer.judge(texts)], dtype=bool)
+            keep = [row[accepted] for texts in text_slices(batch.column(place)) for row in scorer.judge(texts)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.where(accepted(F.col(f"`{text_col}`")))
+    return docs.mapInArrow(run, docs.schema)

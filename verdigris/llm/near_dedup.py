@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm._common import mix64, packed, stage, text_slices
+from verdigris.llm._common import bound_batches, drop_staged, frequent_first, frequent_values, mix64, packed, stage, text_slices
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -27,7 +26,10 @@ RARE = 0.001
 #: Rows of the table of random parameters that shingles are hashed to.
 ROWS = 1 << 14
 BLOCK = 256
-
+#: The count-min sketch of document frequencies: rows, counters of a row, counters that travel together.
+SKETCH_ROWS, SKETCH, TOGETHER = 2, 1 << 21, 1 << 11
+#: Candidates that a task counts before it passes its counts on.
+HELD = 1_000_000
 
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -88,14 +90,15 @@ class Shingler:
 
 
 def _map_texts(docs: DataFrame, make, schema: str) -> DataFrame:
-    """Run ``make(texts, ids)``, which yields record batches, over slices of ``docs`` (``id, text``)."""
+    """Run ``make()(batch, texts)``, which yields record batches, over slices of ``docs``, whose last column is the text."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             at = 0
-            for texts in text_slices(batch.column(1)):
-                yield from work(batch.column(0).slice(at, len(texts)), texts)
+            for texts in text_slices(batch.column(batch.num_columns - 1)):
+                yield from work(batch.slice(at, len(texts)), texts)
                 at += len(texts)
         if hasattr(work, "end"):
             yield from work.end()
@@ -103,84 +106,104 @@ def _map_texts(docs: DataFrame, make, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-class _LocalCounts:
-    """Document frequencies inside one task: only those that may matter leave it.
+def sketch_places(hashes: np.ndarray) -> list[np.ndarray]:
+    """The counter of each hash in each row of the sketch: bits that neither ``Sampler`` nor the other row uses alone."""
+    bits = SKETCH.bit_length() - 1
+    return [(hashes >> np.uint64(64 - bits * (k + 1))).astype(np.int64) & (SKETCH - 1) for k in range(SKETCH_ROWS)]
 
-    Counts take bounded memory: beyond ``limit`` shingles the rarest are forgotten, and ``missed`` is the most that any
-    shingle's count may have lost by that. What more than ``share`` of the task's documents hold is always reported.
-    """
 
-    def __init__(self, share: float, limit: int = 6_000_000):
-        self.share, self.limit, self.shingle = share, limit, Shingler()
-        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+class _Sketch:
+    """The count-min sketch of a task's document frequencies: its size doesn't depend on the task's, and no count is lost."""
+
+    def __init__(self):
+        self.shingle, self.counts = Shingler(), np.zeros((SKETCH_ROWS, SKETCH), np.int64)
         self.parts: list[np.ndarray] = []
-        self.docs = self.held = self.missed = 0
+        self.docs = self.held = 0
 
     def __call__(self, _, texts):
         for text in texts:
             self.parts.append(self.shingle.distinct(text))
             self.docs += 1
             self.held += len(self.parts[-1])
-        if self.held > 2_000_000:
-            self.merge()
+            if self.held > HELD:
+                self.merge()
         yield from ()
 
     def merge(self):
-        found, times = np.unique(np.concatenate(self.parts), return_counts=True)
-        if len(self.hashes):
-            found, at = np.unique(np.concatenate([self.hashes, found]), return_inverse=True)
-            times = np.bincount(at, np.concatenate([self.counts, times])).astype(np.int64)
-        least = 0
-        while len(found) > self.limit:
-            least += 1
-            keep = times > least
-            found, times = found[keep], times[keep]
-        self.missed += least
-        self.hashes, self.counts, self.parts, self.held = found, times, [], 0
+        for row, places in zip(self.counts, sketch_places(np.concatenate(self.parts)), strict=True):
+            row += np.bincount(places, minlength=SKETCH)
+        self.parts, self.held = [], 0
 
     def end(self):
         if self.docs:
             self.merge()
-            often = self.counts > self.share * self.docs - self.missed
-            hashes = np.append(self.hashes[often].view(np.int64), 0)
-            counts = np.append(self.counts[often] + self.missed, 0)  # no less than the true ones
-            docs = np.append(np.zeros(len(hashes) - 1, np.int64), self.docs)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts, pa.int64()), pa.array(docs)], names=["shingle", "df", "docs"])
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if self.counts.max() <= np.iinfo(k).max)
+            blocks = self.counts.reshape(-1, TOGETHER)
+            some = np.flatnonzero(blocks.any(axis=1))
+            contents = [blocks[i].astype(kind).tobytes() for i in some] + [None]
+            docs = np.append(np.zeros(len(some), np.int64), self.docs)
+            arrays = [pa.array(np.append(some, -1)), pa.array(contents, pa.binary()), pa.array(docs)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["block", "counts", "docs"])
 
 
-class _ExactCounts:
-    """Document frequencies of the shingles asked for."""
+def _full_counters(blocks: DataFrame, most: float) -> DataFrame:
+    """The counters above ``most``: blocks meet by number and are summed as they pass, one array for each number that a task sees."""
 
-    def __init__(self, wanted: np.ndarray):
-        self.wanted, self.shingle = wanted, Shingler()
-        self.counts = np.zeros(len(wanted), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = counts.as_buffer()
+                kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[data.size // TOGETHER]
+                held = sums.setdefault(block, np.zeros(TOGETHER, np.int64))
+                held += np.frombuffer(data, kind).astype(np.int64)
+        found = [block * TOGETHER + np.flatnonzero(held > most) for block, held in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], names=["counter"])
+
+    return blocks.where("block >= 0").select("block", "counts").repartition("block").mapInArrow(run, "counter long")
+
+
+class _CandidateCounts:
+    """Document frequencies of the shingles whose counters are all full; passed on whenever many are held, so memory is bounded."""
+
+    def __init__(self, full: np.ndarray):
+        self.full, self.shingle = full, Shingler()
+        self.parts: list[np.ndarray] = []
+        self.held = 0
 
     def __call__(self, _, texts):
         for text in texts:
             found = self.shingle.distinct(text)
-            at = np.searchsorted(self.wanted, found)
-            at = at[self.wanted[np.minimum(at, len(self.wanted) - 1)] == found] if len(self.wanted) else at[:0]
-            self.counts[at] += 1
-        yield from ()
+            likely = np.ones(len(found), bool)
+            for row, places in zip(self.full, sketch_places(found), strict=True):
+                likely &= row[places]
+            self.parts.append(found[likely])
+            self.held += len(self.parts[-1])
+            if self.held > HELD:
+                yield from self.end()
 
     def end(self):
-        some = self.counts > 0
-        yield pa.RecordBatch.from_arrays([pa.array(self.wanted[some].view(np.int64)), pa.array(self.counts[some])], names=["shingle", "df"])
+        if self.held:
+            found, times = np.unique(np.concatenate(self.parts), return_counts=True)
+            self.parts, self.held = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], names=["shingle", "df"])
 
 
 def common_shingles(texts: DataFrame, rare: float = RARE) -> tuple[np.ndarray, np.ndarray, int]:
     """The shingles in more than the share ``rare`` of all documents, with their weights (IDF), and the number of documents.
 
-    A task reports the shingles in more than half that share of its documents. One in more than ``rare`` of all documents
-    has reports of more than half of ``rare`` times all documents, as what goes unreported is less than that; so only
-    such shingles stay candidates. There are at most 2 / ``rare`` times the mean number of shingles in a document of them,
-    whatever the corpus. A second pass counts the candidates exactly.
+    A count-min sketch over all documents, a fixed number of counters for each task, bounds each shingle's document frequency
+    from above. Only shingles whose counters lie above ``rare`` of all documents can be common, and a second pass counts
+    these exactly: nothing is dropped, whatever the split. There are at most 1 / ``rare`` times the mean number of shingles
+    of a document that are common, whatever the corpus; only they go to the driver.
     """
-    local = stage(_map_texts(texts, lambda: _LocalCounts(rare / 2), "shingle long, df long, docs long"), "local-df")
+    local = stage(_map_texts(texts, _Sketch, "block long, counts binary, docs long"), "sketch")
     n = local.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
-    likely = local.where("df > 0").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") > rare / 2 * n)
-    wanted = np.sort(likely.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
-    exact = _map_texts(texts, lambda: _ExactCounts(wanted), "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
+    full = np.zeros(SKETCH_ROWS * SKETCH, bool)
+    full[_full_counters(local, rare * n).toPandas()["counter"].to_numpy(np.int64)] = True  # at most all counters: 4 MB as bits
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(full))
+    unpacked = lambda: np.unpackbits(shared.value).astype(bool).reshape(SKETCH_ROWS, SKETCH)
+    exact = _map_texts(texts, lambda: _CandidateCounts(unpacked()), "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
     found = exact.where(F.col("df") > rare * n).toPandas().astype(np.int64)
     hashes = found["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -279,20 +302,19 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 class _Signer:
-    """Signatures (null for a text without words) and digests of texts."""
+    """Signatures of texts, null for a text without words, beside the other columns."""
 
     def __init__(self, common: np.ndarray, idf: np.ndarray):
         self.weights = Weights(common, idf)
         self.sample = Sampler(self.weights.most)
 
-    def __call__(self, ids, texts):
-        signatures, digests = [], []
+    def __call__(self, batch, texts):
+        signatures = []
         for text in texts:
             hashes, weights = self.weights(text)
             signatures.append(self.sample(hashes, weights).tobytes() if len(hashes) else None)
-            digests.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
-        arrays = [ids, pa.array(signatures, pa.binary()), pa.array(digests, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["id", "signature", "digest"])
+        arrays = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(signatures, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "signature"])
 
 
 def _signature_rows(column) -> np.ndarray:
@@ -419,59 +441,56 @@ def components(edges: DataFrame) -> DataFrame:
     """``id, root``: for each id in ``edges`` (``a, b``) the smallest id that it is connected with.
 
     Smallest labels spread along edges and by jumping to the label's own label. Each round is staged; the driver holds
-    the number of changes only. Sums and minima combine on the map side, so an id with very many edges is no hot key.
+    the number of changes only. Minima combine on the map side; the edges of an id with very many of them, and the ids of a large
+    component, look up their label by broadcast (``frequent_first``), so no id is a hot key.
     """
     both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    hubs = frequent_values(both, "b")
     labels = stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "id").select("id", "root", F.least("root", "near").alias("new"))
-        step = stage(step, "step")
+        near = frequent_first(both, labels.withColumnRenamed("id", "b"), "b", hubs).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
+        step = stage(labels.join(near, "id").select("id", "root", F.least("root", "near").alias("new")), "step")
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        moved = stage(step.join(jump, "new", "left").select("id", "root", F.least("new", "far").alias("new")), "labels")
-        changed = moved.where(F.col("root") != F.col("new")).isEmpty()
+        moved = stage(frequent_first(step, jump, "new").select("id", "root", F.least("new", "far").alias("new")), "labels")
+        done = moved.where(F.col("root") != F.col("new")).isEmpty()
+        drop_staged(labels, step)
         labels = moved.select("id", F.col("new").alias("root"))
-        if changed:
+        if done:
+            drop_staged(both, hubs)
             return labels
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The near-duplicate class of each document: classes are connected by links of weighted Jaccard >= ``threshold``.
-
-    1. Texts' shingles of five words weigh their number times IDF. Shingles common enough to weigh less are counted
-       exactly over all documents (``common_shingles``); they are few, whatever the corpus, and broadcast.
-    2. Each text gets a signature of consistent weighted samples and sixteen bands; identical texts stand for each
-       other by digest and go on once.
-    3. In each band's bucket every text is a candidate with the bucket's first and last text (by hashed id): two rows
-       for each text and bucket, however large the bucket. Candidates whose signatures agree are compared in full.
-    4. What these links leave in different components although it shares a bucket is compared too, block against block
-       inside tasks: first signatures, then the texts that agree with one of another component. So no link that would join
-       two classes is left out, no pairs come out of a task but links, and a group that is already connected costs nothing.
-
-    Defined results: a null text counts as empty; empty texts equal each other and nothing else; texts of fewer than
-    five words are one shingle; a document without links is its own class. Ids must not be null or repeat; rows with a null id
-    are left out. Other columns are neither read nor returned; an empty table gives an empty result.
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The near-duplicate class of each row (staged): ``row, doc_id, digest, tid, root``.
 
-    Returns ``doc_id, class_id`` (the class's smallest id), ``class_size`` and ``text_id`` (smallest id of the same text).
+    ``row`` numbers the input's rows and is all that the steps below know a row by, so ids may be null or repeat. ``tid`` is the row
+    that stands for the row's text, ``root`` that which stands for the class.
     """
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    common, idf, _ = common_shingles(texts)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text"))
+    common, idf, _ = common_shingles(docs.select(text.alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast((common, idf))
-    signed = stage(_map_texts(texts, lambda: _Signer(*shared.value), "id long, signature binary, digest binary"), "signatures")
-    twins = stage(signed.groupBy("digest").agg(F.min("id").alias("text_id")), "twins")
-    owner = stage(signed.select("id", "digest").join(twins, "digest").select("id", "text_id"), "owners")
-    signatures = stage(
-        signed.where(F.col("signature").isNotNull()).join(twins.select(F.col("text_id").alias("id")), "id", "left_semi").select("id", "signature"), "signed"
-    )
+    kind = docs.schema[id_col].dataType.simpleString()
+    signed = stage(_map_texts(rows, lambda: _Signer(*shared.value), f"row long, doc_id {kind}, digest string, signature binary"), "signatures")
+    # Of equal texts the row with the smallest id stands for all; a null id comes after the others.
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    twins = stage(signed.groupBy("digest").agg(F.min(rank).alias("best")).select("digest", F.col("best.row").alias("tid")), "twins")
+    owner = stage(frequent_first(signed.select("row", "doc_id", "digest"), twins, "digest").select("row", "doc_id", "digest", "tid"), "owners")
+    lone = signed.where(F.col("signature").isNotNull()).select(F.col("row").alias("id"), "signature")
+    signatures = stage(_merge(lone, twins.select(F.col("tid").alias("id")), "id", "left_semi"), "signed")
     buckets = stage(signatures.mapInArrow(_bander, "id long, band long"), "bands")
     ends = buckets.groupBy("band").agg(
         F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("low"),
         F.max(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("high"),
         F.count(F.lit(1)).alias("n"),
     )
-    shared_buckets = stage(buckets.join(ends.where("n > 1"), "band"), "buckets")
+    shared_buckets = stage(frequent_first(buckets, stage(ends.where("n > 1"), "ends"), "band"), "buckets")
     # Only these texts are compared; the whole table's texts are shuffled this once.
-    texts = stage(_merge(texts, shared_buckets.select("id").distinct(), "id", "left_semi"), "texts")
+    wanted = stage(_merge(shared_buckets.select(F.col("id").alias("row")).distinct(), owner.select("row", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), "row"), "wanted")
+    met = _merge(rows, wanted, "row").where((F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = stage(met.select(F.col("row").alias("id"), "text"), "texts")
+    if texts.count() != wanted.count():
+        raise RuntimeError("the input's rows came in another order when read again: write it as a table first")
     star = shared_buckets.select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other")
     pairs = star.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     left = signatures.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
@@ -481,19 +500,66 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = components(links)
     root = F.coalesce("root", "id").alias("root")
     placed = stage(shared_buckets.where("n > 3").select("band", "id").join(joined, "id", "left").select("band", "id", root), "placed")
-    mixed = placed.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("n")).where("r <> s")
-    rest = stage(placed.join(mixed, "band").select("band", "id", "root", "n"), "rest")
+    mixed = stage(placed.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("n")).where("r <> s"), "mixed")
+    rest = stage(frequent_first(placed, mixed, "band").select("band", "id", "root", "n"), "rest")
     more = verified_blocks(stage(_across(rest, signatures), "likely"), texts, shared, threshold)
     total = stage(links.unionByName(more), "links")
     roots = components(total)
-    owned = owner.join(roots.withColumnRenamed("id", "text_id"), "text_id", "left")
-    owned = stage(owned.select(F.col("id").alias("doc_id"), F.coalesce("root", "text_id").alias("class_id"), "text_id"), "classes")
-    sizes = owned.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return owned.join(sizes, "class_id").select("doc_id", "class_id", "class_size", "text_id")
+    linked = frequent_first(owner, roots.withColumnRenamed("id", "tid"), "tid").select("row", "doc_id", "digest", "tid", "root")
+    alone = owner.join(roots.select(F.col("id").alias("tid")), "tid", "left_anti").withColumn("root", F.col("tid"))
+    classes = stage(linked.unionByName(alone), "classes")
+    drop_staged(signed, twins, owner, signatures, buckets, shared_buckets, wanted, texts, links, placed, mixed, rest, total)
+    return classes
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The near-duplicate class of each document: classes are connected by links of weighted Jaccard >= ``threshold``.
+
+    1. Texts' shingles of five words weigh their number times IDF. Shingles common enough to weigh less are counted
+       exactly over all documents (``common_shingles``); they are few, whatever the corpus, and broadcast.
+    2. Each text gets a signature of consistent weighted samples and sixteen bands; identical texts stand for each
+       other by digest and go on once.
+    3. In each band's bucket every text is a candidate with the bucket's first and last text (by hashed row): two rows
+       for each text and bucket, however large the bucket. Candidates whose signatures agree are compared in full.
+    4. What these links leave in different components although it shares a bucket is compared too, block against block
+       inside tasks: first signatures, then the texts that agree with one of another component. So no link that would join
+       two classes is left out, no pairs come out of a task but links, and a group that is already connected costs nothing.
+
+    Defined results: ids are integers. A null text counts as empty; empty texts equal each other and nothing else; texts of fewer
+    than five words are one shingle; a document without links is its own class. Rows with null or repeated ids are rows like others, each
+    in the class of its own text. A class is named by its smallest id; where that is null or names another class as well (ids that
+    repeat), by a number above all ids. Other columns are neither read nor returned; an empty table gives an empty result.
+
+    Returns ``doc_id, class_id, class_size`` and ``text_id`` (the smallest id of the same text), one row for each input row.
+    """
+    rows = near_rows(docs, id_col, text_col, threshold)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")
+    groups = stage(rows.groupBy("root").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("class_size")), "groups")
+    # Of the classes with one and the same smallest id the first keeps it as a name.
+    names = groups.where("first.id is not null").groupBy(F.col("first.id").alias("_id")).agg(F.min("first.row").alias("_first"))
+    above = F.lit((rows.agg(F.max("doc_id")).first()[0] or 0) + 1)
+    name = F.when(F.col("_first") == F.col("first.row"), F.col("first.id")).otherwise(above + F.col("first.row")).cast("long")
+    named = groups.join(names, F.col("first.id") == F.col("_id"), "left").select("root", name.alias("class_id"), "class_size")
+    ids = rows.where("row = tid").select("tid", F.col("doc_id").alias("text_id"))
+    out = frequent_first(rows, stage(named, "named"), "root").select("doc_id", "tid", "class_id", "class_size")
+    return frequent_first(stage(out, "named-rows"), stage(ids, "text-ids"), "tid").select("doc_id", "class_id", "class_size", "text_id")
 
 
 def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate class, that of the smallest id, with all its columns; rows with a null id stay."""
-    classes = stage(near_classes(docs, id_col, text_col), "near-classes")
-    dropped = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_drop"))
-    return packed(docs).join(dropped, F.col(f"row.`{id_col}`") == F.col("_drop"), "left_anti").select("row.*")
+    """One row of each near-duplicate class, that of the smallest id, with all its columns.
+
+    Rows are told apart by id and text, so rows that share an id stay or go by their own texts; a null id loses to any other. Of rows
+    that repeat id and text one stays.
+    """
+    rows = near_rows(docs, id_col, text_col)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row"), F.col("digest"))
+    heads = stage(rows.groupBy("root").agg(F.min(rank).alias("head")).select("root", F.col("head.id").alias("_id"), F.col("head.digest").alias("_digest"), F.col("head.row").alias("_row")), "heads")
+    placed = stage(frequent_first(rows.select("row", "doc_id", "digest", "root"), heads, "root").where("row <> _row"), "followers")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    dropped = placed.where(~same).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_sha")).distinct()
+    digest = F.sha2(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).cast("binary"), 256)
+    kept = packed(docs).select("row", digest.alias("_digest"), F.col(f"row.`{id_col}`").alias("_key"))
+    kept = kept.join(dropped, F.col("_digest").eqNullSafe(F.col("_sha")) & F.col("_key").eqNullSafe(F.col("_id")), "left_anti")
+    if not placed.where(same).isEmpty():
+        kept = kept.dropDuplicates(["_key", "_digest"])
+    return kept.select("row.*")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm._common import stage
+from verdigris.llm._common import bound_batches, stage
 
 #: Magic number of the skippable frame that holds a dictionary (fixed by the format).
 DICTIONARY_FRAME = 0x184D2A5D
@@ -115,6 +115,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """
     import zstandard
 
+    bound_batches(pages.sparkSession)
     dictionary = pages.sparkSession.sparkContext.broadcast(train_dictionary(pages, id_col, html_col))
     html = F.coalesce(F.col(html_col), F.lit(""))
     digests = stage(pages.select(F.col(id_col).alias("page_id"), F.sha1(html.cast("binary")).alias("digest")), "payloads")
