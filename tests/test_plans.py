@@ -10,11 +10,11 @@ from verdigris.plans import catalog, envelopes, intent, routing
 from verdigris.plans.boolean_query import compile_query, name_predicate, parse_document_query
 
 LINES = [
-    ("docA.pdf::p1::c0", "plano de abandono com custo estimado"),
-    ("docB.pdf::p1::c0", "plano diretor de tecnologia"),
-    ("docC.pdf::p1::c0", "custo operacional previsto"),
-    ("docD.pdf::p1::c0", "abandono seguro do poco"),
-    ("docE.pdf::p1::c0", "plano preliminar custo anual"),
+    ("docA.pdf::p1::c0", "mapa de relevo com escala ampliada"),
+    ("docB.pdf::p1::c0", "mapa rodoviario da regiao"),
+    ("docC.pdf::p1::c0", "escala salarial aprovada"),
+    ("docD.pdf::p1::c0", "relevo ondulado do vale"),
+    ("docE.pdf::p1::c0", "mapa antigo escala reduzida"),
 ]
 
 
@@ -27,63 +27,69 @@ def chunks(spark):
 @pytest.mark.parametrize(
     "query, want",
     [
-        ("plano AND custo", "AE"),
-        ("plano OR operacional", "ABCE"),
-        ("plano NOT diretor", "AE"),
-        ('"plano de abandono"', "A"),
-        ("plano near/2 custo", "E"),
-        ("NOT plano", "CD"),
+        ("mapa AND escala", "AE"),
+        ("mapa OR salarial", "ABCE"),
+        ("mapa NOT rodoviario", "AE"),
+        ('"mapa de relevo"', "A"),
+        ("mapa near/2 escala", "E"),
+        ("NOT mapa", "CD"),
         ("nothing", ""),
         ("", ""),
-        ("plano de near/2 custo", "BE"),
+        ("mapa de near/2 escala", "BE"),
     ],
 )
 def test_chunk_queries(chunks, query, want):
     found = with_tokens(chunks).where(compile_query(query, F.col("tokens"))).select("doc").collect()
-    if query.startswith("plano de near"):  # pieces from left to right: plano, then "de near/2 custo"
+    if query.startswith("mapa de near"):  # pieces from left to right: mapa, then "de near/2 escala"
         want = "ABE"
     assert sorted(r.doc[3] for r in found) == list(want)
 
 
-@pytest.mark.parametrize("query, want", [('"plano de abandono" AND custo NOT diretor', "A"), ("NOT diretor", "ACDE")])
+@pytest.mark.parametrize("query, want", [('"mapa de relevo" AND escala NOT rodoviario', "A"), ("NOT rodoviario", "ACDE")])
 def test_document_queries(chunks, query, want):
     found = documents_matching(chunks, "doc", parse_document_query(query)).collect()
     assert sorted(r.doc[3] for r in found) == list(want)
 
 
 def test_excluding_a_whole_document(spark):
-    rows = [("docA", "conteudo sem a sigla"), ("docA", "este trecho cita pdid"), ("docB", "conteudo sem a sigla")]
-    found = documents_matching(spark.createDataFrame(rows, "doc string, text string"), "doc", parse_document_query('not "pdid"')).collect()
+    rows = [("docA", "texto sobre o rio"), ("docA", "aqui aparece xyzt"), ("docB", "texto sobre o rio")]
+    found = documents_matching(spark.createDataFrame(rows, "doc string, text string"), "doc", parse_document_query('not "xyzt"')).collect()
     assert [r.doc for r in found] == ["docB"]
 
 
 def test_parsed_queries():
-    q = parse_document_query('"plano de abandono" AND custo NOT diretor')
-    assert (q.terms, q.operator, q.exclude) == (('"plano de abandono"', "custo"), "AND", ("diretor",))
-    q = parse_document_query("plano near/2 custo")
-    assert (q.terms, q.operator, q.exclude) == (("plano near/2 custo",), "OR", ())
+    q = parse_document_query('"mapa de relevo" AND escala NOT rodoviario')
+    assert (q.terms, q.operator, q.exclude) == (('"mapa de relevo"', "escala"), "AND", ("rodoviario",))
+    q = parse_document_query("mapa near/2 escala")
+    assert (q.terms, q.operator, q.exclude) == (("mapa near/2 escala",), "OR", ())
 
 
 def test_document_names(spark):
-    names = ["Relatorio PDI custo final.pdf", "Minuta PDI custo.pdf", "Plano.pdf", "Outro_documento_PDI.pdf"]
+    names = ["Parecer ABC verba anual.pdf", "Rascunho ABC verba.pdf", "Mapa.pdf", "Anexo_geral_ABC.pdf"]
     rows = spark.createDataFrame([(n,) for n in names], "name string")
     pick = lambda q: [r.name for r in rows.where(name_predicate(q, F.col("name"))).collect()]
-    assert pick("PDI AND custo NOT minuta") == names[:1]
-    assert pick('"Minuta PDI custo.pdf" and "Plano.pdf"') == names[1:3]
+    assert pick("ABC AND verba NOT rascunho") == names[:1]
+    assert pick('"Rascunho ABC verba.pdf" and "Mapa.pdf"') == names[1:3]
 
 
 @pytest.mark.parametrize(
     "question, enabled, precision, start",
     [
-        ("Em 12/03/2019, qual era o normativo aplicado ao caso?", True, "day", date(2019, 3, 12)),
-        ("Em 12/03/19, qual era o normativo aplicado ao caso?", True, "day", date(2019, 3, 12)),
-        ("Em marco de 2019, qual norma vigente se aplicava ao caso?", True, "month", date(2019, 3, 1)),
-        ("Em 2019, qual norma vigente se aplicava ao caso?", True, "year", date(2019, 1, 1)),
-        ("A Portaria 123/2019 revogou qual regra?", False, None, None),
-        ("Em 2019, quais eram as sancoes aplicaveis ao caso?", True, "year", date(2019, 1, 1)),
-        ("Em 12/03/19, quais eram as sancoes aplicaveis ao caso?", True, "day", date(2019, 3, 12)),
-        ("Em 12/03/19, como o caso estava enquadrado?", True, "day", date(2019, 3, 12)),
-        ("Em 5 de maio de 2016 a lei valia?", True, "day", date(2016, 5, 5)),
+        ("No dia 07/08/2014, que portaria regia a cobranca?", True, "day", date(2014, 8, 7)),
+        ("Que regra valia em 07.08.14 para a taxa?", True, "day", date(2014, 8, 7)),
+        ("Desde 2014-08-07 a norma mudou?", True, "day", date(2014, 8, 7)),
+        ("Que norma regia a taxa em agosto de 2014?", True, "month", date(2014, 8, 1)),
+        ("Que norma regia a taxa em 08/2014?", True, "month", date(2014, 8, 1)),
+        ("Durante 2014 que norma regia a taxa?", True, "year", date(2014, 1, 1)),
+        ("No ano de 1998 e nao de 2003, que lei valia?", True, "year", date(1998, 1, 1)),
+        ("1998: quais multas cabiam?", True, "year", date(1998, 1, 1)),
+        ("Que multas cabiam (1998)?", True, "year", date(1998, 1, 1)),
+        ("Que regra a Resolucao 77/2014 alterou?", False, None, None),
+        ("Que regra a Lei 9/2014 alterou?", False, None, None),
+        ("As multas de 1998 e de 2003 sao iguais?", False, None, None),
+        ("O que a Portaria 155/2016 dizia em 2018?", True, "year", date(2018, 1, 1)),
+        ("O decreto valia em 1o de abril de 2017?", True, "day", date(2017, 4, 1)),
+        ("O decreto valia em 31/02/2017?", False, None, None),
         ("o que e uma lei?", False, None, None),
     ],
 )
@@ -93,9 +99,11 @@ def test_temporal_intent(question, enabled, precision, start):
 
 
 def test_act_references():
-    assert intent.act_reference("Em 2019, qual norma?") == intent.ActReference(None, None, None)
-    assert intent.act_reference("O que diz a Portaria 123/2018 em 2019?") == intent.ActReference("portaria", "123", 2018)
-    assert intent.act_reference("resolução nº 1.212 de 2020").number == "1212"
+    assert intent.act_reference("Em 2014, que norma regia a taxa?") == intent.ActReference(None, None, None)
+    assert intent.act_reference("Que prazo fixa a Resolucao 77/2014 desde 2016?") == intent.ActReference("resolucao", "77", 2014)
+    assert intent.act_reference("a instrução normativa nº 1.305 de 2021").number == "1305"
+    assert intent.act_reference("lei complementar 12 de 1999") == intent.ActReference("lei complementar", "12", 1999)
+    assert intent.act_reference("que lei valia em 2014") == intent.ActReference(None, None, None)
     assert intent.detect("a regra vale hoje?", date(2020, 1, 2)).start == date(2020, 1, 2)
 
 
