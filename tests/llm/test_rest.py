@@ -13,10 +13,10 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from verdigris.llm import bpe, warc
-from verdigris.llm.hilbert import curve, hilbert_shards
+from verdigris.llm.hilbert import curve, hilbert_shards, name_edges
 from verdigris.llm.language_id import language_id, letter_runs
 from verdigris.llm.mixing import mix_sources, mixed_documents
-from verdigris.llm.vp_tree import VpTree, nearest
+from verdigris.llm.vp_tree import LEAF, VpTree, nearest
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -87,6 +87,29 @@ def test_nearest_is_exact(spark):
     assert nearest(frame.where("vec_id in (0, 1)")).count() == 1
 
 
+def test_nearest_of_awkward_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e200, 1.0]), (2, [1e-200, 0.0]), (3, [2.0, 0.0]), (3, [0.0, 2.0]), (4, [1.0, 1.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    # The overflowing and the vanishing vector take no part; id 3 stands for its least vector.
+    assert [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in got] == [(0, 1, 4, 0.707107), (0, 2, 3, 0.0)]
+
+
+def test_clusters_are_pruned_and_exact(spark):
+    rng = np.random.default_rng(9)
+    v = (8 * rng.normal(size=(12, 1, 6)) + rng.normal(size=(12, 80, 6))).reshape(-1, 6)
+    frame = spark.createDataFrame([(int(i), [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    want = brute(list(range(len(v))), v, 20, 5)
+    for shard in (40, 100, 2000):
+        got = collections.defaultdict(list)
+        for r in nearest(frame, every=20, shard=shard).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        assert got == {q: [i for _, i in best] for q, best in want.items()}
+    tree = VpTree(np.arange(len(v)), v, 6)
+    ids = np.arange(0, len(v), 20)
+    list(tree.search(v[ids], ids, 5, 1.0))
+    assert LEAF < len(v) and tree.seen < 0.75 * len(v) * len(ids)
+
+
 def test_relaxed_pruning_keeps_recall():
     rng = np.random.default_rng(5)
     v = rng.normal(size=(2000, 16)) + 3 * rng.normal(size=(1, 16)) * rng.integers(0, 5, (2000, 1))
@@ -123,6 +146,26 @@ def test_shards_have_equal_counts(documents):
     assert hilbert_shards(documents([])).count() == 0
 
 
+def test_shards_prune(spark):
+    rng = random.Random(31)
+    rows = [(i, "w " * int(10 ** rng.uniform(0, 3.5)), f"s{min(int(rng.expovariate(0.15)), 30):02d}", rng.choice(["de", "en", "en", "es", "fr"])) for i in range(6000)]
+    rows += [(None, None, None, None), (1, "w", None, "en"), (1, "w", None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    edges = name_edges(docs, "source")
+    assert len(edges) >= 10 and edges == sorted(set(edges))
+    got = hilbert_shards(docs).collect()
+    assert len(got) == len(rows)
+    meta = {i: (s, g) for i, _, s, g in rows}
+    shards = collections.defaultdict(list)
+    for r in got:
+        shards[r.shard].append((*meta[r.doc_id], r.size))
+    # What a filter must read: shards whose least and greatest value enclose what it asks for.
+    reads = lambda k, value: sum(min(x[k] or "" for x in s) <= value <= max(x[k] or "" for x in s) for s in shards.values())
+    assert np.mean([reads(0, s) for s in {x[2] for x in rows if x[2]}]) <= 10 and np.mean([reads(1, g) for g in ("de", "es", "fr")]) <= 14
+    spans = [max(x[2] for x in s) / min(x[2] for x in s) for s in shards.values()]
+    assert np.median(spans) <= max(r.size for r in got) / 8 / 4
+
+
 def test_archives_round_trip(spark):
     rows = [(i, f"http://x/{i}" if i % 3 else None, h, 0) for i, h in enumerate([None, "", "<p>é</p>" * 50, "<p>é</p>" * 50, "x" * 300_000, *[f"<b>page {k}</b>" * 20 for k in range(60)], "<p>é</p>" * 50])]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, top int")
@@ -155,6 +198,32 @@ def test_archives_that_are_damaged(spark):
     assert sum(r.problem is None for r in got) == 3 and sum(r.problem is not None for r in got) == 3
 
 
+def test_archives_with_null_and_repeated_ids(spark):
+    rows = [(None, "http://x/", "lone"), (None, None, "lone"), (None, "u", "met"), (3, "u", "met"), (3, "u", "met"), (2, "u", "met"), (7, "u", "own")]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    found = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got)
+    assert found == {(None, 4, "response", None): 2, (None, 3, "revisit", 3): 1, (3, 3, "response", None): 2, (2, 3, "revisit", 3): 1, (7, 3, "response", None): 1}
+
+
+def test_archives_with_dictionaries(spark):
+    import struct
+
+    import zstandard
+
+    records = [warc.record_bytes(i, "http://x/", b"<p>some page of words and more words</p>" * (i + 2), None, False) for i in range(300)]
+    trained = zstandard.train_dictionary(4096, records).as_bytes()
+    frame = lambda x: struct.pack("<II", warc.DICTIONARY_FRAME, len(x)) + x
+    packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(trained))
+    body = b"".join(packer.compress(r) for r in records)
+    squeezed = zstandard.ZstdCompressor().compress(trained)
+    contents = [frame(trained) + body, frame(squeezed) + body, frame(squeezed[:-9]) + body, frame(trained[:-1]), (frame(trained) + body)[:-5], body]
+    frames = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(contents)], "n int, content binary").repartition(2)
+    count = lambda i, cut=None: [sum((r.problem is None) == good for r in warc.read_archives(frames.where(f"n = {i}")).collect()) for good in (True, False)]
+    assert count(0) == count(1) == [300, 0]
+    assert count(2)[0] == 0 and count(2)[1] >= 1
+    assert count(3) == [0, 0] and count(4) == [299, 1] and count(5)[0] == 0
+
+
 @pytest.fixture(scope="module")
 def codec():
     return bpe.Bpe(bpe.load_ranks(RANKS), public_tokenizers.PATTERN)

@@ -68,6 +68,39 @@ def test_secrets_match_plain_python(documents):
         assert [x for x in got[i].spans.split(",") if x.split(":")[0] in kinds] == base
 
 
+ROLES = {"access": "who", "ident": "who", "assign": "what", "hex": "what", "key": "what", "blob": "what", "endpoint": "where", "host": "where"}
+
+
+def linked_spans(text):
+    """All reported spans and the linked ones, from all pairs of parts."""
+    found = []
+    for p in [*secrets.BASE, *secrets.WEAK]:
+        for m in re.finditer(p.regex, text):
+            value = ASSIGN.fullmatch(m[0]) if p.kind == "assign" else None
+            mixed = all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))
+            if (value is None or len(value[2]) >= 6) and (p.kind != "blob" or mixed):
+                found.append((m.start(), m.end(), p.kind))
+    base, apart = {p.kind for p in secrets.BASE}, lambda a, b: a[1] <= b[0] or b[1] <= a[0]
+    live = [x for x in found if x[2] in base or all(apart(x, y) for y in found if y[2] in base)]
+    live = [x for x in live if x[2] != "blob" or all(apart(x, y) for y in found if y[2] not in base and y[2] != "blob")]
+    breaks = [m.start() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]
+    scope = lambda x: sum(b < x[0] for b in breaks)
+    linked = {x for x in live for y in live if scope(x) == scope(y) and apart(x, y) and (ROLES[x[2]] == "what") != (ROLES[y[2]] == "what")}
+    return {x for x in live if x[2] in base} | linked, {(scope(x), *x) for x in linked}
+
+
+def test_links_match_all_pairs(documents):
+    rng = random.Random(21)
+    parts = [*PARTS, "user=AbcDef123456789012345678", "see https://site.org/Docs/2024/ReleaseNotesForAll today", "https://h.org/?auth=abcdef99&x=1", "pass = hunter22zz", "\n", "\n \n", "A1b2C3d4E5f6G7h8J9k0Lm", "client_id: Zx81"]
+    given = ["see https://site.org/Docs/2024/ReleaseNotesForAll today", "user=AbcDef123456789012345678"]
+    given += [rng.choice([" ", "", "\n"]).join(rng.choice(parts) for _ in range(rng.randint(2, 10))) for _ in range(300)]
+    for r in secret_report(documents(given)).collect():
+        spans, linked = linked_spans(given[r.doc_id])
+        assert {(int(s), int(e), k) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)} == spans, given[r.doc_id]
+        assert {(int(c), int(s), int(e), k) for c, k, s, e in (x.split(":") for x in r.credentials.split(",") if x)} == linked, given[r.doc_id]
+        assert r.doc_id > 1 or r.spans == ""
+
+
 def test_weak_parts_need_their_complement(documents):
     alone = "user: bob"
     linked = "user: bob\npass = hunter22zz\nhttps://db.example.com/x"

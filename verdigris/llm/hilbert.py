@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm._common import with_global_rank
+from verdigris.llm._common import stage, with_global_rank
 
 SHARDS = 24
 DIMS, BITS = 3, 4
@@ -48,14 +48,38 @@ def curve(dims: int = DIMS, bits: int = BITS) -> tuple[int, ...]:
     return tuple(places)
 
 
-def named_code(value: Column) -> Column:
-    """A name's coordinate from 0 to 15: the first hexadecimal digit of its SHA-256; null has 0."""
-    return F.coalesce(F.conv(F.substring(F.sha2(value.cast("binary"), 256), 1, 1), 16, 10).cast("int"), F.lit(0))
+def name_edges(docs: DataFrame, name_col: str, cells: int = 1 << BITS) -> list[str]:
+    """The names at which the coordinates 1 to ``cells - 1`` begin: names in order share the rows evenly, as far as one name isn't more.
 
-
-def size_code(size: Column) -> Column:
-    """A size's coordinate from 0 to 15: its binary logarithm, less 3, as sizes begin at 8."""
-    return F.least(F.length(F.bin(size)) - 4, F.lit(15))
+    The rows are counted by name; running counts of the names (range partitions and their offsets, no task with all names) say in
+    which coordinate a name's middle row lies. At most ``cells - 1`` names come to the driver.
+    """
+    counts = docs.select(F.col(name_col).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    dealt = counts.repartitionByRange(F.col("name").asc_nulls_first()).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("_part").orderBy(F.col("name").asc_nulls_first())
+    run = stage(dealt.withColumn("_upto", F.sum("n").over(inside)), "names")
+    sums = run.groupBy("_part").agg(F.sum("n").alias("n"))
+    before = sums.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # One row for each range partition.
+    middle = F.col("_before") + F.col("_upto") - F.col("n") / 2
+    code = F.least((middle * cells / max(total, 1)).cast("int"), F.lit(cells - 1))
+    found = run.join(F.broadcast(before), "_part").groupBy(code.alias("code")).agg(F.min("name").alias("name")).where("code > 0 and name is not null")
+    return [r.name for r in found.orderBy("code").collect()]
+
+
+def size_edges(sizes: DataFrame, size_col: str, cells: int = 1 << BITS) -> list[int]:
+    """The sizes at which the coordinates 1 to ``cells - 1`` begin: approximate quantiles, equal ones once."""
+    found = sizes.agg(F.percentile_approx(size_col, [k / cells for k in range(1, cells)], 10_000)).first()[0] or []
+    return sorted(set(found))
+
+
+def code_of(value: Column, edges: list) -> Column:
+    """How many edges the value has reached; null has reached none."""
+    total = F.lit(0)
+    for edge in edges:
+        total = total + F.coalesce((value >= F.lit(edge)).cast("int"), F.lit(0))
+    return total
 
 
 def hilbert_shards(
@@ -67,15 +91,16 @@ def hilbert_shards(
 ) -> DataFrame:
     """Place each row in a shard: a run of the Hilbert order over two names and the size.
 
+    Each dimension is quantised by its own quantiles, so that the grid's 16 steps a side are used however names and sizes are spread.
     Rows near each other on the curve agree in all three dimensions, so a shard covers a compact box of the grid and
-    a reader that filters on any of the dimensions can leave most shards unread. The runs are cut by count: the
+    a reader that filters on any of the dimensions can leave most shards unread by their least and greatest values. The runs are cut by count: the
     shards' counts differ by one at most (law ``rows``). Inside a cell the rows follow by checksum and id, so equal
     texts with equal metadata are neighbours; a hot cell spreads over as many runs as it needs.
 
     The order is made by range partitions and offsets (``with_global_rank``), never in one task, and holds a few
     numbers for each document; texts are read once and not shuffled.
 
-    Defined results: a null text has 0 bytes and the checksum of the empty text; null names have coordinate 0; null
+    Defined results: a null text has 0 bytes and the checksum of the empty text; null names come before all others; null
     ids come last in their cell; repeated rows get neighbouring slots; with fewer rows than shards some shards stay
     empty; an empty table gives an empty result.
 
@@ -84,10 +109,13 @@ def hilbert_shards(
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.octet_length(text).cast("long") + OVERHEAD
     a, b = name_cols
-    cell = F.shiftleft(named_code(F.col(a)), 2 * BITS) + F.shiftleft(named_code(F.col(b)), BITS) + size_code(size)
     keyed = docs.select(
-        F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), cell.alias("_cell")
+        F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col(a).alias("_a"), F.col(b).alias("_b")
     )
+    keyed = stage(keyed, "sizes")
+    codes = [code_of(F.col("_a"), name_edges(keyed, "_a")), code_of(F.col("_b"), name_edges(keyed, "_b")), code_of(F.col("size"), size_edges(keyed, "size"))]
+    cell = F.shiftleft(codes[0], 2 * BITS) + F.shiftleft(codes[1], BITS) + codes[2]
+    keyed = keyed.select("doc_id", "size", "text_crc32", cell.alias("_cell"))
     places = docs.sparkSession.range(1).select(
         F.posexplode(F.split(F.lit(",".join(map(str, curve()))), ",")).alias("_cell", "_p")
     )

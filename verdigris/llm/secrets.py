@@ -38,9 +38,11 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Base kinds (``assign``, ``access``, ``hex``) are reported always. Weak kinds are parts of a credential that say little
     alone: an identifier, a secret or an endpoint. The text's scopes are its blocks between blank lines, and a scope
     bounds the join, however far apart its parts stand: an identifier or an endpoint needs a secret there and a secret an
-    identifier or an endpoint. Each role's presence is counted once for a scope, with no pairs made however many parts it
-    holds. Parts that are linked so, base kinds too, have the scope's number as their ``credential``. A weak span that
-    overlaps a base span is dropped: the base span reports it.
+    identifier or an endpoint, and the two must not overlap, as one string is no second part of itself. A part ends before
+    another begins if and only if it ends before the last one of that role begins, so the least end and the greatest start of each
+    role in the scope decide, with no pairs made however many parts it holds. Parts that are linked so, base kinds too, have
+    the scope's number as their ``credential``. A weak span that overlaps a base span is dropped, as the base span reports
+    it, and so is a ``blob`` that overlaps another weak span.
 
     Defined results: null and empty texts have no spans; ids may be null or repeated (each row stands alone); other
     columns are neither read nor returned; an empty table gives an empty result.
@@ -62,17 +64,22 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     before, behind = row.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, -1)
     base = F.col("kind").isin([p.kind for p in BASE])
     found = found.withColumn("_scope", F.count(F.when(F.col("kind") == "break", 1)).over(row))
-    found = found.withColumn("_base_end", F.max(F.when(base, F.col("end"))).over(before))
-    found = found.withColumn("_base_start", F.min(F.when(base, F.col("start"))).over(behind))
-    clear = F.coalesce(F.col("_base_end") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("_base_start") >= F.col("end"), F.lit(True))
+    named = F.col("kind").isin([p.kind for p in WEAK if p.kind != "blob"])
+    clear = F.lit(True)
+    for name, over, when in (("base", base, F.lit(True)), ("named", named, F.col("kind") == "blob")):
+        found = found.withColumn(f"_{name}_end", F.max(F.when(over, F.col("end"))).over(before))
+        found = found.withColumn(f"_{name}_start", F.min(F.when(over, F.col("start"))).over(behind))
+        free = F.coalesce(F.col(f"_{name}_end") <= F.col("start"), F.lit(True)) & F.coalesce(F.col(f"_{name}_start") >= F.col("end"), F.lit(True))
+        clear = clear & (~when | free)
     found = found.withColumn("weak", weak).withColumn("_live", ~weak | clear)
     scope = Window.partitionBy("_row", "_scope")
-    near = {}
+    beside = {}
     for name, kinds in (("identifier", IDENTIFIERS), ("secret", SECRETS), ("endpoint", ENDPOINTS)):
         is_part = F.col("kind").isin(kinds) & F.col("_live")
-        found = found.withColumn(f"_{name}", F.count_if(is_part).over(scope))
-        near[name] = F.col(f"_{name}") > 0
-    complemented = F.when(F.col("kind").isin(SECRETS), near["identifier"] | near["endpoint"]).otherwise(near["secret"])
+        found = found.withColumn(f"_{name}_end", F.min(F.when(is_part, F.col("end"))).over(scope))
+        found = found.withColumn(f"_{name}_start", F.max(F.when(is_part, F.col("start"))).over(scope))
+        beside[name] = F.coalesce((F.col(f"_{name}_end") <= F.col("start")) | (F.col(f"_{name}_start") >= F.col("end")), F.lit(False))
+    complemented = F.when(F.col("kind").isin(SECRETS), beside["identifier"] | beside["endpoint"]).otherwise(beside["secret"])
     reported = F.col("kind").isNotNull() & (F.col("kind") != "break") & (base | (F.col("_live") & complemented))
     found = found.withColumn("credential", F.when(F.col("_live") & complemented, F.col("_scope")))
     return found.select("_row", "doc_id", *[F.when(reported, F.col(c)).alias(c) for c in ("kind", "match", "start", "end", "weak", "credential")])

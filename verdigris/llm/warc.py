@@ -111,7 +111,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """One WARC record for each page, in archives of bounded size: ``archive`` (name), ``content`` (the whole file).
 
     Equal payloads are found by their SHA-1: sums of one small row a page, which combine on the map side. The page
-    with the largest id carries the payload, the others revisit it. Pages meet what was decided for them by id.
+    with the largest id carries the payload, the others revisit it; pages that share that id, or of which all ids are null (nothing could
+    refer to them), all carry it. Pages meet what was decided for them by id.
     """
     import zstandard
 
@@ -120,7 +121,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     html = F.coalesce(F.col(html_col), F.lit(""))
     digests = stage(pages.select(F.col(id_col).alias("page_id"), F.sha1(html.cast("binary")).alias("digest")), "payloads")
     groups = digests.groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    revisits = stage(digests.join(groups, "digest").where("page_id < top or page_id is null").select("page_id", "digest", "top").distinct(), "revisits")
+    revisits = stage(digests.join(groups, "digest").where("top is not null and (page_id < top or page_id is null)").select("page_id", "digest", "top").distinct(), "revisits")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     key = rows["page_id"].eqNullSafe(revisits["page_id"]) & (rows["digest"] == revisits["digest"])
     rows = rows.join(revisits, key, "left").select(rows["page_id"], "url", "html", "top", revisits["digest"].isNotNull().alias("revisit"))
@@ -150,6 +151,18 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return rows.mapInArrow(run, "archive string, content binary")
 
 
+def _dictionary(data: bytes) -> bytes:
+    """The dictionary itself: the frame may hold it as a Zstandard frame."""
+    import zstandard
+
+    if not data.startswith(zstandard.FRAME_HEADER):
+        return data
+    try:
+        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    except zstandard.ZstdError as error:
+        raise ValueError(f"the dictionary can't be read: {error}") from None
+
+
 def frames_of(content: bytes) -> Iterator[bytes]:
     """The decoded frames of an archive; its dictionary comes from the skippable frame at its head, if there is one."""
     import zstandard
@@ -160,7 +173,7 @@ def frames_of(content: bytes) -> Iterator[bytes]:
         if magic == DICTIONARY_FRAME:
             if len(content) < 8 + size:
                 raise ValueError("the dictionary frame is cut off")
-            held = zstandard.ZstdCompressionDict(content[8 : 8 + size]) if size else None
+            held = zstandard.ZstdCompressionDict(_dictionary(content[8 : 8 + size])) if size else None
             at = 8 + size
     opener, view = zstandard.ZstdDecompressor(dict_data=held), memoryview(content)
     while at < len(content):
@@ -224,7 +237,7 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """Write all pages to archives in the shared folder and read these back.
 
     Defined results: a null html has an empty payload; a null url leaves its header out; a null id stays null and
-    loses to any other id; rows repeated with the same id and payload get records of the same kind; other
+    loses to any other id, and equal payloads whose ids are all null are responses; rows repeated with the same id and payload get records of the same kind; other
     columns are neither read nor returned; an empty table gives no archive and an empty result.
 
     Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to, problem`` (null: the record is valid).
