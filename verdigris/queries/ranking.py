@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 from verdigris.operators import context
 from verdigris.operators import ranking as R
 from verdigris.queries._registry import query
-from verdigris.queries.text import TOKENS
+from verdigris.queries.text import TOKENS, documents_index
 
 QUESTION = ["the", "that", "tion", "erth", "with", "the"]
 MORE = {"q1": QUESTION, "q2": ["la", "pour", "vous"], "q3": ["und", "der", "lich"]}
 
 
+def best(table, queries: dict[str, list[str]], k: int):
+    """``q, doc_id, score, rank``: the best documents for each query, from the index."""
+    return documents_index(table).bm25(queries, k).withColumnRenamed("id", "doc_id")
+
+
+def best_one(table, k: int):
+    return best(table, {"q": QUESTION}, k).select("doc_id", "score", "rank")
+
+
 def _list(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -36,13 +45,13 @@ def bm25_sql(queries: dict[str, list[str]], k: int) -> str:
 @query(f"WITH {bm25_sql({'q1': QUESTION}, 10)} SELECT doc_id, score, rank FROM bm")
 def bm25_topk(table, spark):
     """The ten best documents for a question by BM25."""
-    return R.bm25_topk(table("documents"), QUESTION, 10, "doc_id")
+    return best_one(table, 10)
 
 
 @query(f"WITH {bm25_sql(MORE, 5)} SELECT q, doc_id, score, rank FROM bm")
 def bm25_multi_query(table, spark):
     """The five best documents for each of several questions."""
-    return R.bm25_many(table("documents"), MORE, 5, "doc_id")
+    return best(table, MORE, 5)
 
 
 #: A question's vector: a fixed row's, read as one row.
@@ -84,7 +93,7 @@ def minmax_normalize(table, spark):
 
 def _two_lists(table, n: int):
     semantic = R.vector_topk(table("embeddings"), _asked(table), n, "vec_id", "embedding").withColumnRenamed("vec_id", "doc_id")
-    return semantic, R.bm25_topk(table("documents"), QUESTION, n, "doc_id")
+    return semantic, best_one(table, n)
 
 
 def hybrid_sql(n: int) -> str:
@@ -117,14 +126,13 @@ def overlap_fallback(table, spark):
 @query(f"WITH {bm25_sql(MORE, 50)} SELECT doc_id, round(sum(1.0 / (60 + rank)), 8) AS score FROM bm GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20")
 def rrf_fusion(table, spark):
     """Three rankings fused by reciprocal ranks."""
-    rows = R.bm25_many(table("documents"), MORE, 50, "doc_id")
-    return R.reciprocal_rank_fusion([rows.where(F.col("q") == q) for q in MORE], ["doc_id"], 20)
+    return R.reciprocal_rank_fusion([best(table, MORE, 50)], ["doc_id"], 20)  # a row for each query and document is all that it sums
 
 
 @query(f"WITH {bm25_sql(MORE, 50)} SELECT source AS base, bm.doc_id, round(sum(1.0 / (60 + rank)), 8) AS score FROM bm JOIN documents USING (doc_id) GROUP BY ALL ORDER BY score DESC, base, doc_id LIMIT 20")
 def multi_base_rrf(table, spark):
     """The same over several bases: a document's base is part of its key."""
-    rows = R.bm25_many(table("documents"), MORE, 50, "doc_id").join(table("documents").select("doc_id", F.col("source").alias("base")), "doc_id")
+    rows = best(table, MORE, 50).join(table("documents").select("doc_id", F.col("source").alias("base")), "doc_id")
     return R.reciprocal_rank_fusion([rows], ["base", "doc_id"], 20)
 
 
@@ -135,8 +143,8 @@ def multi_base_rrf(table, spark):
 def rerank_local(table, spark):
     """Sixty candidates ranked anew by vector, words and their score."""
     docs = table("documents").select("doc_id", "text").join(table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    best = R.bm25_topk(table("documents"), QUESTION, 60, "doc_id").select("doc_id", "score").join(docs, "doc_id")
-    return R.rerank_local(best, QUESTION, _asked(table), 20, "doc_id", "text", "embedding")
+    rows = best_one(table, 60).select("doc_id", "score").join(docs, "doc_id")
+    return R.rerank_local(rows, QUESTION, _asked(table), 20, "doc_id", "text", "embedding")
 
 
 #: Orders as records with a domain: relation by status, area and family by priority.
@@ -183,7 +191,7 @@ def coverage_reserve(table, spark):
 @query()
 def mmr_select(table, spark):
     """Candidates of each language in an order that spreads their scores."""
-    rows = R.bm25_many(table("documents"), MORE, 100, "doc_id").select("q", "doc_id", "score")
+    rows = best(table, MORE, 100).select("q", "doc_id", "score")
     return R.mmr(rows, 20, "doc_id", "q")
 
 
@@ -193,15 +201,15 @@ def mmr_select(table, spark):
 )
 def cited_docs(table, spark):
     """What the twelve best rows cite: sources in order, with their rows."""
-    best = R.bm25_topk(table("documents"), QUESTION, 40, "doc_id").join(table("documents").select("doc_id", "source"), "doc_id")
-    return context.cited_documents(best, "source", "doc_id", "rank", "score")
+    rows = best_one(table, 40).join(table("documents").select("doc_id", "source"), "doc_id")
+    return context.cited_documents(rows, "source", "doc_id", "rank", "score")
 
 
 @query()
 def context_pack(table, spark):
     """The rows of a ranked list that fit a context of 20,000 characters."""
-    best = R.bm25_topk(table("documents"), QUESTION, 40, "doc_id").join(table("documents").select("doc_id", "source", "n_chars"), "doc_id")
-    return context.pack_context(best, "source", "rank", F.col("n_chars"), 20_000).select("place", "rank", "doc_id", "source", "n_chars")
+    rows = best_one(table, 40).join(table("documents").select("doc_id", "source", "n_chars"), "doc_id")
+    return context.pack_context(rows, "source", "rank", F.col("n_chars"), 20_000).select("place", "rank", "doc_id", "source", "n_chars")
 
 
 @query()

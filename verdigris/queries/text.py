@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import text as X
 from verdigris.operators import context, lexical
+from verdigris.operators.lexical_index import LexicalIndex, index_for
 from verdigris.plans import boolean_query as Q
 from verdigris.queries._registry import query
 
@@ -17,6 +18,11 @@ PHRASE = ["of", "the"]
 TERMS = ["the", "la", "der", "que", "with"]
 
 
+def documents_index(table) -> LexicalIndex:
+    """The documents' index: built by the first query that needs it, read by all others."""
+    return index_for(table("documents"), "doc_id")
+
+
 def _lines(table):
     return table("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
 
@@ -31,8 +37,7 @@ def tokenize_counts(table, spark):
 @query(f"{EXPLODED} SELECT token, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS tf, max(pos - 1)::INT AS last_position FROM w GROUP BY token")
 def postings_stats(table, spark):
     """The positional index, summed for each token."""
-    index = lexical.postings(table("documents").select("doc_id", "text"), "doc_id")
-    return index.groupBy("token").agg(
+    return documents_index(table).postings.groupBy("token").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.max(F.array_max("positions")).alias("last_position")
     )
 
@@ -40,13 +45,11 @@ def postings_stats(table, spark):
 @query(f"{EXPLODED} SELECT doc_id, count(*)::INT AS tf, min(pos - 1)::INT AS first_position FROM w WHERE token = 'with' GROUP BY doc_id")
 def term_lookup(table, spark):
     """Documents that hold one word, with its frequency and first place."""
-    rows = lexical.with_tokens(table("documents")).where(F.array_contains("tokens", "with"))
-    places = lexical.positions_of(F.col("tokens"), "with")
-    return rows.select("doc_id", F.size(places).alias("tf"), places[0].alias("first_position"))
+    return documents_index(table).of(["with"]).select(F.col("id").alias("doc_id"), "tf", F.col("positions")[0].alias("first_position"))
 
 
 def _matching(table, text):
-    return lexical.with_tokens(table("documents")).where(Q.compile_query(text, F.col("tokens"))).select("doc_id")
+    return documents_index(table).matching(text).withColumnRenamed("id", "doc_id")
 
 
 @query(f"{WORDS} SELECT doc_id FROM d WHERE list_contains(t, 'with') AND list_contains(t, 'from')")
@@ -85,9 +88,7 @@ def phrase_search(table, spark):
 @query(f"{PHRASES} SELECT doc_id, count(*)::INT AS n FROM p GROUP BY doc_id")
 def phrase_frequency(table, spark):
     """How often two words stand in a row."""
-    rows = lexical.with_tokens(table("documents"))
-    n = F.size(lexical.phrase_starts(F.col("tokens"), PHRASE))
-    return rows.where(F.array_contains("tokens", PHRASE[0])).select("doc_id", n.alias("n")).where("n > 0")
+    return documents_index(table).phrase_counts(PHRASE).withColumnRenamed("id", "doc_id")
 
 
 @query(f"{EXPLODED} SELECT DISTINCT a.doc_id FROM w a JOIN w b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) <= 2 WHERE a.token = 'with' AND b.token = 'from'")
