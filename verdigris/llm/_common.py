@@ -79,8 +79,10 @@ def ascii_lower(text: Column) -> Column:
 
 def frequent_values(rows: DataFrame, key: str, support: float = 0.001) -> DataFrame:
     """At most ``1 / support`` values of ``key`` (staged), with all that more than ``support`` of the rows carry (Misra-Gries)."""
-    found = rows.stat.freqItems([key], support).select(F.explode(f"{key}_freqItems").alias(key))
-    return stage(found.where(F.col(key).isNotNull()).distinct(), "frequent")
+    binary = dict(rows.dtypes)[key] == "binary"  # counted as text: arrays of bytes are no keys of a summary
+    counted = rows.select(F.hex(key).alias(key)) if binary else rows
+    found = counted.stat.freqItems([key], support).select(F.explode(f"{key}_freqItems").alias(key)).where(F.col(key).isNotNull())
+    return stage((found.select(F.unhex(key).alias(key)) if binary else found).distinct(), "frequent")
 
 
 def frequent_first(rows: DataFrame, table: DataFrame, key: str, frequent: DataFrame | None = None) -> DataFrame:

@@ -83,6 +83,33 @@ def places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gram_keys(codes), np.minimum(place - lead + 1, ORDER)
 
 
+class Table:
+    """A sorted array of hashes with their values, looked up by the hashes' leading bits and a few steps from there."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.values = hashes[order], values[order]
+        self.shift = np.uint64(64 - max(1, int(len(hashes)).bit_length()))
+        heads = (self.hashes >> self.shift).astype(np.int64)
+        self.starts = np.searchsorted(heads, np.arange((1 << (64 - int(self.shift))) + 1))
+        self.steps = int(np.diff(self.starts).max(initial=0))
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the table holds each key, and its value."""
+        found, at = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        if len(self.hashes):
+            heads = (keys >> self.shift).astype(np.int64)
+            at, ends = self.starts[heads], self.starts[heads + 1]
+            at = np.minimum(at, len(self.hashes) - 1)
+            # Of the keys that begin alike the one at hand is smaller: a step on, for those that are left.
+            left = np.flatnonzero((self.hashes[at] < keys) & (at + 1 < ends))
+            while len(left):
+                at[left] += 1
+                left = left[(self.hashes[at[left]] < keys[left]) & (at[left] + 1 < ends[left])]
+            found = self.hashes[at] == keys
+        return found, self.values[at] if len(self.values) else np.zeros(len(keys))
+
+
 @dataclass
 class LanguageModel:
     """One language. ``grams[n - 1]``: sorted hashes of its n-grams and their log2 probabilities.
@@ -90,35 +117,26 @@ class LanguageModel:
     ``rests[n - 1]``: the same for the contexts of n-grams, with the log2 weight of the shorter n-gram.
     """
 
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    rests: list[tuple[np.ndarray, np.ndarray]]
+    grams: list[Table]
+    rests: list[Table]
     unseen: float  # log2 probability of a character that it never saw
 
     def log2_at(self, keys: np.ndarray, at: np.ndarray, reach: np.ndarray) -> np.ndarray:
         """log2 probability of the character at each of the places ``at`` after what stands before it."""
-        found, p = _look(self.grams[0], keys[0, at])
+        found, p = self.grams[0].look(keys[0, at])
         score = np.where(found, p, self.unseen)
         live = np.arange(len(at))
         for n in range(2, ORDER + 1):
             live = live[reach[at[live]] >= n]
-            known, rest = _look(self.rests[n - 1], keys[n - 2, at[live] - 1])
+            known, rest = self.rests[n - 1].look(keys[n - 2, at[live] - 1])
             live, rest = live[known], rest[known]  # a context that the language lacks is no part of a longer one
             if not len(live):
                 break
-            found, p = _look(self.grams[n - 1], keys[n - 1, at[live]])
+            found, p = self.grams[n - 1].look(keys[n - 1, at[live]])
             score[live] = np.where(found, p, rest + score[live])
         return score
 
 
-def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the sorted table holds each key, and its value."""
-    hashes, values = table
-    if not len(hashes):
-        return np.zeros(len(keys), bool), np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-    return hashes[at] == keys, values[at]
-
-
 @dataclass
 class CharModels:
     """The models of all languages, and ``limits[i, band]``: the cross-entropy up to which a text is accepted as language i."""
@@ -188,8 +206,9 @@ def gram_tables(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tables, rests.select("lang", "n", "context", alone.alias("rest"))
 
 
-def _hashed(rows: DataFrame, gram: str, value: str) -> DataFrame:
-    """``lang, n, key, value``: n-grams as hashes, so that what the driver gathers is a few bytes each."""
+def _hashed(rows: DataFrame, gram: str, value: str, langs: list[str]) -> dict[str, np.ndarray]:
+    """The columns ``lang`` (its place in the list), ``n, key, value``: n-grams as hashes, so the driver gathers a few bytes of each."""
+    place = {lang: i for i, lang in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,10 +218,12 @@ def _hashed(rows: DataFrame, gram: str, value: str) -> DataFrame:
             for n in np.unique(sizes[sizes > 0]):
                 at = np.flatnonzero(sizes == n)
                 keys[at] = keys_of([grams[i] for i in at])
-            arrays = [batch.column(0), pa.array(sizes), pa.array(keys.view(np.int64)), batch.column(2)]
+            known = np.array([place[lang] for lang in batch.column(0).to_pylist()], np.int16)
+            arrays = [pa.array(known), pa.array(sizes.astype(np.int8)), pa.array(keys.view(np.int64)), pa.array(batch.column(2).to_numpy().astype(np.float32))]
             yield pa.RecordBatch.from_arrays(arrays, names=["lang", "n", "key", "value"])
 
-    return rows.select("lang", gram, F.col(value).cast("double").alias("value")).mapInArrow(run, "lang string, n long, key long, value double")
+    made = rows.select("lang", gram, F.col(value).cast("double").alias("value")).mapInArrow(run, "lang short, n byte, key long, value float").toArrow()
+    return {name: made.column(name).to_numpy() for name in made.column_names}
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> CharModels:
@@ -221,27 +242,24 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: in
     runs = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
     words = drawn.where(~F.col("calibrates")).select("lang", runs).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("times"))
     tables, rests = gram_tables(words)
-    # Bounded by the sample: the n-grams of so many documents, 20 bytes each.
-    grams, rests = _hashed(tables, "gram", "p").toPandas(), _hashed(rests, "context", "rest").toPandas()
-    langs = sorted(grams["lang"].unique())
-    models = CharModels(langs, [_model(grams[grams["lang"] == lang], rests[rests["lang"] == lang]) for lang in langs])
-    if langs:
-        models.limits = _limits(models, drawn.where("calibrates"))
+    # Bounded by the sample: the n-grams of so many documents, 15 bytes each.
+    langs = sorted(r.lang for r in tables.select("lang").distinct().collect())
+    if not langs:
+        return CharModels([], [])
+    grams, rests = _hashed(tables, "gram", "p", langs), _hashed(rests, "context", "rest", langs)
+    models = CharModels(langs, [_model(grams, rests, i) for i in range(len(langs))])
+    models.limits = _limits(models, drawn.where("calibrates"))
     return models
 
 
-def _model(grams, rests) -> LanguageModel:
-    def table(rows) -> tuple[np.ndarray, np.ndarray]:
-        keys = rows["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        return keys[order], np.log2(rows["value"].to_numpy(float))[order]
+def _model(grams: dict[str, np.ndarray], rests: dict[str, np.ndarray], lang: int) -> LanguageModel:
+    def table(rows: dict[str, np.ndarray], n: int) -> Table:
+        some = (rows["lang"] == lang) & (rows["n"] == n)
+        return Table(rows["key"][some].view(np.uint64), np.log2(rows["value"][some].astype(float)))
 
-    # The context of an n-gram has n - 1 characters.
-    return LanguageModel(
-        [table(grams[grams["n"] == n]) for n in range(1, ORDER + 1)],
-        [table(rests[rests["n"] == (n - 1 if n > 1 else -1)]) for n in range(1, ORDER + 1)],
-        float(np.log2(rests["value"][rests["n"] == 0].iloc[0])),
-    )
+    # The context of an n-gram has n - 1 characters; that of a unigram, none, says what a character never seen gets.
+    unseen = rests["value"][(rests["lang"] == lang) & (rests["n"] == 0)]
+    return LanguageModel([table(grams, n) for n in range(1, ORDER + 1)], [table(rests, n - 1 if n > 1 else -1) for n in range(1, ORDER + 1)], float(np.log2(unseen[0])))
 
 
 def _limits(models: CharModels, drawn: DataFrame) -> np.ndarray:
@@ -313,6 +331,9 @@ def _score(rows: DataFrame, models: CharModels, carry: list[str]) -> DataFrame:
     return picked.mapInArrow(run, schema)
 
 
+NO_VERDICT = (UNKNOWN, 0.0, None, 0, False, None, None)
+
+
 class _Scorer:
     """Scores texts by the rows of their words, which are kept for the words seen last."""
 
@@ -324,19 +345,14 @@ class _Scorer:
         self.place: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.models.langs) + 1))
 
-    def judge(self, texts: list[str]) -> Iterator[tuple]:
-        """A tuple of the fields of ``VERDICT`` for each text."""
-        for text in texts:
-            run = letter_runs(text)
-            if run and self.models.langs:
-                yield self._verdict(self._rows_of(run))
-            else:
-                yield (UNKNOWN, 0.0, None, 0, False, None, None)
-
-    def _rows_of(self, run: list[str]) -> np.ndarray:
+    def judge(self, texts: list[str]) -> list[tuple]:
+        """A tuple of the fields of ``VERDICT`` for each text; words that no text had before are scored together."""
+        runs = [letter_runs(text) for text in texts]
+        if not self.models.langs:
+            return [NO_VERDICT] * len(texts)
         if len(self.place) > MEMO:
             self.start()
-        fresh = list(dict.fromkeys(w for w in run if w not in self.place))
+        fresh = list(dict.fromkeys(w for run in runs for w in run if w not in self.place))
         if fresh:
             begin = len(self.place)
             self.place.update(zip(fresh, range(begin, begin + len(fresh)), strict=True))
@@ -347,7 +363,8 @@ class _Scorer:
             for part in range(0, len(fresh), 20_000):
                 words = fresh[part : part + 20_000]
                 self.rows[begin + part : begin + part + len(words)] = self.models.word_rows(words)
-        return self.rows[np.fromiter(map(self.place.__getitem__, run), np.int64, len(run))]
+        place = self.place.__getitem__
+        return [self._verdict(self.rows[np.fromiter(map(place, run), np.int64, len(run))]) if run else NO_VERDICT for run in runs]
 
     def _verdict(self, rows: np.ndarray) -> tuple:
         total = rows.sum(axis=0)

@@ -27,7 +27,7 @@ RARE = 0.001
 ROWS = 1 << 14
 BLOCK = 256
 #: The count-min sketch of document frequencies: rows, counters of a row, counters that travel together.
-SKETCH_ROWS, SKETCH, TOGETHER = 2, 1 << 21, 1 << 11
+SKETCH_ROWS, SKETCH, TOGETHER = 2, 1 << 20, 1 << 12
 #: Candidates that a task counts before it passes its counts on.
 HELD = 1_000_000
 
@@ -140,10 +140,9 @@ class _Sketch:
             kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if self.counts.max() <= np.iinfo(k).max)
             blocks = self.counts.reshape(-1, TOGETHER)
             some = np.flatnonzero(blocks.any(axis=1))
-            contents = [blocks[i].astype(kind).tobytes() for i in some] + [None]
-            docs = np.append(np.zeros(len(some), np.int64), self.docs)
-            arrays = [pa.array(np.append(some, -1)), pa.array(contents, pa.binary()), pa.array(docs)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["block", "counts", "docs"])
+            contents = [pa.compress(blocks[i].astype(kind).tobytes(), "zstd", asbytes=True) for i in some]
+            arrays = [pa.array(some), pa.array(np.full(len(some), np.dtype(kind).itemsize, np.int32)), pa.array(contents, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["block", "bytes", "counts"])
 
 
 def _full_counters(blocks: DataFrame, most: float) -> DataFrame:
@@ -152,15 +151,13 @@ def _full_counters(blocks: DataFrame, most: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = counts.as_buffer()
-                kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[data.size // TOGETHER]
+            for block, size, counts in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 held = sums.setdefault(block, np.zeros(TOGETHER, np.int64))
-                held += np.frombuffer(data, kind).astype(np.int64)
+                held += np.frombuffer(pa.decompress(counts, size * TOGETHER, "zstd"), f"u{size}").astype(np.int64)
         found = [block * TOGETHER + np.flatnonzero(held > most) for block, held in sums.items()]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], names=["counter"])
 
-    return blocks.where("block >= 0").select("block", "counts").repartition("block").mapInArrow(run, "counter long")
+    return blocks.repartition("block").mapInArrow(run, "counter long")
 
 
 class _CandidateCounts:
@@ -197,17 +194,17 @@ def common_shingles(texts: DataFrame, rare: float = RARE) -> tuple[np.ndarray, n
     these exactly: nothing is dropped, whatever the split. There are at most 1 / ``rare`` times the mean number of shingles
     of a document that are common, whatever the corpus; only they go to the driver.
     """
-    local = stage(_map_texts(texts, _Sketch, "block long, counts binary, docs long"), "sketch")
-    n = local.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    n = texts.count()
+    local = _map_texts(texts, _Sketch, "block long, bytes int, counts binary")
     full = np.zeros(SKETCH_ROWS * SKETCH, bool)
-    full[_full_counters(local, rare * n).toPandas()["counter"].to_numpy(np.int64)] = True  # at most all counters: 4 MB as bits
+    full[_full_counters(local, rare * n).toArrow().column("counter").to_numpy()] = True  # some of a fixed number of counters
     shared = texts.sparkSession.sparkContext.broadcast(np.packbits(full))
     unpacked = lambda: np.unpackbits(shared.value).astype(bool).reshape(SKETCH_ROWS, SKETCH)
     exact = _map_texts(texts, lambda: _CandidateCounts(unpacked()), "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
-    found = exact.where(F.col("df") > rare * n).toPandas().astype(np.int64)
-    hashes = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    found = exact.where(F.col("df") > rare * n).toArrow()
+    hashes = found.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], 1 + np.log(n / found["df"].to_numpy(float)[order]), n
+    return hashes[order], 1 + np.log(n / found.column("df").to_numpy().astype(float)[order]), n
 
 
 class Weights:
@@ -255,7 +252,8 @@ class Sampler:
 
     ln a = c - r (t - b) - r with t = floor(ln w / r + b). Shingles share the random numbers of a table's row; equal
     ``a`` are decided by the shingle's hash. A value joins ``a`` (32 bits) and the shingle (32 bits), so two texts agree in a
-    place if and only if they sampled the same shingle at the same step.
+    place if and only if they sampled the same shingle at the same step. A signature holds 32 bits of each value, mixed: it proposes
+    and sorts out candidates, which are then compared in full.
     """
 
     def __init__(self, usual: float):
@@ -282,13 +280,13 @@ class Sampler:
                 r, c, b = (x[at] for x in _parameters())
                 value = _sortable(self._log_a(r, c, b, np.log(weights[cut][~some])[:, None]))
                 np.minimum(out, (value | low[cut][~some, None]).min(axis=0), out=out)
-        return out
+        return (mix64(out) >> np.uint64(32)).astype(np.uint32)
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
     """A hash of each band of a signature (its number is part of it)."""
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in signature.reshape(BANDS, BAND).T:
+    for column in signature.reshape(BANDS, BAND).T.astype(np.uint64):
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + column)
     return key
 
@@ -318,7 +316,7 @@ class _Signer:
 
 
 def _signature_rows(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SAMPLES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SAMPLES)
 
 
 def _bander(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,11 +465,11 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     that stands for the row's text, ``root`` that which stands for the class.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
     common, idf, _ = common_shingles(docs.select(text.alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast((common, idf))
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = stage(_map_texts(rows, lambda: _Signer(*shared.value), f"row long, doc_id {kind}, digest string, signature binary"), "signatures")
+    signed = stage(_map_texts(rows, lambda: _Signer(*shared.value), f"row long, doc_id {kind}, digest binary, signature binary"), "signatures")
     # Of equal texts the row with the smallest id stands for all; a null id comes after the others.
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     twins = stage(signed.groupBy("digest").agg(F.min(rank).alias("best")).select("digest", F.col("best.row").alias("tid")), "twins")
@@ -479,16 +477,13 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     lone = signed.where(F.col("signature").isNotNull()).select(F.col("row").alias("id"), "signature")
     signatures = stage(_merge(lone, twins.select(F.col("tid").alias("id")), "id", "left_semi"), "signed")
     buckets = stage(signatures.mapInArrow(_bander, "id long, band long"), "bands")
-    ends = buckets.groupBy("band").agg(
-        F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("low"),
-        F.max(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("high"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    ends = buckets.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
     shared_buckets = stage(frequent_first(buckets, stage(ends.where("n > 1"), "ends"), "band"), "buckets")
     # Only these texts are compared; the whole table's texts are shuffled this once.
     wanted = stage(_merge(shared_buckets.select(F.col("id").alias("row")).distinct(), owner.select("row", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), "row"), "wanted")
     met = _merge(rows, wanted, "row").where((F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     texts = stage(met.select(F.col("row").alias("id"), "text"), "texts")
+    signatures = stage(_merge(signatures, wanted.select(F.col("row").alias("id")), "id", "left_semi"), "signed")
     if texts.count() != wanted.count():
         raise RuntimeError("the input's rows came in another order when read again: write it as a table first")
     star = shared_buckets.select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other")
@@ -519,7 +514,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        exactly over all documents (``common_shingles``); they are few, whatever the corpus, and broadcast.
     2. Each text gets a signature of consistent weighted samples and sixteen bands; identical texts stand for each
        other by digest and go on once.
-    3. In each band's bucket every text is a candidate with the bucket's first and last text (by hashed row): two rows
+    3. In each band's bucket every text is a candidate with the bucket's first and last text: two rows
        for each text and bucket, however large the bucket. Candidates whose signatures agree are compared in full.
     4. What these links leave in different components although it shares a bucket is compared too, block against block
        inside tasks: first signatures, then the texts that agree with one of another component. So no link that would join
@@ -557,7 +552,7 @@ def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: st
     placed = stage(frequent_first(rows.select("row", "doc_id", "digest", "root"), heads, "root").where("row <> _row"), "followers")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
     dropped = placed.where(~same).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_sha")).distinct()
-    digest = F.sha2(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).cast("binary"), 256)
+    digest = F.unhex(F.sha2(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).cast("binary"), 256))
     kept = packed(docs).select("row", digest.alias("_digest"), F.col(f"row.`{id_col}`").alias("_key"))
     kept = kept.join(dropped, F.col("_digest").eqNullSafe(F.col("_sha")) & F.col("_key").eqNullSafe(F.col("_id")), "left_anti")
     if not placed.where(same).isEmpty():
