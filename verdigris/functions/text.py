@@ -39,6 +39,11 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(strip_accents(F.coalesce(text, F.lit("")))), r"\s+", " "))
 
 
+def simple(text: Column) -> Column:
+    """Lower case, runs of white space as one space, trimmed; accents stay."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+
+
 def alnum_key(name: Column) -> Column:
     """A file name's key: without folder and ``.pdf``, only a-z and 0-9."""
     base = F.regexp_replace(F.lower(strip_accents(name)), r"^.*[/\\]", "")
@@ -104,6 +109,45 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)<a\s+[^>]*href=["']([^"']*)["']"""), F.lit(1))
 
 
+def url_value(url: Column, *names: str) -> Column:
+    """The first of some parameters of a URL that has a value, decoded; ``&amp;`` counts as ``&``."""
+    plain = F.replace(url, F.lit("&amp;"), F.lit("&"))
+    found = [F.try_url_decode(F.regexp_extract(plain, rf"[?&]{n}=([^&#]*)", 1)) for n in names]
+    return F.coalesce(*[F.when(v != "", v) for v in found], F.lit(None).cast("string"))
+
+
+#: Parameters under which a legal site's URLs name an act.
+ACT_PARAMETERS = {
+    "kind": ("tipo", "sgl_tipo"), "number": ("numeroAto", "num_ato"), "sequence": ("seqAto", "seq_ato"), "year": ("valorAno", "vlr_ano"),
+    "organ": ("orgao", "sgl_orgao"), "module": ("cod_modulo",), "menu": ("cod_menu",),
+}
+
+
+def act_of_url(url: Column) -> Column:
+    """``kind, number, sequence, year, organ, module, menu`` of the act that a URL names; null if one that has no default lacks."""
+    parts = {name: url_value(url, *names) for name, names in ACT_PARAMETERS.items()}
+    parts["sequence"], parts["module"] = F.coalesce(parts["sequence"], F.lit("000")), F.coalesce(parts["module"], F.lit("566"))
+    whole = F.lit(True)
+    for value in parts.values():
+        whole = whole & value.isNotNull()
+    return F.when(whole, F.struct(*[v.alias(k) for k, v in parts.items()]))
+
+
+def first_url(urls: Column) -> Column:
+    """The first of some URLs between bars."""
+    return F.trim(F.get(F.split(F.coalesce(urls, F.lit("")), r"\|"), F.lit(0)))
+
+
+def register_functions(spark) -> None:
+    """``company_name(text)`` as a SQL function: a company's telling words in one form. It is a SQL body, so calls stay in the JVM."""
+    words = ", ".join(f"'{w}'" for w in COMPANY_STOP_WORDS)
+    plain = f"regexp_replace(translate(coalesce(t, ''), '{ACCENTED}', '{BARE}'), '\\\\p{{Mn}}+', '')"
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION company_name(t STRING) RETURNS STRING
+        RETURN array_join(filter(regexp_extract_all(lower({plain}), '([a-z0-9]+)', 1), w -> w NOT IN ({words})), ' ')"""
+    )
+
+
 def slug(name: Column) -> Column:
     return F.trim(F.regexp_replace(normalize(name), "[^a-z0-9]+", "_"), F.lit("_"))
 

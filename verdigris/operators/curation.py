@@ -79,6 +79,13 @@ def delete_documents(rows: DataFrame, documents: DataFrame, key: str) -> DataFra
     return rows.join(documents.select(key), key, "left_anti")
 
 
+def delete_by_prefix(rows: DataFrame, prefixes: list[str], id_col: str) -> DataFrame:
+    """Rows whose id begins with none of the prefixes. A document's name is the prefix of its chunks' ids, and of those of
+    documents whose names begin with it: these go as well, as in the index that this stands for."""
+    keep = reduce(lambda a, b: a & b, [~F.col(id_col).startswith(p) for p in prefixes], F.lit(True))
+    return rows.where(F.coalesce(keep, F.lit(True)))
+
+
 def exact_then_normalized(rows: DataFrame, lookup: DataFrame, name: str, lookup_name: str, value: str) -> DataFrame:
     """``value`` by the exact name, else by the normalised one (there the lookup's first name wins). Equal names: the greatest value."""
     exact = lookup.groupBy(F.col(lookup_name).alias(name)).agg(F.max(value).alias("_exact"))

@@ -72,3 +72,21 @@ def documents_matching(chunks: DataFrame, doc_col: str, query, text_col: str = "
         if name[0] == "x":
             keep = keep & ~F.col(name)
     return rows.where(keep).select(doc_col)
+
+
+def document_texts(chunks: DataFrame, doc_col: str, order: list[str], text_col: str = "text") -> DataFrame:
+    """``doc, text``: each document's chunks in order, joined by line breaks; a document bounds what is gathered."""
+    entry = F.struct(*order, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    return chunks.groupBy(doc_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["_t"]), "\n").alias("text"))
+
+
+def refined(base: DataFrame, refinements: list[DataFrame], key: list[str]) -> DataFrame:
+    """What a base result and every active refinement have in common."""
+    for refinement in refinements:
+        base = base.join(refinement.select(*key).distinct(), key, "left_semi")
+    return base
+
+
+def by_name_or_content(names: DataFrame, contents: DataFrame, key: str) -> DataFrame:
+    """Documents that match by name, by content, or by both, each once."""
+    return names.select(key).unionByName(contents.select(key)).distinct()

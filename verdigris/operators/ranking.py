@@ -154,6 +154,36 @@ def rerank_local(rows: DataFrame, query: list[str], query_vector: list[float], k
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
+#: Fields that go before a text to a re-ranking service.
+RERANK_FIELDS = (
+    "doc", "doc_name", "page", "titulo", "titulo_norma", "tipo_norma", "numero_norma", "ano_norma", "status_normativo", "data_inicio_vigencia", "data_fim_vigencia",
+    "revogado_por", "relacao_com_mineracao", "area_juridica_principal", "familia_normativa_mineraria", "usar_como_fundamento_principal",
+)
+
+
+def rerank_text(columns: list[str], text_col: str = "text") -> Column:
+    """A record as a re-ranking service reads it: ``field: value`` of the filled fields that the table has, a blank line, its text."""
+    filled = [F.when(F.col(f"`{f}`").cast("string") != "", F.concat(F.lit(f"{f}: "), F.col(f"`{f}`").cast("string"))) for f in RERANK_FIELDS if f in columns]
+    head = F.concat_ws("\n", *filled) if filled else F.lit("")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.when(head != "", F.concat(head, F.lit("\n\n"), text)).otherwise(text)
+
+
+def blended(ranked: DataFrame, answers: DataFrame, k: int, id_col: str, keep: float = 0.1) -> DataFrame:
+    """A service's scores (``id, score``) with a share of the old ones; rows that it left out follow in their old order."""
+    rows = ranked.select(id_col, F.col("score").alias("_old"), "rank").join(answers.select(id_col, F.col("score").alias("_new")), id_col, "left")
+    order = Window.orderBy(F.col("_new").isNull(), F.desc(F.col("_new") + keep * F.col("_old")), "rank")
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select(id_col, F.coalesce(F.round(F.col("_new") + keep * F.col("_old"), 6), "_old").alias("score"), F.col("_n").alias("rank"))
+
+
+def rerank_or_keep(ranked: DataFrame, rerank, k: int) -> tuple[DataFrame, str | None]:
+    """The re-ranked list, or the best ``k`` as they were and why: a service that fails leaves the order alone."""
+    try:
+        return rerank(ranked), None
+    except Exception as error:  # whatever a service raises
+        return ranked.where(F.col("rank") <= k), f"{type(error).__name__}: {error}"
+
+
 #: Families of records that raise a score more and less.
 CORE_FAMILIES = ("regimes_de_aproveitamento", "garimpo_plg", "fiscalizacao_sancoes_minerarias", "barragens_rejeitos_seguranca", "mineracao_geral")
 SIDE_FAMILIES = ("cfem_tah_arrecadacao", "ambiental_mineracao", "seguranca_saude_ocupacional_mineracao")

@@ -45,28 +45,59 @@ def linked(edges: DataFrame, company: object, company_col: str, partner_col: str
     return others.withColumn("_n", n).where(F.col("_n") <= per_partner).drop("_n")
 
 
-def relationship_paths(edges: DataFrame, sources: list, targets: list | DataFrame, company_col: str, partner_col: str, depth: int = 2) -> DataFrame:
-    """Paths from source to target companies over shared partners: ``path`` (company, partner, company, ...) and ``hops``.
-
-    Each hop joins the frontier with the edges twice; a company is never visited twice on a path, and a path ends at a target.
-    Targets are values or a table with the company column; a table is joined, so it can be of any size.
+def relationship_paths(
+    edges: DataFrame, sources: DataFrame | list, targets: DataFrame | list, company_col: str, partner_col: str, depth: int = 2, most: int | None = 5, per_partner: int | None = 100
+) -> DataFrame:
+    """The first paths from source to target companies over shared partners: ``path`` (company, partner, company, ...) and ``hops``.
+
+    Breadth first: a company is reached once, by the least of its shortest paths; of a partner only the ``per_partner`` first companies
+    are tried, so a hub makes that many rows a hop and not the square of its companies; a path ends at a target; ``most`` paths are kept, shorter ones
+    first. Sources and targets are values or tables with the company column; each hop is two joins with the edges, whatever their size.
     """
-    e = edges.select(F.col(company_col).cast("string").alias("c"), F.col(partner_col).cast("string").alias("p")).distinct()
-    sources = [str(x) for x in sources]
-    if not isinstance(targets, DataFrame):
-        targets = edges.sparkSession.createDataFrame([(str(x),) for x in targets], f"`{company_col}` string")
-    ends = targets.select(F.col(company_col).cast("string").alias("at")).distinct()
-    frontier = e.where(F.col("c").isin(sources)).select("c").distinct().select(F.col("c").alias("at"), F.array("c").alias("path"))
-    found = None
+    spark, as_text = edges.sparkSession, lambda c: F.col(c).cast("string")
+    table = lambda x: x if isinstance(x, DataFrame) else spark.createDataFrame([(str(v),) for v in x], f"`{company_col}` string")
+    e = edges.select(as_text(company_col).alias("c"), as_text(partner_col).alias("p"), F.col(company_col).alias("_o")).distinct()
+    if per_partner is not None:
+        e = e.withColumn("_n", F.row_number().over(Window.partitionBy("p").orderBy("_o"))).withColumn("_tried", F.col("_n") <= per_partner)
+    else:
+        e = e.withColumn("_tried", F.lit(True))
+    ends = table(targets).select(as_text(company_col).alias("at")).distinct()
+    frontier = table(sources).select(as_text(company_col).alias("at")).distinct().withColumn("path", F.array("at"))
+    seen, found = frontier.select("at"), None
     for hop in range(1, depth + 1):
-        step = frontier.join(e.withColumnRenamed("c", "at"), "at").select("path", "p")
-        other = e.withColumnRenamed("c", "to").withColumnRenamed("p", "via")
-        step = step.join(other, F.col("p") == F.col("via")).where(~F.array_contains("path", F.col("to")))
-        step = step.select(F.col("to").alias("at"), F.concat("path", F.array("p", "to")).alias("path"))
+        step = frontier.join(e.select(F.col("c").alias("at"), "p"), "at").select("path", "p")
+        step = step.join(e.where("_tried").select("p", F.col("c").alias("at")), "p").join(seen, "at", "left_anti")
+        step = step.select("at", F.concat("path", F.array("p", "at")).alias("path"))
         hits = step.join(ends, "at", "left_semi").select("path", F.lit(hop).alias("hops"))
         found = hits if found is None else found.unionByName(hits)
-        frontier = step.join(ends, "at", "left_anti")
-    return found
+        frontier = step.join(ends, "at", "left_anti").groupBy("at").agg(F.min("path").alias("path"))
+        seen = seen.unionByName(frontier.select("at"))
+    return found if most is None else found.orderBy("hops", "path").limit(most)
+
+
+def path_label(path: Column) -> Column:
+    """A path as text."""
+    return F.array_join(path, " -> ")
+
+
+def company_label(name: Column, key: Column) -> Column:
+    """A company's name with its key in brackets, or the key alone."""
+    shown = F.concat(F.trim(name), F.lit(" ("), key.cast("string"), F.lit(")"))
+    return F.when(F.coalesce(F.trim(name), F.lit("")) != "", shown).otherwise(key.cast("string"))
+
+
+def partners_by_name(partners: DataFrame, name: str, words: list[str], most: int = 5) -> DataFrame:
+    """Partners whose normalised name holds each of the first words asked for."""
+    from verdigris.functions.text import normalize
+
+    for word in words[:most]:
+        partners = partners.where(F.contains(normalize(F.col(name)), F.lit(word)))
+    return partners
+
+
+def named_companies(found: DataFrame, establishments: DataFrame, key: str, seat: Column) -> DataFrame:
+    """Companies found by name beside their seat: a company without one stays."""
+    return found.join(establishments.where(seat), key, "left")
 
 
 def count_by(rows: DataFrame, key: str, k: int) -> DataFrame:

@@ -55,6 +55,38 @@ def effective_status(status: Column, text: Column, partial: Column) -> Column:
     return F.coalesce(header_status(text), F.when(open_ & F.coalesce(partial, F.lit(False)), "parcialmente_revogado").otherwise(s))
 
 
+#: Fields of which one filled makes a record one of an act; statuses that say that it is none, and those that say it is one.
+ACT_FIELDS = (
+    "tipo_norma", "numero_norma", "ano_norma", "status_normativo", "data_inicio_vigencia", "data_fim_vigencia", "vacatio_dias", "vacatio_legis_dias",
+    "revogado_por", "revogado_por_data", "revoga", "tipo_chunk", "tem_dispositivo_revogacao", "tem_dispositivo_vigencia",
+)
+NO_ACT = ("nao normativo", "nao_normativo")
+ACT_STATUS = ("vigente", "revogado", "indeterminado", "vacatio", "parcialmente_revogado")
+
+
+def has_act_metadata(columns: dict[str, str]) -> Column:
+    """Whether one of the act's fields that the table (``name: type``) has is filled."""
+    filled = F.lit(False)
+    for name in ACT_FIELDS:
+        if name in columns:
+            c = F.col(f"`{name}`")
+            some = F.size(c) > 0 if columns[name].startswith("array") else c.cast("string") != ""
+            filled = filled | F.coalesce(some, F.lit(False))
+    return filled
+
+
+def effectively_normative(status: Column) -> Column:
+    """Whether the status doesn't say that a record is no act."""
+    return ~canonical_status(status).isin(list(NO_ACT))
+
+
+def clause_normative(status: Column, kind: Column, title: Column) -> Column:
+    """Whether a record counts as an act where clauses are analysed: by its status, else by a kind or a title."""
+    s = normalize(status)
+    named = (normalize(kind) != "") | (normalize(title) != "")
+    return F.when(s.isin(list(NO_ACT)), False).when(s.isin(list(ACT_STATUS)), True).otherwise(named)
+
+
 def active_in(start: Column, end: Column, status: Column, first: Column, last: Column, normative: Column | None = None) -> Column:
     """Whether a record is in force at some time from ``first`` to ``last``; intervals are closed."""
     bounds = (

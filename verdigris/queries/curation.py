@@ -25,12 +25,12 @@ def registry_diff(table, spark):
 
 
 @query(
-    """WITH p AS (SELECT source, doc_id, sha256(coalesce(text, '')) AS d FROM documents)
-    SELECT source, count(*)::INT AS n_chunks, sha256(string_agg(doc_id::VARCHAR || chr(31) || d || chr(10), '' ORDER BY doc_id)) AS fingerprint FROM p GROUP BY source"""
+    """WITH p AS (SELECT conv_id, turn, sha256(coalesce(text, '')) AS d FROM conversations)
+    SELECT conv_id, count(*)::INT AS n_chunks, sha256(string_agg(turn::VARCHAR || chr(31) || d || chr(10), '' ORDER BY turn, d)) AS fingerprint FROM p GROUP BY conv_id"""
 )
 def doc_fingerprint(table, spark):
-    """One digest for all texts of each source."""
-    return C.fingerprint(table("documents"), "source", "doc_id", "text")
+    """One digest for all turns of each conversation."""
+    return C.fingerprint(table("conversations"), "conv_id", "turn", "text")
 
 
 @query(
@@ -76,21 +76,21 @@ def doc_consensus(table, spark):
 
 
 @query(
-    """WITH m AS (SELECT o_orderkey AS source, o_custkey % 100 AS num, year(o_orderdate) AS y FROM orders WHERE o_orderstatus = 'P'),
-    t AS (SELECT DISTINCT o_custkey % 100 AS num, year(o_orderdate) AS y, o_orderkey AS target FROM orders WHERE o_orderkey % 50 = 1)
+    """WITH m AS (SELECT o_orderkey AS source, o_custkey AS num, year(o_orderdate) AS y FROM orders),
+    t AS (SELECT DISTINCT o_custkey AS num, year(o_orderdate) AS y, o_orderkey AS target FROM orders WHERE o_orderstatus = 'P')
     SELECT DISTINCT source, m.num::BIGINT AS num, m.y::INT AS y, target, CASE WHEN target IS NULL THEN 'target_not_found' ELSE 'target_found' END AS status
     FROM m LEFT JOIN t ON m.num = t.num AND m.y = t.y WHERE target IS NULL OR target <> source"""
 )
 def impact_join(table, spark):
     """Mentions of acts by number and year with the acts that they name."""
-    num, y = (F.col("o_custkey") % 100).alias("num"), F.year("o_orderdate").alias("y")
-    mentions = table("orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("source"), num, y)
-    targets = table("orders").where("o_orderkey % 50 = 1").select(num, y, F.col("o_orderkey").alias("target"))
+    num, y = F.col("o_custkey").alias("num"), F.year("o_orderdate").alias("y")
+    mentions = table("orders").select(F.col("o_orderkey").alias("source"), num, y)
+    targets = table("orders").where("o_orderstatus = 'P'").select(num, y, F.col("o_orderkey").alias("target"))
     return C.impacts(mentions, targets, ["num", "y"], "source", "target").select("source", "num", "y", "target", "status")
 
 
 @query(
-    """WITH l AS (SELECT p_brand, p_type, p_name, p_partkey AS found FROM part WHERE p_partkey % 10 = 3),
+    """WITH l AS (SELECT p_brand, p_type, p_name, p_partkey AS found FROM part WHERE p_size <= 5),
     f AS (SELECT p_brand, p_type, min(found) AS a FROM l GROUP BY ALL), p AS (SELECT p_brand, min(found) AS b FROM l GROUP BY p_brand HAVING count(DISTINCT found) = 1),
     n AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS k, min(found) AS c FROM l GROUP BY k)
     SELECT p_partkey, coalesce(a, b, c) AS found, CASE WHEN a IS NOT NULL THEN 'full_key' WHEN b IS NOT NULL THEN 'part_of_key' WHEN c IS NOT NULL THEN 'name' ELSE 'missing' END AS matched
@@ -99,7 +99,7 @@ def impact_join(table, spark):
 def coverage_match(table, spark):
     """Entries met by a full key, by a part of it that is unique, or by name."""
     rows = table("part").select("p_partkey", "p_brand", "p_type", "p_name")
-    lookup = rows.where("p_partkey % 10 = 3").withColumnRenamed("p_partkey", "found")
+    lookup = table("part").where("p_size <= 5").select("p_partkey", "p_brand", "p_type", "p_name").withColumnRenamed("p_partkey", "found")
     return C.coverage(rows, lookup, ["p_brand", "p_type"], ["p_brand"], "p_name", "found").select("p_partkey", "found", "matched")
 
 

@@ -31,18 +31,19 @@ def registry_hq_join(table, spark):
     return table("customer").join(hq, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "c_name", "o_orderkey")
 
 
-EDGES = "e AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_returnflag = 'R')"
+EDGES = "e AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def _edges(table):
-    lines = table("lineitem").where("l_quantity = 50 AND l_returnflag = 'R'").select("l_orderkey", F.col("l_suppkey").alias("p"))
+    lines = table("lineitem").select("l_orderkey", F.col("l_suppkey").alias("p"))
     return lines.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c"), "p").distinct()
 
 
-@query(f"WITH {EDGES} SELECT p, c, c_name, n_name FROM e JOIN customer ON c_custkey = c LEFT JOIN nation ON n_nationkey = c_nationkey WHERE p <= 10")
+@query(f"WITH {EDGES} SELECT p, c, c_name, n_name FROM e JOIN customer ON c_custkey = c LEFT JOIN nation ON n_nationkey = c_nationkey WHERE p = (SELECT min(p) FROM e)")
 def partner_companies(table, spark):
-    """Companies of some partners, with their names and places."""
-    rows = _edges(table).where("p <= 10").join(table("customer"), F.col("c") == F.col("c_custkey"))
+    """Companies of one partner, with their names and places."""
+    edges = _edges(table)
+    rows = edges.join(F.broadcast(edges.agg(F.min("p").alias("p"))), "p").join(table("customer"), F.col("c") == F.col("c_custkey"))
     return rows.join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("p", "c", "c_name", "n_name")
 
 
@@ -58,18 +59,20 @@ def linked_companies(table, spark):
 
 
 @query(
-    f"""WITH RECURSIVE {EDGES}, t AS (SELECT max(c) AS hi, min(c) AS lo FROM e),
-    step(node, path, hops) AS (SELECT lo, [lo::VARCHAR], 0 FROM t UNION ALL
-      SELECT b.c, list_concat(path, [a.p::VARCHAR, b.c::VARCHAR]), hops + 1 FROM step JOIN e a ON a.c = node JOIN e b ON b.p = a.p
-      WHERE hops < 3 AND NOT list_contains(path, b.c::VARCHAR) AND node NOT IN (SELECT DISTINCT c FROM e WHERE c % 10 = 0 AND c <> (SELECT lo FROM t)))
-    SELECT array_to_string(path, '>') AS path, hops::INT AS hops FROM step WHERE hops > 0 AND node % 10 = 0"""
+    """WITH g AS (SELECT DISTINCT l_partkey AS c, l_suppkey AS p FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY c) <= 100 AS tried FROM g),
+    t AS (SELECT max(c) AS hi, min(c) AS lo FROM g),
+    s1 AS (SELECT o.c AS node, [lo::VARCHAR, a.p::VARCHAR, o.c::VARCHAR] AS path FROM t JOIN g a ON a.c = lo JOIN n o ON o.p = a.p AND o.tried WHERE o.c <> lo),
+    f1 AS (SELECT node, min(path) AS path FROM s1, t WHERE node <> hi GROUP BY node),
+    s2 AS (SELECT o.c AS node, list_concat(f1.path, [a.p::VARCHAR, o.c::VARCHAR]) AS path FROM f1 JOIN g a ON a.c = f1.node JOIN n o ON o.p = a.p AND o.tried, t WHERE o.c <> lo AND o.c NOT IN (SELECT node FROM f1)),
+    h AS (SELECT path, 1 AS hops FROM s1, t WHERE node = hi UNION ALL SELECT path, 2 FROM s2, t WHERE node = hi)
+    SELECT array_to_string(path, ' -> ') AS path, hops::INT AS hops FROM h ORDER BY hops, h.path LIMIT 5"""
 )
 def relationship_paths(table, spark):
-    """Paths of up to three shared partners from the first company to any whose key ends in 0."""
-    edges = _edges(table)
-    ends = edges.agg(F.min("c")).first()[0]
-    targets = edges.where(f"c % 10 = 0 AND c <> {ends or 0}").select("c")
-    return G.relationship_paths(edges, [ends], targets, "c", "p", 3).select(F.array_join("path", ">").alias("path"), "hops")
+    """The first paths of up to two shared suppliers from the first part to the last, a hundred parts of a supplier being tried."""
+    edges = table("lineitem").select(F.col("l_partkey").alias("c"), F.col("l_suppkey").alias("p")).distinct()
+    ends = edges.agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    found = G.relationship_paths(edges, ends.select(F.col("lo").alias("c")), ends.select(F.col("hi").alias("c")), "c", "p", 2)
+    return found.select(G.path_label(F.col("path")).alias("path"), "hops")
 
 
 @query("SELECT count(*)::BIGINT AS total FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 1000 AND c_name LIKE 'Customer#0000%'")
@@ -107,10 +110,10 @@ def name_match_score(table, spark):
     return table("part").select("p_partkey", X.match_score(["part", "blue", "steel"], X.company_tokens(F.col("p_name"))).alias("match"))
 
 
-@query("WITH " + NAME_SQL.format(words="('par'), ('green')", all="par green") + " SELECT p_partkey, match FROM m WHERE match > 0 ORDER BY match DESC, p_partkey LIMIT 20")
+@query("WITH " + NAME_SQL.format(words="('wid'), ('red')", all="wid red") + " SELECT p_partkey, match FROM m WHERE match > 0 ORDER BY match DESC, p_partkey LIMIT 20")
 def name_prefix_search(table, spark):
     """The best names for a query with a beginning of a word."""
-    return G.name_search(table("part"), ["par", "green"], F.col("p_name"), 20, "p_partkey").select("p_partkey", "match")
+    return G.name_search(table("part"), ["wid", "red"], F.col("p_name"), 20, "p_partkey").select("p_partkey", "match")
 
 
 @query("SELECT s_suppkey, s_name, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")

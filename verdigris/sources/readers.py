@@ -25,6 +25,33 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, count
     return spark.read.schema(T.StructType([*kind.fields, T.StructField(CORRUPT, T.StringType())])).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
 
 
+#: How the names of a registry's files begin, and the tables that they belong to.
+REGISTRY_FILES = {
+    "empresa": "empresas", "estabelecimento": "estabelecimentos", "socio": "socios", "simples": "simples", "cnae": "cnaes", "motivo": "motivos",
+    "municipio": "municipios", "natureza": "naturezas", "qualificacao": "qualificacoes", "pais": "paises",
+}
+
+
+def registry_table(name: str, files: dict[str, str] = REGISTRY_FILES) -> str | None:
+    """The table that a registry's file belongs to, by the letters with which its name begins."""
+    letters = "".join(c for c in name.replace("\\", "/").rsplit("/", 1)[-1].lower().replace(".zip", "") if "a" <= c <= "z")
+    return next((table for prefix, table in files.items() if letters.startswith(prefix)), None)
+
+
+def first_present(folder: str, names: tuple[str, ...]) -> str | None:
+    """The first of some files that a local folder holds."""
+    import os
+
+    return next((p for p in (os.path.join(folder, n) for n in names) if os.path.isfile(p)), None)
+
+
+def bases_in(root: str) -> list[str]:
+    """The bases below a local folder: its folders, in order."""
+    import os
+
+    return sorted(e.name for e in os.scandir(root) if e.is_dir() and not e.name.startswith(".")) if os.path.isdir(root) else []
+
+
 def read_registry(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A registry's files: Latin-1, semicolons, no header, every column a string; short rows are padded, long ones cut."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
