@@ -261,13 +261,13 @@ def _catalogue(table):
 
 @query(
     f"""WITH {DATASETS_SQL} SELECT p_partkey, x.name, title AS dataset_title FROM x LEFT JOIN d ON d.id = dataset_id
-    WHERE (contains(lower(name), 'red') OR contains(lower(coalesce(title, '')), 'red') OR contains(lower(format), 'red')) AND (contains(lower(name), 'base') OR contains(lower(coalesce(title, '')), 'base') OR contains(lower(format), 'base'))
+    WHERE (contains(lower(name), 'red') OR contains(lower(coalesce(title, '')), 'red') OR contains(lower(format), 'red')) AND (contains(lower(name), 'supplier') OR contains(lower(coalesce(title, '')), 'supplier') OR contains(lower(format), 'supplier'))
     ORDER BY dataset_title NULLS FIRST, name, p_partkey LIMIT 1000000"""
 )
 def resources_search(table, spark):
     """Resources by words in their name, their data set's title or their format."""
     datasets, resources = _catalogue(table)
-    return A.resources_of(resources, datasets, "quais recursos red base", 1_000_000).select("p_partkey", "name", "dataset_title")
+    return A.resources_of(resources, datasets, "quais recursos red supplier", 1_000_000).select("p_partkey", "name", "dataset_title")
 
 
 @query(f"WITH {DATASETS_SQL} SELECT p_partkey, title FROM x LEFT JOIN d ON d.id = dataset_id WHERE table_name IS NOT NULL OR imported_rows > 0")
