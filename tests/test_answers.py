@@ -5,7 +5,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from verdigris.operators import evidence
-from verdigris.plans import documents, registry_answers
+from verdigris.plans import documents, pipeline, registry_answers
+from verdigris.plans.questions import Profile
 
 
 def test_titles_periods_and_evidence(spark):
@@ -62,3 +63,43 @@ def test_registry_answers(spark):
     found = ask('qual a relacao entre "Alfa Mineracao" e "Gama"').collect()
     assert [r.path for r in found] == [["11111111", "doc:123456", "22222222", "name:BIA", "33333333"]]
     assert ask("beta").first().cnpj_basico == "22222222"
+
+
+ACTS = [
+    (1, "a.pdf", "taxa de pesca cobrada por barco", date(2010, 1, 1), date(2014, 12, 31), "revogado", True, 2),
+    (2, "b.pdf", "taxa de pesca cobrada por tonelada", date(2015, 1, 1), None, "vigente", True, None),
+    (3, "c.pdf", "taxa de pesca em debate", None, None, "desconhecido", False, None),
+    (4, "d.pdf", "taxa de pesca esportiva", date(2012, 1, 1), None, "parcialmente_revogado", True, None),
+    (5, "e.pdf", "assunto alheio", date(2000, 1, 1), None, "vigente", True, None),
+]
+
+
+def test_answers_hold_at_the_time_asked_for(spark):
+    docs = spark.createDataFrame(ACTS, "id int, doc string, text string, start date, end date, status string, normative boolean, revoked_by int")
+    acts = pipeline.ActColumns()
+    ask = lambda q, rows=docs, **more: {r.id: r for r in pipeline.ask(rows, q, "id", "doc", "text", acts=acts, **more).collect()}
+    then = ask("Em 2013, qual a taxa de pesca por barco?")
+    assert set(then) == {1, 2, 4} and then[1].part == "active" and then[2].part == "pool"
+    assert "vigente_na_data_e_revogada_posteriormente" in then[1].evidence
+    assert {i for i, r in ask("Em 2016, qual a taxa de pesca?").items() if r.part == "active"} == {2, 4}
+    assert set(ask("qual a taxa de pesca")) == {1, 2, 3, 4}  # no time is asked for
+    filler = spark.createDataFrame([(100 + i, "z.pdf", f"assunto alheio {i}", None, None, "desconhecido", False, None) for i in range(8)], docs.schema)
+    lone = docs.where("id in (1, 2)").withColumn("text", F.when(F.col("id") == 2, "tonelada de pesca").otherwise("taxa por barco"))
+    heirs = ask("Em 2016, qual taxa por barco de pesca?", lone.unionByName(filler))
+    assert {(i, r.part) for i, r in heirs.items()} == {(2, "active"), (1, "revoked")}
+    old = docs.where("id = 1").withColumn("revoked_by", F.lit(None).cast("int"))
+    assert ask("Em 2016, qual a taxa de pesca por barco?", old.unionByName(filler)) == {}  # withheld: what is found isn't in force
+    # Only the revoked act is found, so the act that revoked it stands in for it.
+    gone = docs.where("id in (1, 2)").withColumn("text", F.when(F.col("id") == 2, "outra taxada").otherwise("taxa por barco"))
+    assert {(i, r.part) for i, r in ask("Em 2016, qual taxa por barco?", gone.unionByName(filler)).items()} == {(2, "successor"), (1, "revoked")}
+
+
+def test_questions_become_several_searches(spark):
+    profile = Profile("pesca", (("taxa",), ("pesca",)), ("multa de pesca",))
+    made = pipeline.asked_queries("qual a taxa e o risco da pesca", {"max_variants": 20}, [profile])
+    assert made[0] == "qual a taxa e o risco da pesca" and "multa de pesca" in made and len(made) == len({m.lower() for m in made})
+    assert len(pipeline.asked_queries("qual a taxa", {"max_variants": 2})) == 2
+    docs = spark.createDataFrame([(r[0], r[1], r[2], "direta" if r[0] == 3 else "") for r in ACTS], "id int, doc string, text string, relation string").withColumn("none", F.lit("")).withColumn("main", F.lit(False))
+    domain = pipeline.DomainColumns("relation", "none", "none", "main", ("pesca",), ("norma",))
+    got = pipeline.ask(docs, "taxa de pesca", "id", "doc", "text", domain=domain).orderBy("rank").collect()
+    assert got[0].id == 3 and {r.id for r in got} == {1, 2, 3, 4}

@@ -87,12 +87,11 @@ def vector_topk(rows: DataFrame, query: list[float], k: int, id_col: str, vector
 
 def minmax(rows: DataFrame, score_col: str, name: str, partition: list[str] | None = None) -> DataFrame:
     """Scores from 0 to 1 inside each partition; 1 where all are equal. Joined from an aggregate: no window holds the rows."""
-    rows = rows.withColumn("_all", F.lit(0))
-    keys = partition or ["_all"]
-    ends = rows.groupBy(*keys).agg(F.min(score_col).alias("_low"), F.max(score_col).alias("_high"))
-    joined = rows.join(ends, keys)
+    ends = [F.min(score_col).alias("_low"), F.max(score_col).alias("_high")]
+    # Without a partition the ends are one row.
+    joined = rows.join(rows.groupBy(*partition).agg(*ends), partition) if partition else rows.crossJoin(F.broadcast(rows.agg(*ends)))
     even = F.when(F.col("_high") == F.col("_low"), 1.0).otherwise((F.col(score_col) - F.col("_low")) / (F.col("_high") - F.col("_low")))
-    return joined.withColumn(name, even).drop("_low", "_high", "_all")
+    return joined.withColumn(name, even).drop("_low", "_high")
 
 
 def normal_weights(alpha: float, beta: float) -> tuple[float, float]:
@@ -124,6 +123,12 @@ def hybrid(semantic: DataFrame, lexical: DataFrame, id_col: str, k: int, alpha:
     return scored.select(id_col, "score").orderBy(F.desc("score"), id_col).limit(k)
 
 
+def allowed_by(constraints: list[DataFrame | None], key: str) -> DataFrame | None:
+    """The ids that any of the constraints allows; None (no constraint) if all are None. One without rows allows nothing by itself."""
+    given = [c.select(key) for c in constraints if c is not None]
+    return reduce(DataFrame.unionByName, given).distinct() if given else None
+
+
 def overlap_ranking(texts: DataFrame, query: list[str], k: int, id_col: str, text_col: str = "text") -> DataFrame:
     """Texts by the number of distinct query words that they hold: what is left when a restricted search finds nothing."""
     words = F.array(*[F.lit(w) for w in dict.fromkeys(query)])
@@ -252,12 +257,20 @@ def mmr_order(scores: list[float], k: int, keep: float = 0.7) -> list[int]:
     return chosen
 
 
+#: Rows of a list that are diversified: those after them stay out, whatever their distance.
+DIVERSE = 500
+
+
 def mmr(ranked: DataFrame, k: int, id_col: str, group: str | None = None, keep: float = 0.7) -> DataFrame:
-    """Diversified lists: each group's short list (``id, score``; at most some hundreds) in the order of ``mmr_order``."""
+    """Diversified lists: the best rows of each group (``id, score``; ``DIVERSE`` at most) in the order of ``mmr_order``."""
     import pandas as pd
 
     key = group or "_all"
-    rows = ranked if group else ranked.withColumn(key, F.lit(0))
+    if group:
+        best = Window.partitionBy(group).orderBy(F.desc("score"), id_col)
+        rows = ranked.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= DIVERSE).drop("_n")
+    else:
+        rows = ranked.orderBy(F.desc("score"), id_col).limit(DIVERSE).withColumn(key, F.lit(0))
     kind = dict(rows.dtypes)
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:

@@ -205,7 +205,17 @@ def cited_docs(table, spark):
     return context.cited_documents(rows, "source", "doc_id", "rank", "score")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {bm25_sql({"q1": QUESTION}, 40)}, r AS (SELECT bm.doc_id, rank, source, n_chars, count(*) OVER () AS n FROM bm JOIN documents USING (doc_id)),
+    z AS (SELECT *, CASE WHEN 2 * rank <= n + 1 THEN 2 * rank - 1 ELSE 2 * (n - rank + 1) END AS z FROM r),
+    k AS (SELECT *, min(z) OVER (PARTITION BY source) AS seen FROM z QUALIFY row_number() OVER (PARTITION BY source ORDER BY z) <= 4),
+    l AS (SELECT *, row_number() OVER (ORDER BY seen, z) AS i FROM k),
+    step(i, used, seen, shut, fits) AS (SELECT 0::BIGINT, 0::BIGINT, -1::BIGINT, FALSE, FALSE UNION ALL
+      SELECT j, (CASE WHEN NOT sh AND u + s <= 20000 THEN u + s ELSE u END)::BIGINT, d::BIGINT, sh OR u + s > 20000, NOT sh AND u + s <= 20000 FROM
+        (SELECT l.i AS j, l.n_chars AS s, l.seen AS d, CASE WHEN l.seen <> step.seen AND used + 40 <= 20000 THEN used + 40 ELSE used END AS u,
+          CASE WHEN l.seen <> step.seen THEN used + 40 > 20000 ELSE shut END AS sh FROM step JOIN l ON l.i = step.i + 1))
+    SELECT (row_number() OVER (ORDER BY i) - 1)::INT AS place, rank, doc_id, source, n_chars FROM step JOIN l USING (i) WHERE fits"""
+)
 def context_pack(table, spark):
     """The rows of a ranked list that fit a context of 20,000 characters."""
     rows = best_one(table, 40).join(table("documents").select("doc_id", "source", "n_chars"), "doc_id")
@@ -217,6 +227,4 @@ def ask_extractive(table, spark):
     """A whole question: search, fusion, diversification, packing, evidence."""
     from verdigris.plans.pipeline import ask
 
-    return ask(table("documents"), "that thorha with the erth", "doc_id", "source", "text")
-
-
+    return ask(table("documents"), "that thorha with the erth", "doc_id", "source", "text", index=documents_index(table))
