@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm import bpe, warc
 from verdigris.llm.hilbert import curve, hilbert_shards, name_edges
-from verdigris.llm.language_id import language_id, letter_runs
+from verdigris.llm.language_id import ORDER, Table, gram_tables, language_id, letter_runs
 from verdigris.llm.mixing import mix_sources, mixed_documents
 from verdigris.llm.vp_tree import LEAF, VpTree, nearest
 
@@ -45,6 +45,77 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in got) and by_id[None].held_out is False
 
 
+def textbook(words):
+    """Interpolated Kneser-Ney probabilities of the n-grams of padded words, by the definition."""
+    raw = collections.Counter()
+    for word, times in words.items():
+        s = f" {word} "
+        for end in range(1, len(s)):
+            for n in range(1, min(end + 1, ORDER) + 1):
+                raw[s[end - n + 1 : end + 1]] += times
+    before = collections.Counter(g[1:] for g in raw if len(g) > 1)
+    count = {g: raw[g] if len(g) == ORDER or (len(g) > 1 and g[0] == " ") else before[g] for g in raw}
+    ones = {n: [sum(c == k for g, c in count.items() if len(g) == n) for k in (1, 2)] for n in range(1, ORDER + 1)}
+    d = {n: min(a / (a + 2 * b), 0.999) if a else 0.5 for n, (a, b) in ones.items()}
+    total, types = collections.Counter(), collections.Counter()
+    for g, c in count.items():
+        total[g[:-1], len(g)] += c
+        types[g[:-1], len(g)] += 1
+    p = {}
+    for g in sorted(count, key=len):
+        n, h = len(g), (g[:-1], len(g))
+        rest = d[n] * types[h] / total[h]
+        p[g] = (count[g] - d[n]) / total[h] + rest * (p[g[1:]] if n > 1 else 1 / (types[h] + 1))
+    rests = {h: d[h[1]] * types[h] / total[h] / (types[h] + 1 if h[1] == 1 else 1) for h in total}
+    return p, rests
+
+
+def test_models_equal_the_textbook(spark):
+    rng = random.Random(17)
+    words = {lang: collections.Counter("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(400)) for lang, letters in (("x", "abcd"), ("y", "bcdéß"))}
+    frame = spark.createDataFrame([(lang, w, n) for lang, c in words.items() for w, n in c.items()], "lang string, word string, times long")
+    tables, rests = gram_tables(frame)
+    for lang, counts in words.items():
+        p, want = textbook(counts)
+        got = {r.gram: r.p for r in tables.where(F.col("lang") == lang).collect()}
+        assert got.keys() == p.keys() and all(math.isclose(got[g], p[g], rel_tol=1e-9) for g in p)
+        found = {(r.context, r.n): r.rest for r in rests.where(F.col("lang") == lang).collect()}
+        assert found.keys() == want.keys() and all(math.isclose(found[h], want[h], rel_tol=1e-9) for h in want)
+        # Probabilities after any context, and of a character never seen, sum to one.
+        letters, unseen = {g for g in p if len(g) == 1}, want["", 1]
+
+        def after(h, c, p=p, want=want, unseen=unseen):
+            if h + c in p:
+                return p[h + c]
+            return unseen if not h else want.get((h, len(h) + 1), 1.0) * after(h[1:], c)
+
+        for h in ("", " ", " b", "bc", "bcd", "dcbb"):
+            assert math.isclose(sum(after(h, c) for c in letters) + after(h, "?"), 1, rel_tol=1e-9)
+
+
+def test_language_left_out_is_rejected(spark):
+    rng = random.Random(3)
+    syllables = {"aa": ["ka", "ti", "no", "mu", "se"], "bb": ["str", "ong", "ach", "tz", "ell"], "cc": ["ça", "è", "eau", "oi", "ñu"]}
+    rows = []
+    for i in range(1500):
+        lang = rng.choice(list(syllables))
+        text = " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(8, 40)))
+        rows.append((i, text, lang if lang != "cc" else None, lang))
+    got = language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string, truth string")).collect()
+    by_id = {r.doc_id: r for r in got}
+    share = lambda some: np.mean([by_id[i].accepted for i, _, _, lang in rows if lang in some and by_id[i].held_out])
+    assert share(("aa", "bb")) >= 0.99 and share(("cc",)) <= 0.05
+
+
+def test_tables_find_their_hashes():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 7, 5000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        table = Table(keys[rng.permutation(len(keys))], np.zeros(len(keys)))
+        asked = np.concatenate([keys, rng.integers(0, 2**64, 100, dtype=np.uint64)])
+        assert table.look(asked)[0].tolist() == np.isin(asked, keys).tolist()
+
+
 def test_language_without_labels(documents):
     assert {r.lang_pred for r in language_id(documents(["some text", None]).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language_id(documents([])).count() == 0
