@@ -82,7 +82,7 @@ def frequent_values(rows: DataFrame, key: str, support: float = 0.001) -> DataFr
     binary = dict(rows.dtypes)[key] == "binary"  # counted as text: arrays of bytes are no keys of a summary
     counted = rows.select(F.hex(key).alias(key)) if binary else rows
     found = counted.stat.freqItems([key], support).select(F.explode(f"{key}_freqItems").alias(key)).where(F.col(key).isNotNull())
-    return stage((found.select(F.unhex(key).alias(key)) if binary else found).distinct(), "frequent")
+    return stage(found.select(F.unhex(key).alias(key)) if binary else found, "frequent")  # a summary names a value once
 
 
 def frequent_first(rows: DataFrame, table: DataFrame, key: str, frequent: DataFrame | None = None) -> DataFrame:
