@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from verdigris.llm._common import bound_batches
+from verdigris.llm._common import bound_batches, tidied
 
 #: Entries that each of a memo's two generations holds: a bound of a worker's memory.
 MEMO = 250_000
@@ -232,7 +232,7 @@ def bpe_tokens(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), schema)
 
 
 _built: dict[tuple, Bpe] = {}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm._common import bound_batches, mix64, stage, text_slices
+from verdigris.llm._common import bound_batches, mix64, stage, text_slices, tidied
 
 ORDER = 5
 #: Documents of each language, as expected, that the models are fitted on; further ones of the same number calibrate.
@@ -328,7 +328,7 @@ def _score(rows: DataFrame, models: CharModels, carry: list[str]) -> DataFrame:
             arrays += [pa.array(c, t) for c, (_, _, t) in zip(columns, VERDICT, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(tidied(run), schema)
 
 
 NO_VERDICT = (UNKNOWN, 0.0, None, 0, False, None, None)
@@ -420,4 +420,4 @@ def keep_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str
             keep = [row[accepted] for texts in text_slices(batch.column(place)) for row in scorer.judge(texts)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm._common import bound_batches, drop_staged, frequent_first, frequent_values, mix64, packed, stage, text_slices
+from verdigris.llm._common import bound_batches, drop_staged, frequent_first, frequent_values, mix64, packed, stage, text_slices, tidied
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -103,7 +103,7 @@ def _map_texts(docs: DataFrame, make, schema: str) -> DataFrame:
         if hasattr(work, "end"):
             yield from work.end()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def sketch_places(hashes: np.ndarray) -> list[np.ndarray]:
@@ -238,7 +238,7 @@ def _parameters(rows: int = ROWS, samples: int = SAMPLES) -> tuple[np.ndarray, n
     draw = np.random.Generator(np.random.PCG64(20100)).random((5, rows, samples))
     r = -np.log(1 - draw[0]) - np.log(1 - draw[1])
     c = np.log(-np.log(1 - draw[2]) - np.log(1 - draw[3]))
-    return r, c, draw[4]
+    return r, c, draw[4].copy()  # a view would keep all draws
 
 
 def _sortable(x: np.ndarray) -> np.ndarray:
