@@ -92,8 +92,8 @@ def frequent_first(rows: DataFrame, table: DataFrame, key: str, frequent: DataFr
     value fills no task. The others are shuffled and merged. ``rows`` and ``table`` are staged tables: each is read twice.
     """
     frequent = frequent_values(rows, key) if frequent is None else frequent
-    hot = stage(table.join(F.broadcast(frequent), key, "left_semi"), "frequent")
-    rare = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    hot = table.join(F.broadcast(frequent), key, "left_semi")
+    rare = rows.join(F.broadcast(frequent), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(rare.join(table.hint("merge"), key))
 
 
