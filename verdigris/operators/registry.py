@@ -46,32 +46,36 @@ def linked(edges: DataFrame, company: object, company_col: str, partner_col: str
 
 
 def relationship_paths(
-    edges: DataFrame, sources: DataFrame | list, targets: DataFrame | list, company_col: str, partner_col: str, depth: int = 2, most: int | None = 5, per_partner: int | None = 100
+    edges: DataFrame, sources: DataFrame | list, targets: DataFrame | list, company_col: str, partner_col: str, depth: int = 2, most: int | None = None, per_partner: int | None = None, once: bool = False
 ) -> DataFrame:
-    """The first paths from source to target companies over shared partners: ``path`` (company, partner, company, ...) and ``hops``.
+    """Paths from source to target companies over shared partners: ``path`` (company, partner, company, ...) and ``hops``.
 
-    Breadth first: a company is reached once, by the least of its shortest paths; of a partner only the ``per_partner`` first companies
-    are tried, so a hub makes that many rows a hop and not the square of its companies; a path ends at a target; ``most`` paths are kept, shorter ones
-    first. Sources and targets are values or tables with the company column; each hop is two joins with the edges, whatever their size.
+    A path visits no company twice and ends at a target. Bounds make it a breadth-first search: ``once`` reaches a company by the least of its shortest
+    paths alone; of a partner only the ``per_partner`` first companies are tried, so a hub makes that many rows a hop and not the square of its
+    companies; ``most`` paths are kept, shorter ones first. Sources and targets are values or tables with the company column; each hop is two joins with the
+    edges, whatever their size.
     """
     spark, as_text = edges.sparkSession, lambda c: F.col(c).cast("string")
     table = lambda x: x if isinstance(x, DataFrame) else spark.createDataFrame([(str(v),) for v in x], f"`{company_col}` string")
     e = edges.select(as_text(company_col).alias("c"), as_text(partner_col).alias("p"), F.col(company_col).alias("_o")).distinct()
+    tried = e
     if per_partner is not None:
-        e = e.withColumn("_n", F.row_number().over(Window.partitionBy("p").orderBy("_o"))).withColumn("_tried", F.col("_n") <= per_partner)
-    else:
-        e = e.withColumn("_tried", F.lit(True))
+        tried = e.withColumn("_n", F.row_number().over(Window.partitionBy("p").orderBy("_o"))).where(F.col("_n") <= per_partner)
     ends = table(targets).select(as_text(company_col).alias("at")).distinct()
-    frontier = table(sources).select(as_text(company_col).alias("at")).distinct().withColumn("path", F.array("at"))
-    seen, found = frontier.select("at"), None
+    frontier = table(sources).select(as_text(company_col).alias("at")).distinct()
+    seen, found = frontier, None
+    frontier = frontier.join(e.select(F.col("c").alias("at")), "at", "left_semi").withColumn("path", F.array("at"))
     for hop in range(1, depth + 1):
         step = frontier.join(e.select(F.col("c").alias("at"), "p"), "at").select("path", "p")
-        step = step.join(e.where("_tried").select("p", F.col("c").alias("at")), "p").join(seen, "at", "left_anti")
+        step = step.join(tried.select("p", F.col("c").alias("at")), "p").where(~F.array_contains("path", F.col("at")))
+        step = step.join(seen, "at", "left_anti") if once else step
         step = step.select("at", F.concat("path", F.array("p", "at")).alias("path"))
         hits = step.join(ends, "at", "left_semi").select("path", F.lit(hop).alias("hops"))
         found = hits if found is None else found.unionByName(hits)
-        frontier = step.join(ends, "at", "left_anti").groupBy("at").agg(F.min("path").alias("path"))
-        seen = seen.unionByName(frontier.select("at"))
+        frontier = step.join(ends, "at", "left_anti")
+        if once:
+            frontier = frontier.groupBy("at").agg(F.min("path").alias("path"))
+            seen = seen.unionByName(frontier.select("at"))
     return found if most is None else found.orderBy("hops", "path").limit(most)
 
 

@@ -71,7 +71,7 @@ def relationship_paths(table, spark):
     """The first paths of up to two shared suppliers from the first part to the last, a hundred parts of a supplier being tried."""
     edges = table("lineitem").select(F.col("l_partkey").alias("c"), F.col("l_suppkey").alias("p")).distinct()
     ends = edges.agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    found = G.relationship_paths(edges, ends.select(F.col("lo").alias("c")), ends.select(F.col("hi").alias("c")), "c", "p", 2)
+    found = G.relationship_paths(edges, ends.select(F.col("lo").alias("c")), ends.select(F.col("hi").alias("c")), "c", "p", 2, most=5, per_partner=100, once=True)
     return found.select(G.path_label(F.col("path")).alias("path"), "hops")
 
 
