@@ -97,6 +97,19 @@ def frequent_first(rows: DataFrame, table: DataFrame, key: str, frequent: DataFr
     return rows.join(F.broadcast(hot), key).unionByName(rare.join(table.hint("merge"), key))
 
 
+def frequent_left(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` (staged) with the columns of ``table`` (staged; one narrow row for each value of ``key`` at most), null where it has none.
+
+    Like ``frequent_first``, but no row is lost: those of frequent values and those without a key stay where they lie.
+    """
+    frequent = frequent_values(rows, key)
+    marked = rows.join(F.broadcast(frequent.withColumn("_hot", F.lit(True))), key, "left")
+    stays = F.coalesce("_hot", F.lit(False)) | F.col(key).isNull()
+    hot = table.join(F.broadcast(frequent), key, "left_semi")
+    held = marked.where(stays).drop("_hot").join(F.broadcast(hot), key, "left")
+    return held.unionByName(marked.where(~stays).drop("_hot").join(table.hint("merge"), key, "left"))
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 

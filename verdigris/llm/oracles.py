@@ -38,4 +38,19 @@ b AS (SELECT g.source, max(g.h) AS edge, arg_max((remainder - before) * 2 > word
 c AS (SELECT d.*, l.source_size, l.target, least(whole + CASE WHEN whole < 2 AND (h < edge OR (h = edge AND also)) THEN 1 ELSE 0 END, 2)::BIGINT AS copies
   FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies, source FROM c""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+k AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (SELECT part, (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > least, false)::INT AS m, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN k ON k.doc_id = w.doc_id),
+c AS (SELECT part, m, count(*) AS n, sum(good) AS g, sum(toxic) AS x FROM f GROUP BY part, m),
+l AS (SELECT substr('ABCDE', i::INT + 1, 1) AS c, (1 << i)::INT AS b FROM range(5) r(i)),
+o AS (SELECT q.c || r.c || s.c || t.c || u.c AS filter_order, [q.b, r.b, s.b, t.b, u.b] AS seq FROM l q, l r, l s, l t, l u WHERE q.b | r.b | s.b | t.b | u.b = 31),
+p AS (SELECT filter_order, step::INT AS step, seq[step] AS b, coalesce(list_sum(seq[:step - 1]), 0)::INT AS before FROM o, range(1, 6) v(step)),
+e AS (SELECT part, filter_order, step, b, sum(CASE WHEN m & (before | b) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN m & b > 0 AND m & before = 0 THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN m & b > 0 AND m & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN m = b THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN m & b > 0 AND m & before = 0 THEN g ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN m & b > 0 AND m & before = 0 THEN x ELSE 0 END)::BIGINT AS toxic_lost FROM p, c GROUP BY part, filter_order, step, b)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, b)::BIGINT AS shapley FROM e""",
 }
