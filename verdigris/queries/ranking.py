@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from verdigris.operators import context
 from verdigris.operators import ranking as R
 from verdigris.queries._registry import query
-from verdigris.queries.text import TOKENS, documents_index
+from verdigris.queries.text import TOKENS, documents_index, updated_index
 
 QUESTION = ["the", "that", "tion", "erth", "with", "the"]
 MORE = {"q1": QUESTION, "q2": ["la", "pour", "vous"], "q3": ["und", "der", "lich"]}
@@ -54,6 +54,12 @@ def bm25_multi_query(table, spark):
     return best(table, MORE, 5)
 
 
+@query(f"WITH {bm25_sql(MORE, 5)} SELECT q, doc_id, score, rank FROM bm")
+def updated_bm25(table, spark):
+    """The same from an index that took in additions, changes and deletions: its segments' statistics are those of a fresh build."""
+    return updated_index(table).bm25(MORE, 5).withColumnRenamed("id", "doc_id")
+
+
 #: A question's vector: a fixed row's, read as one row.
 ASKED = 7
 VEC = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS qv FROM e WHERE vec_id = 7)"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from verdigris.operators.index_segments import SegmentedIndex
 from verdigris.sources.sinks import upsert_table
 
 
@@ -23,6 +24,19 @@ def ingest(spark: SparkSession, folder: str, schema: str, table: str, checkpoint
     return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def index_arrivals(spark: SparkSession, folder: str, schema: str, index: SegmentedIndex, checkpoint: str, id_col: str, text_col: str, order: str, gone: str = "false") -> StreamingQuery:
+    """Take the JSON lines of new files into an index, then stop. Rows that satisfy ``gone`` delete their id; of several rows with an id in
+    one delivery the last by ``order`` counts. The index knows which deliveries it has, so a repeated one changes nothing.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        latest = batch.groupBy(id_col).agg(F.max_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
+        index.apply(latest.where(f"NOT ({gone})"), latest.where(gone), id_col, text_col, checkpoint, number)
+
+    lines = spark.readStream.schema(schema).json(folder)
+    return lines.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(events: DataFrame, time: str, kind: str, width: str, late: str) -> DataFrame:
     """Counts by kind and tumbling window; rows later than the watermark are left out (streams only)."""
     marked = events.withWatermark(time, late) if events.isStreaming else events
