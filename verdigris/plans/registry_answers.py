@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.text import company_id
 from verdigris.operators import registry as G
+from verdigris.operators.paths import paths_between
 from verdigris.plans.routing import plain
 
 #: Abbreviations of the states.
@@ -93,6 +94,7 @@ def answer(question: RegistryQuestion, companies: DataFrame, establishments: Dat
         return rows.agg(F.count(F.lit(1)).alias("total")) if q.kind == "count" else rows.orderBy("cnpj_basico", "cnpj_ordem").limit(limit)
     if q.kind == "paths":
         ends = [[r.cnpj_basico for r in G.name_search(companies, plain(n).split(), F.col("razao_social"), 3, "cnpj_basico").collect()] for n in q.names[:2]]
-        return G.relationship_paths(edges, ends[0], ends[1], "cnpj_basico", "partner", 2, most=5, per_partner=100, once=True)
+        named = edges.withColumn("weak", F.col("partner").startswith("name:"))
+        return paths_between(named, ends[0], ends[1], "cnpj_basico", "partner", 2, weak_col="weak")
     words = plain(q.names[0]).split() if q.names else []
     return G.name_search(companies, words, F.col("razao_social"), limit, "cnpj_basico")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import text as X
 from verdigris.operators import registry as G
+from verdigris.operators.paths import paths_between
 from verdigris.plans import catalog
 from verdigris.queries._registry import query
 
@@ -59,20 +60,23 @@ def linked_companies(table, spark):
 
 
 @query(
-    """WITH g AS (SELECT DISTINCT l_partkey AS c, l_suppkey AS p FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY c) <= 100 AS tried FROM g),
-    t AS (SELECT max(c) AS hi, min(c) AS lo FROM g),
-    s1 AS (SELECT o.c AS node, [lo::VARCHAR, a.p::VARCHAR, o.c::VARCHAR] AS path FROM t JOIN g a ON a.c = lo JOIN n o ON o.p = a.p AND o.tried WHERE o.c <> lo),
-    f1 AS (SELECT node, min(path) AS path FROM s1, t WHERE node <> hi GROUP BY node),
-    s2 AS (SELECT o.c AS node, list_concat(f1.path, [a.p::VARCHAR, o.c::VARCHAR]) AS path FROM f1 JOIN g a ON a.c = f1.node JOIN n o ON o.p = a.p AND o.tried, t WHERE o.c <> lo AND o.c NOT IN (SELECT node FROM f1)),
-    h AS (SELECT path, 1 AS hops FROM s1, t WHERE node = hi UNION ALL SELECT path, 2 FROM s2, t WHERE node = hi)
-    SELECT array_to_string(path, ' -> ') AS path, hops::INT AS hops FROM h ORDER BY hops, h.path LIMIT 5"""
+    """WITH g AS (SELECT DISTINCT l_partkey AS c, l_suppkey AS p, s_acctbal < 0 AS weak FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+    n AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY p ORDER BY c) <= 100), t AS (SELECT max(c) AS lo, min(c) AS hi FROM g),
+    s1 AS (SELECT o.c AS node, [lo::VARCHAR, a.p::VARCHAR, o.c::VARCHAR] AS path, NOT a.weak AS strong FROM t JOIN g a ON a.c = lo JOIN n o ON o.p = a.p WHERE o.c <> lo),
+    f1 AS (SELECT node, min(path) AS path, arg_min(strong, path) AS strong FROM s1 GROUP BY node),
+    k2 AS (SELECT path, strong, a.p, a.weak FROM f1 JOIN g a ON a.c = f1.node WHERE NOT (a.weak AND a.p IN (SELECT x.p FROM g x, t WHERE x.c = t.lo))
+      QUALIFY NOT a.weak OR row_number() OVER (PARTITION BY a.p ORDER BY path) = 1),
+    s2 AS (SELECT o.c AS node, list_concat(path, [k2.p::VARCHAR, o.c::VARCHAR]) AS path, strong AND NOT k2.weak AS strong FROM k2 JOIN n o ON o.p = k2.p WHERE NOT list_contains(path, o.c::VARCHAR)),
+    h AS (SELECT path, 1 AS hops, strong FROM s1, t WHERE node = hi UNION ALL SELECT path, 2, strong FROM s2, t WHERE node = hi)
+    SELECT array_to_string(path, ' -> ') AS path, hops::INT AS hops, CASE WHEN strong THEN 'forte' ELSE 'indicio' END AS confidence FROM h ORDER BY hops, h.path LIMIT 20"""
 )
 def relationship_paths(table, spark):
-    """The first paths of up to two shared suppliers from the first part to the last, a hundred parts of a supplier being tried."""
-    edges = table("lineitem").select(F.col("l_partkey").alias("c"), F.col("l_suppkey").alias("p")).distinct()
-    ends = edges.agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    found = G.relationship_paths(edges, ends.select(F.col("lo").alias("c")), ends.select(F.col("hi").alias("c")), "c", "p", 2, most=5, per_partner=100, once=True)
-    return found.select(G.path_label(F.col("path")).alias("path"), "hops")
+    """The first paths of up to two shared suppliers from the last part to the first; suppliers in debt count as known by name alone."""
+    suppliers = table("supplier").select(F.col("s_suppkey").alias("p"), (F.col("s_acctbal") < 0).alias("weak"))
+    edges = table("lineitem").select(F.col("l_partkey").alias("c"), F.col("l_suppkey").alias("p")).distinct().join(suppliers, "p")
+    ends = edges.agg(F.max("c").alias("lo"), F.min("c").alias("hi"))
+    found = paths_between(edges, ends.select(F.col("lo").alias("c")), ends.select(F.col("hi").alias("c")), "c", "p", 2, most=20, weak_col="weak")
+    return found.select(G.path_label(F.col("path")).alias("path"), "hops", "confidence")
 
 
 @query("SELECT count(*)::BIGINT AS total FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 1000 AND c_name LIKE 'Customer#0000%'")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
@@ -53,3 +54,22 @@ def ship(spark: SparkSession) -> None:
                     archive.write(full, os.path.join("verdigris", os.path.relpath(full, root)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again: a step of a loop costs its own work, and a lost executor a task."""
+    path, schema = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete the folders of staged tables that nothing lazy refers to any more."""
+    for df in tables:
+        spark = df.sparkSession
+        own = shared_dir(spark)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            # Only what ``staged`` made, never an input.
+            if folder.split(":", 1)[-1].lstrip("/").startswith(own.split(":", 1)[-1].lstrip("/")):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
