@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.text import company_id
 from verdigris.operators import registry as G
+from verdigris.operators.name_index import NameIndex
 from verdigris.operators.paths import paths_between
 from verdigris.plans.routing import plain
 
@@ -69,8 +70,18 @@ def partner_key(document: Column, name: Column) -> Column:
     return F.when(strong, F.concat(F.lit("doc:"), digits)).otherwise(F.concat(F.lit("name:"), F.upper(F.trim(name))))
 
 
-def answer(question: RegistryQuestion, companies: DataFrame, establishments: DataFrame, partners: DataFrame, activities: DataFrame, limit: int = 20) -> DataFrame:
-    """The rows that answer a question."""
+def best_names(companies: DataFrame, words: list[str], k: int, names: NameIndex | None) -> DataFrame:
+    """The companies whose names fit best: from the index of names where there is one, else by scoring all."""
+    if names is None:
+        return G.name_search(companies, words, F.col("razao_social"), k, "cnpj_basico")
+    found = F.broadcast(names.search(words, k).withColumnRenamed("id", "cnpj_basico"))  # k rows
+    return companies.join(found, "cnpj_basico").orderBy(F.desc("match"), "cnpj_basico")
+
+
+def answer(
+    question: RegistryQuestion, companies: DataFrame, establishments: DataFrame, partners: DataFrame, activities: DataFrame, limit: int = 20, names: NameIndex | None = None
+) -> DataFrame:
+    """The rows that answer a question; ``names``: an index of the companies' names by ``cnpj_basico``."""
     limit = G.clamp(limit)
     number, q = question.number, question
     edges = partners.select("cnpj_basico", partner_key(F.col("cnpj_cpf_do_socio"), F.col("nome_socio")).alias("partner"))
@@ -93,8 +104,8 @@ def answer(question: RegistryQuestion, companies: DataFrame, establishments: Dat
             return G.count_by(rows, "uf", limit)
         return rows.agg(F.count(F.lit(1)).alias("total")) if q.kind == "count" else rows.orderBy("cnpj_basico", "cnpj_ordem").limit(limit)
     if q.kind == "paths":
-        ends = [[r.cnpj_basico for r in G.name_search(companies, plain(n).split(), F.col("razao_social"), 3, "cnpj_basico").collect()] for n in q.names[:2]]
+        ends = [[r.cnpj_basico for r in best_names(companies, plain(n).split(), 3, names).collect()] for n in q.names[:2]]
         named = edges.withColumn("weak", F.col("partner").startswith("name:"))
         return paths_between(named, ends[0], ends[1], "cnpj_basico", "partner", 2, weak_col="weak")
     words = plain(q.names[0]).split() if q.names else []
-    return G.name_search(companies, words, F.col("razao_social"), limit, "cnpj_basico")
+    return best_names(companies, words, limit, names)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import text as X
 from verdigris.operators import registry as G
+from verdigris.operators.name_index import name_index_for
 from verdigris.operators.paths import paths_between
 from verdigris.plans import catalog
 from verdigris.queries._registry import query
@@ -116,8 +117,18 @@ def name_match_score(table, spark):
 
 @query("WITH " + NAME_SQL.format(words="('wid'), ('red')", all="wid red") + " SELECT p_partkey, match FROM m WHERE match > 0 ORDER BY match DESC, p_partkey LIMIT 20")
 def name_prefix_search(table, spark):
-    """The best names for a query with a beginning of a word."""
-    return G.name_search(table("part"), ["wid", "red"], F.col("p_name"), 20, "p_partkey").select("p_partkey", "match")
+    """The best names for a query with a beginning of a word: ranges of the name index make the candidates."""
+    return name_index_for(table("part"), "p_partkey", "p_name").search(["wid", "red"], 20).withColumnRenamed("id", "p_partkey")
+
+
+@query(
+    r"""WITH n AS (SELECT p_partkey, p_name, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS t FROM part)
+    SELECT p_partkey, p_name FROM n WHERE len(list_filter(t, lambda c: starts_with(c, 'ste'))) > 0 AND len(list_filter(t, lambda c: starts_with(c, 'b'))) > 0"""
+)
+def name_all_prefixes(table, spark):
+    """Names that hold a token with each of two beginnings: the rows of two ranges, intersected."""
+    found = name_index_for(table("part"), "p_partkey", "p_name").with_all(["ste", "b"]).withColumnRenamed("id", "p_partkey")
+    return table("part").join(found, "p_partkey").select("p_partkey", "p_name")
 
 
 @query("SELECT s_suppkey, s_name, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
