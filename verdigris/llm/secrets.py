@@ -81,14 +81,61 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         beside[name] = F.coalesce((F.col(f"_{name}_end") <= F.col("start")) | (F.col(f"_{name}_start") >= F.col("end")), F.lit(False))
     complemented = F.when(F.col("kind").isin(SECRETS), beside["identifier"] | beside["endpoint"]).otherwise(beside["secret"])
     reported = F.col("kind").isNotNull() & (F.col("kind") != "break") & (base | (F.col("_live") & complemented))
-    found = found.withColumn("credential", F.when(F.col("_live") & complemented, F.col("_scope")))
-    return found.select("_row", "doc_id", *[F.when(reported, F.col(c)).alias(c) for c in ("kind", "match", "start", "end", "weak", "credential")])
+    found = found.withColumn("_linked", F.col("_live") & complemented)
+    shown = [F.when(reported, F.col(c)).alias(c) for c in ("kind", "match", "start", "end", "weak")]
+    numbered = with_credentials(found.select("_row", "doc_id", *shown, (F.col("_linked") & reported).alias("_linked"), "_scope"))
+    return numbered.select("_row", "doc_id", "kind", "match", "start", "end", "weak", "credential")
+
+
+def with_credentials(spans: DataFrame) -> DataFrame:
+    """Number the linked spans of each text: the parts of a scope, in order, are cut into runs that are each a credential.
+
+    A run ends before a part whose role it already has, once it holds a secret and another part that don't overlap; what is left at the
+    end of a scope without such a pair belongs to the run before. So two logins with their passwords are two credentials, whichever
+    comes first. One fold over the spans of a text, which lie together already.
+    """
+    bit = F.when(F.col("kind").isin(SECRETS), 1).when(F.col("kind").isin(IDENTIFIERS), 2).otherwise(4)
+    part = F.struct("start", kind_place(KINDS, F.col("kind")).alias("k"), "end", "kind", "match", "weak", "_linked", "_scope", bit.alias("bit"))
+    texts = spans.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(part)).alias("_parts"))
+    far = F.lit(2**62)
+    start = F.struct(
+        F.lit(0).alias("n"), F.lit(-1).cast("long").alias("scope"), F.lit(0).alias("mask"), F.lit(True).alias("whole"), far.alias("secret"), far.alias("other"),
+        F.array().cast("array<int>").alias("numbers"), F.array().cast("array<int>").alias("loose"),
+    )
+
+    def step(acc, x):
+        moved = x["_scope"] != acc["scope"]
+        new = moved | ((acc["mask"].bitwiseAND(x["bit"]) > 0) & acc["whole"])
+        n = acc["n"] + F.when(new, 1).otherwise(0)
+        secret, other = (F.when(new, far).otherwise(acc[name]) for name in ("secret", "other"))
+        is_secret = x["bit"] == 1
+        pair = F.when(is_secret, other <= x["start"]).otherwise(secret <= x["start"])
+        after = F.struct(
+            n.alias("n"),
+            x["_scope"].cast("long").alias("scope"),
+            F.when(new, x["bit"]).otherwise(acc["mask"].bitwiseOR(x["bit"])).alias("mask"),
+            ((~new & acc["whole"]) | pair).alias("whole"),
+            F.when(is_secret, F.least(secret, x["end"])).otherwise(secret).alias("secret"),
+            F.when(is_secret, other).otherwise(F.least(other, x["end"])).alias("other"),
+            F.concat(acc["numbers"], F.array(n)).alias("numbers"),
+            F.when(moved & ~acc["whole"], F.concat(acc["loose"], F.array(acc["n"]))).otherwise(acc["loose"]).alias("loose"),
+        )
+        none = F.struct(*[acc[c].alias(c) for c in ("n", "scope", "mask", "whole", "secret", "other")], F.concat(acc["numbers"], F.array(F.lit(None).cast("int"))).alias("numbers"), acc["loose"].alias("loose"))
+        return F.when(x["_linked"], after).otherwise(none)
+
+    def finish(acc):
+        loose = F.when(acc["whole"], acc["loose"]).otherwise(F.concat(acc["loose"], F.array(acc["n"])))
+        return F.transform(acc["numbers"], lambda n: F.when(F.array_contains(loose, n), n - 1).otherwise(n))
+
+    numbered = texts.withColumn("_numbers", F.aggregate("_parts", start, step, finish))
+    rows = numbered.select("_row", "doc_id", F.explode(F.arrays_zip("_parts", "_numbers")).alias("_x"))
+    return rows.select("_row", "doc_id", "_x._parts.*", F.col("_x._numbers").alias("credential"))
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: counts of the base kinds, the digest of the base spans, all spans as text, and the linked ones.
 
-    ``credentials`` has ``credential:kind:start:end`` of each linked span; spans of one credential share the number.
+    ``credentials`` has ``credential:kind:start:end`` of each linked span; spans of one credential share the number, from 1 in a text.
     """
     spans = secret_spans(docs, id_col, text_col)
     entry = F.when(
