@@ -360,3 +360,16 @@ def test_mix_meets_its_targets(documents):
     counts = collections.Counter(r.doc_id for r in mixed.collect())
     assert all(counts.get(i, 0) == r.copies for i, r in got.items())
     assert mix_sources(documents([])).count() == 0
+
+
+def test_mix_meets_its_targets_without_ids(spark):
+    rng = random.Random(10)
+    rows = [(None if rng.random() < 0.5 else rng.randint(0, 40), " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 30))), f"s{i % 3}") for i in range(3000)]
+    rows += [(None, None, "s0"), (None, "", None), *[(7, "the same words", "s1")] * 20, (None, "x" * 100_000, "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(docs).groupBy("source").agg({"taken": "sum", "target": "max", "source_size": "max"}).collect()
+    sizes, target = mix([(i, s, len((t or "").split())) for i, t, s in rows])
+    for r in got:
+        assert r["max(source_size)"] == sizes[r.source]
+        assert abs(r["sum(taken)"] - target[r.source]) <= 60  # the largest document, or the rows that repeat id and text, at once
+    assert mixed_documents(docs).count() == mix_sources(docs).agg({"copies": "sum"}).first()[0]

@@ -45,9 +45,13 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
     return table.select("source", "source_size", F.least(cap, F.lit(unit) * F.col("_weight")).alias("target"))
 
 
-def mix_hash(key: Column) -> Column:
-    """60 bits of the key's MD5 as a long that is never negative; a null key hashes like the empty text."""
-    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+def mix_hash(key: Column, text: Column) -> Column:
+    """60 bits of the MD5 of ``<key>:<MD5 of the text>`` as a long that is never negative; null keys and texts count as empty.
+
+    The text is part of it, so that rows without an id, or with a repeated one, are told apart.
+    """
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), own).cast("binary"))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -111,7 +115,7 @@ def copies_taken(most: int = MOST) -> Column:
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     return stage(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), mix_hash(F.col(id_col)).alias("_hash")),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), mix_hash(F.col(id_col), F.col(text_col)).alias("_hash")),
         "sizes",
     )
 
@@ -134,8 +138,9 @@ def mix_sources(
     each pass shuffles only sums. The boundary bucket is taken if that brings the sum nearer to the target.
 
     Defined results: a null or empty text has size 0 and is taken 0 words (``copies`` still counts it). A null source
-    is a source of its own, last in the order. Rows of one source with the same id hash alike and are taken or left
-    together. An empty table gives an empty result. Reruns agree, as the hash depends on the id only.
+    is a source of its own, last in the order. Ids may be null or repeat: rows are told apart by their texts as well; rows of one source
+    that repeat id and text are taken or left together. An empty table gives an empty result. Reruns agree, as the hash depends on id and
+    text only.
 
     Returns ``doc_id, size, source_size, target, taken, copies, source``.
     """
@@ -150,6 +155,6 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of the mix with all their columns: a document as often as it is taken. The texts meet their source's rule where they lie."""
     rule = mix_rule(_sized(docs, id_col, text_col, source_col)).select("_source", "_whole", "_limit", "_with")
-    rows = packed(docs).withColumn("_hash", mix_hash(F.col(f"row.`{id_col}`")))
+    rows = packed(docs).withColumn("_hash", mix_hash(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")))
     ruled = rows.join(rule, F.col(f"row.`{source_col}`").eqNullSafe(F.col("_source")))
     return ruled.select("row", F.explode(F.array_repeat(F.lit(0), copies_taken().cast("int"))).alias("_copy")).select("row.*")
