@@ -232,3 +232,19 @@ def test_empty_tables(documents):
     assert exact_dedup(documents([])).count() == 0
     assert near_classes(documents([])).count() == 0
     assert near_classes(documents([None, ""])).select("class_id").distinct().count() == 1
+
+
+def test_ends_of_large_buckets_meet_the_others_in_blocks(documents, monkeypatch):
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(400)]
+    given = [None, "", *[" ".join(rng.choice(words) for _ in range(60)) for _ in range(6)]]
+    for base in given[2:5]:
+        given += [f"{base} new{i}" for i in range(25)]
+    docs = documents(given)
+    want = sorted(map(tuple, near_classes(docs).collect()))
+    starred = []
+    whole = N.verified_blocks
+    monkeypatch.setattr(N, "verified_blocks", lambda rows, *a: starred.append(rows.count()) or whole(rows, *a))
+    monkeypatch.setattr(N, "BLOCK", 3)
+    assert sorted(map(tuple, near_classes(docs).collect())) == want
+    assert starred[0] > 50 and len({r[1] for r in want}) <= 9

@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from verdigris.session import drop_staged, shared_dir  # noqa: F401  (the operators have all helpers from here)
+from verdigris.session import staged as stage  # noqa: F401
+
 #: Bytes of an Arrow batch that goes to a Python worker: rows are long texts, and several copies of a batch are held at once.
 BATCH_BYTES = 4 << 20
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent a session on this machine alone (``local[*]``) gets a temporary folder, once for each
-    application; on a cluster that is an error, as executors and driver don't share such a folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        found = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-    return found.rstrip("/")
 
 
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
@@ -41,30 +27,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
-
-    This cuts the lineage, survives lost executors, and makes row ids and samples that were drawn once stay as
-    they are for every later pass.
-    """
-    path = new_folder(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
-def drop_staged(*tables: DataFrame) -> None:
-    """Delete the folders of staged tables that nothing lazy refers to any more."""
-    for df in tables:
-        spark = df.sparkSession
-        own = shared_dir(spark)
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            # Only what ``stage`` made, never an input.
-            if folder.split(":", 1)[-1].lstrip("/").startswith(own.split(":", 1)[-1].lstrip("/")):
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def packed(docs: DataFrame) -> DataFrame:
     """The rows as one struct column ``row``: joins and helper columns can't clash with whatever columns the table has."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm._common import bound_batches, drop_staged, frequent_first, frequent_values, mix64, packed, stage, text_slices, tidied
+from verdigris.llm._common import bound_batches, drop_staged, frequent_first, frequent_left, frequent_values, mix64, packed, stage, text_slices, tidied
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -355,6 +355,29 @@ def verified(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> Da
     return _merge(_merge(pairs, left, "a"), right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def verified_stars(pairs: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
+    """``verified`` for pairs (staged) of which very many may share a text, as the ends of a large bucket do.
+
+    Such a text meets the others in blocks of ``BLOCK``: it is copied once for a block, not once for a pair, and no task holds more than a
+    block of the pairs. What is shared by fewer pairs is compared pair by pair.
+    """
+    ends = pairs.select(F.col("a").alias("pivot")).unionByName(pairs.select(F.col("b").alias("pivot")))
+    hubs = stage(ends.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), "pivots")
+    marked = pairs
+    for side in ("a", "b"):
+        marked = stage(frequent_left(marked, hubs.select(F.col("pivot").alias(side), F.col("n").alias(f"n{side}")), side), "starred")
+    few = verified(marked.where("na IS NULL AND nb IS NULL").select("a", "b"), texts, shared, threshold)
+    by_a = F.col("na").isNotNull()
+    starred = marked.where("na IS NOT NULL OR nb IS NOT NULL").select(
+        F.when(by_a, F.col("a")).otherwise(F.col("b")).alias("pivot"), F.when(by_a, F.col("b")).otherwise(F.col("a")).alias("other"), F.coalesce("na", "nb").alias("n")
+    )
+    block = F.pmod(F.xxhash64("other", F.lit(11)), F.ceil(F.col("n") / BLOCK))
+    tasks = stage(starred.select(F.xxhash64("pivot", block).alias("task"), "pivot", "other"), "stars")
+    one = tasks.select("task", F.lit(True).alias("outer"), F.col("pivot").alias("id")).distinct()
+    rows = one.unionByName(tasks.select("task", F.lit(False).alias("outer"), F.col("other").alias("id"))).withColumn("root", F.col("id"))
+    return few.unionByName(verified_blocks(stage(rows, "likely"), texts, shared, threshold))
+
+
 def _across(rest: DataFrame, signatures: DataFrame) -> DataFrame:
     """Texts to compare, block by block: ``task, outer, id, root``.
 
@@ -490,8 +513,10 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     pairs = star.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     left = signatures.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
     right = signatures.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-    likely = _merge(_merge(pairs, left, "a"), right, "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
-    links = stage(verified(stage(likely, "likely"), texts, shared, threshold), "links")
+    # The ends of large buckets stand in very many pairs: their signatures come by broadcast.
+    one = stage(frequent_first(stage(pairs, "pairs"), left, "a"), "pairs")
+    likely = stage(frequent_first(one, right, "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"), "likely")
+    links = stage(verified_stars(likely, texts, shared, threshold), "links")
     joined = components(links)
     root = F.coalesce("root", "id").alias("root")
     placed = stage(shared_buckets.where("n > 3").select("band", "id").join(joined, "id", "left").select("band", "id", root), "placed")
@@ -500,10 +525,9 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     more = verified_blocks(stage(_across(rest, signatures), "likely"), texts, shared, threshold)
     total = stage(links.unionByName(more), "links")
     roots = components(total)
-    linked = frequent_first(owner, roots.withColumnRenamed("id", "tid"), "tid").select("row", "doc_id", "digest", "tid", "root")
-    alone = owner.join(roots.select(F.col("id").alias("tid")), "tid", "left_anti").withColumn("root", F.col("tid"))
-    classes = stage(linked.unionByName(alone), "classes")
-    drop_staged(signed, twins, owner, signatures, buckets, shared_buckets, wanted, texts, links, placed, mixed, rest, total)
+    placed_rows = frequent_left(owner, roots.withColumnRenamed("id", "tid"), "tid")
+    classes = stage(placed_rows.select("row", "doc_id", "digest", "tid", F.coalesce("root", "tid").alias("root")), "classes")
+    drop_staged(one, likely, signed, twins, owner, signatures, buckets, shared_buckets, wanted, texts, links, placed, mixed, rest, total)
     return classes
 
 
