@@ -95,7 +95,6 @@ def test_domain_policy(spark):
 
 def test_rankings(spark):
     assert ranking.normal_weights(-1, 0) == (0.7, 0.3) and len(ranking.weight_profiles(0.7, 0.3, 3)) == 3
-    assert ranking.mmr_order([], 3) == [] and ranking.mmr_order([1.0, 0.9, 0.1], 2) == [0, 1]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ranking.bm25_topk(empty, ["a"], 5, "doc_id").count() == 0
     same = spark.createDataFrame([(1, 2.0), (2, 2.0)], "id long, score double")
@@ -119,13 +118,20 @@ def brute_mmr(scores, k, keep=0.7):
     return chosen
 
 
-def test_mmr_matches_brute_force():
+def test_mmr_matches_brute_force(spark):
     import random
 
     rng = random.Random(1)
-    for _ in range(200):
-        scores = sorted((round(rng.uniform(-2, 2), 2) for _ in range(rng.randint(1, 30))), reverse=True)
-        assert ranking.mmr_order(scores, 12) == brute_mmr(scores, 12)
+    lists = [sorted((round(rng.uniform(-2, rng.choice([2, 5])), 2) for _ in range(rng.randint(1, 30))), reverse=True) for _ in range(200)] + [[3.0] * 700]
+    frame = spark.createDataFrame([(n, i, score) for n, scores in enumerate(lists) for i, score in enumerate(scores)], "g int, id int, score double")
+    for k in (12, 600):
+        got = {}
+        for r in ranking.mmr(frame, k, "id", "g").orderBy("g", "rank").collect():
+            got.setdefault(r.g, []).append(r.id)
+        assert got == {n: brute_mmr(scores, k) for n, scores in enumerate(lists)}
+    alone = ranking.mmr(frame.where("g = 5").drop("g"), 12, "id").orderBy("rank").collect()
+    assert [r.id for r in alone] == brute_mmr(lists[5], 12) and alone[0].asDict().keys() == {"id", "score", "rank"}
+    assert ranking.mmr(frame.limit(0), 3, "id", "g").count() == 0
 
 
 def test_chunks(spark):

@@ -164,6 +164,10 @@ def test_rows_come_in_time(spark):
     slow = spark.range(0, 4, 1, 4).select(F.expr("aggregate(sequence(1, 3000000), 0D, (a, x) -> a + sin(x + id))").alias("x")).crossJoin(spark.range(3000).withColumnRenamed("id", "j")).agg(F.sum(F.sin(F.col("x") + F.col("j"))))
     with pytest.raises(catalog.OutOfTime):
         catalog.rows_within(slow, 0.2)
+    spark.range(30).createOrReplaceTempView("thirty")
+    assert catalog.run_guarded(spark, "SELECT id FROM thirty", 7, 60).count() == 7
+    with pytest.raises(catalog.OutOfTime):
+        catalog.run_guarded(spark, "SELECT a.id FROM thirty a, thirty b, thirty c, thirty d, thirty e, thirty f WHERE a.id + b.id + c.id + d.id + e.id + f.id < 0", 7, 0.2)
     assert spark.range(3).count() == 3
 
 

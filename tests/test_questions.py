@@ -59,7 +59,7 @@ def test_catalogue_answers(shelves):
     tables, datasets, resources = shelves
     ask = lambda q: A.answer(q, tables, datasets, resources)
     assert "2 datasets, 3 recursos, 1 recursos importados" in ask("o que ha aqui") and "anm_cfem" in ask("o que ha aqui")
-    assert "barragens de mineracao" in ask("qual o esquema") and "municipio, valor, ano" in ask("quais tabelas")
+    assert "situação das barragens" in ask("qual o esquema") and "municipio, valor, ano" in ask("quais tabelas")
     label, sums = A.grouped_sum(tables["anm_cfem"], "cfem por municipio")
     assert label == "Municipio" and [tuple(r) for r in sums.collect()] == [("A", 1235.0), ("B", 7.0)]
     assert "| A |" in ask("soma da cfem por municipio") and A.grouped_sum(tables["anm_cfem"], "por substancia") is None
@@ -68,7 +68,7 @@ def test_catalogue_answers(shelves):
     assert "cadastro" in ask("recursos: cadastro csv") and "Barragens" in ask("quais datasets") and "1.234,50" in ask("amostra de anm_cfem")
     assert [r.title for r in datasets.where(A.owned_by(F.col("title"), F.col("name"), F.col("organization_title"), "anm")).collect()] == ["Barragens"]
     assert A.data_tables(["resources", "b", "a", "sqlite_x"]) == ["a", "b"] and A.asked_table("a barragem", ["anm_cfem", "anm_barragem"]) == "anm_barragem"
-    assert A.describe_column("CNPJ_raiz").startswith("CNPJ") and A.aliases("anm_cfem_2020") == ["anm cfem 2020", "cfem 2020", "anm cfem"]
+    assert A.describe_column("CNPJ_raiz") == "número de registro da empresa" and A.aliases("anm_cfem_2020") == ["anm cfem 2020", "cfem 2020", "anm cfem"]
 
     def load(source):
         if source is None:

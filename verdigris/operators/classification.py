@@ -103,7 +103,8 @@ def first_label(text: Column, rules: dict[str, tuple[str, ...]], otherwise: str
 
 
 def without_institutions(text: Column) -> Column:
-    return F.regexp_replace(text, "|".join(f"(?:{p})" for p in INSTITUTIONS), " ")
+    left = F.regexp_replace(text, "|".join(f"(?:{p})" for p in INSTITUTIONS), " ")
+    return F.trim(F.regexp_replace(left, r"\s+", " "))
 
 
 def classify(records: DataFrame) -> DataFrame:

@@ -13,24 +13,6 @@ from verdigris.operators.ranking import first_of_each
 from verdigris.operators.temporal import canonical_status, effective_end, effective_start
 
 
-def best_revoker(mentions: DataFrame, acts: DataFrame, key: list[str], doc: str, name: str) -> DataFrame:
-    """For each mention (``doc`` and the key of the act that revokes it) the act that is meant, not the document itself.
-
-    Of several the one whose name equals the mention's (100 points), contains it or lies in it (70), then ones with a
-    start (20) and an end (10); equal points go to the later name.
-    """
-    cand = acts.select(*key, F.col(doc).alias("_target"), F.col(name).alias("_name"), "start", "end")
-    rows = mentions.join(cand, key).where(F.col("_target") != F.col(doc))
-    said, real = normalize(F.col("said")), normalize(F.col("_name"))
-    score = (
-        F.when(said == real, 100).when(F.contains(real, said) | F.contains(said, real), 70).otherwise(0)
-        + F.when(F.col("start").isNotNull(), 20).otherwise(0)
-        + F.when(F.col("end").isNotNull(), 10).otherwise(0)
-    )
-    picked = first_of_each(rows.withColumn("_score", score), [doc], [F.desc("_score"), F.desc("_name"), F.col("_target")])
-    return picked.select(doc, F.col("_target").alias("revoker"), F.col("start").alias("revoker_start"), F.col("_score").alias("score"))
-
-
 def start_ladder(text: Column, published: Column, stated: Column) -> Column:
     """A delayed start counted from publication, an explicit date in the text, what the metadata state, the publication."""
     delay = legal.relative_start(text)

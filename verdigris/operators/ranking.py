@@ -236,52 +236,21 @@ def reserve_coverage(ranked: DataFrame, pool: DataFrame, k: int, id_col: str, wa
     return rows.where(F.col("rank") <= k).select(id_col, "score", "rank")
 
 
-def mmr_order(scores: list[float], k: int, keep: float = 0.7) -> list[int]:
-    """Places of the chosen scores: the head, then again and again the greatest ``keep`` times the score less the
-    rest times its largest distance from the chosen. ``scores`` is a short ranked list.
+def mmr(ranked: DataFrame, k: int, id_col: str, group: str | None = None, keep: float = 0.7) -> DataFrame:
+    """Diversified lists, ``[group,] id, score, rank``: the head, then again and again what has the greatest ``keep`` times its score less the
+    rest times its largest distance from the chosen, as long as that is above -1.
 
-    The largest distance is that from the least or the greatest chosen score, so two numbers stand for all chosen.
+    The head has the greatest score, so the largest distance is always that from the head, and the value is the score less
+    ``1 - keep`` times the head's: it grows with the score. So the order is that of the scores (ties by id), and the floor is one
+    comparison with the head's. A window group limit keeps ``k`` rows of each list, however long it is.
     """
-    if not scores:
-        return []
-    chosen, left = [0], list(range(1, len(scores)))
-    low = high = scores[0]
-    while left and len(chosen) < k:
-        value = lambda i: keep * scores[i] - (1 - keep) * max(abs(scores[i] - low), abs(scores[i] - high))  # noqa: B023, E731
-        best = max(left, key=lambda i: (value(i), -i))
-        if value(best) <= -1:
-            break  # nothing reaches the floor
-        chosen.append(best)
-        left.remove(best)
-        low, high = min(low, scores[best]), max(high, scores[best])
-    return chosen
-
-
-#: Rows of a list that are diversified: those after them stay out, whatever their distance.
-DIVERSE = 500
-
-
-def mmr(ranked: DataFrame, k: int, id_col: str, group: str | None = None, keep: float = 0.7) -> DataFrame:
-    """Diversified lists: the best rows of each group (``id, score``; ``DIVERSE`` at most) in the order of ``mmr_order``."""
-    import pandas as pd
-
-    key = group or "_all"
-    if group:
-        best = Window.partitionBy(group).orderBy(F.desc("score"), id_col)
-        rows = ranked.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= DIVERSE).drop("_n")
-    else:
-        rows = ranked.orderBy(F.desc("score"), id_col).limit(DIVERSE).withColumn(key, F.lit(0))
-    kind = dict(rows.dtypes)
-
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", id_col], ascending=[False, True], ignore_index=True)
-        out = frame.iloc[mmr_order(frame["score"].tolist(), k, keep)].copy()
-        out["rank"] = range(1, len(out) + 1)
-        return out
-
-    schema = f"{key} {kind[key]}, {id_col} {kind[id_col]}, score double, rank int"
-    picked = rows.select(key, id_col, F.col("score").cast("double").alias("score")).groupBy(key).applyInPandas(pick, schema)
-    return picked if group else picked.drop(key)
+    rows = ranked.select(*([group] if group else []), id_col, F.col("score").cast("double").alias("score"))
+    order = [F.desc("score"), F.col(id_col)]
+    whole = Window.partitionBy(*([group] if group else []))
+    best = rows if group else rows.orderBy(*order).limit(k)
+    best = best.withColumn("rank", F.row_number().over(whole.orderBy(*order))).where(F.col("rank") <= k)
+    value = F.col("score") - (1 - keep) * F.max("score").over(whole)
+    return best.withColumn("_value", value).where((F.col("rank") == 1) | (F.col("_value") > -1)).drop("_value")
 
 
 def first_of_each(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -102,9 +102,13 @@ def check_query(spark: SparkSession, statement: str, functions: frozenset[str] =
     return text
 
 
-def run_guarded(spark: SparkSession, statement: str, limit: int = 100) -> DataFrame:
-    """The checked query's rows, at most ``limit``: the limit belongs to the plan, not to the text."""
-    return spark.sql(check_query(spark, statement)).limit(max(1, limit))
+def run_guarded(spark: SparkSession, statement: str, limit: int = 100, seconds: float | None = None) -> DataFrame:
+    """The checked query's rows, at most ``limit``: the limit belongs to the plan, not to the text.
+
+    With ``seconds`` the rows are there when it returns, or their jobs were cancelled and it raises ``OutOfTime``.
+    """
+    found = spark.sql(check_query(spark, statement)).limit(max(1, limit))
+    return found if seconds is None else spark.createDataFrame(rows_within(found, seconds), found.schema)
 
 
 class OutOfTime(TimeoutError):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from verdigris.operators import context, evidence, temporal
 from verdigris.operators import ranking as R
 from verdigris.operators.lexical_index import LexicalIndex
+from verdigris.operators.vector_index import VectorIndex
 from verdigris.plans import intent as intents
 from verdigris.plans.boolean_query import words_of
 from verdigris.plans.questions import domain_intent, expand, profile_of, unique_fold
@@ -59,13 +60,18 @@ def asked_queries(question: str, settings: dict, profiles: list = ()) -> list[st
 
 
 def fused_searches(
-    docs: DataFrame, asked: list[str], settings: dict, id_col: str, text_col: str, index: LexicalIndex | None, embed: Callable[[str], list[float]] | None, vector_col: str | None, k: int
-) -> DataFrame:
-    """``id, score``: all queries' lists in one by reciprocal ranks; the lexical ones come from one pass over the index (or the texts)."""
+    docs: DataFrame, asked: list[str], settings: dict, id_col: str, text_col: str, index: LexicalIndex | None, embed: Callable[[str], list[float]] | None, vector_col: str | None, k: int,
+    vectors: VectorIndex | None = None,
+) -> DataFrame:
+    """``id, score``: all queries' lists in one by reciprocal ranks; the lexical ones come from one pass over the index (or the texts), those by
+    vectors from one search of the stored index for all queries, or else from a scan for each."""
     queries = {f"q{i}": words_of(q) for i, q in enumerate(asked)}
     found = index.bm25(queries, settings["top_retrieval"]).withColumnRenamed("id", id_col) if index else R.bm25_many(docs, queries, settings["top_retrieval"], id_col, text_col)
     lists = [found.where("score > 0").select(id_col, "rank")]
-    if embed and vector_col:
+    if embed and vectors:
+        near = vectors.search({q: embed(text) for q, text in zip(queries, asked, strict=True)}, settings["top_retrieval"])
+        lists.append(near.select(F.col("id").alias(id_col), "rank"))
+    elif embed and vector_col:
         lists += [R.vector_topk(docs, embed(q), settings["top_retrieval"], id_col, vector_col).select(id_col, "rank") for q in asked]
     return R.reciprocal_rank_fusion(lists, [id_col], k)
 
@@ -84,6 +90,7 @@ def ask(
     domain: DomainColumns | None = None,
     profiles: list = (),
     today: date | None = None,
+    vectors: VectorIndex | None = None,
 ) -> DataFrame:
     """``place, rank, id, doc, score, part, evidence``: the rows of the answer's context.
 
@@ -94,7 +101,7 @@ def ask(
     when = intents.detect(question, today)
     timed = bool(acts and when.enabled and when.start)
     s = tune(question, settings or {}, temporal=timed)
-    fused = fused_searches(docs, asked_queries(question, s, profiles), s, id_col, text_col, index, embed, vector_col, POOL * s["top_final"])
+    fused = fused_searches(docs, asked_queries(question, s, profiles), s, id_col, text_col, index, embed, vector_col, POOL * s["top_final"], vectors)
     # The pool is a short list; only its rows bring their texts and metadata.
     pool = docs.join(F.broadcast(fused), id_col)
     if domain:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verdigris.operators import context
 from verdigris.operators import ranking as R
+from verdigris.operators.vector_index import usable, vector_index_for
 from verdigris.queries._registry import query
 from verdigris.queries.text import TOKENS, documents_index, updated_index
 
@@ -87,6 +88,40 @@ def vector_topk_l2(table, spark):
     return R.vector_topk(table("embeddings"), _asked(table), 10, "vec_id", "embedding", "l2")
 
 
+#: Rows whose vectors ask the index.
+ASKING = [3, 7, 11, 42]
+
+
+def _asking(table) -> dict[str, list[float]]:
+    return {str(r.vec_id): r.embedding for r in table("embeddings").where(F.col("vec_id").isin(ASKING)).select("vec_id", "embedding").collect()}
+
+
+def vectors_index(table):
+    """The stored index of all vectors: built over nine tenths, then it takes in the rest, forgets some and takes them in again."""
+    rows = table("embeddings")
+    index = vector_index_for(rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(10)) > 0), "vec_id", "embedding", name="updated")
+    if index.living().count() < rows.where(usable("embedding")).count():
+        index.insert(rows, "vec_id", "embedding")
+        index.delete(rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(10)) == 3).select(F.col("vec_id").alias("id")))
+        index.insert(rows, "vec_id", "embedding")
+    return index
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id::VARCHAR AS q, v AS qv FROM e WHERE vec_id IN (3, 7, 11, 42)),
+    s AS (SELECT q, vec_id, round({COS}, 6) AS score FROM e, q) SELECT q, vec_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 10"""
+)
+def vector_index_exact(table, spark):
+    """The ten nearest to each of several vectors: the stored index with all its lists read, after insertions and deletions."""
+    return vectors_index(table).search(_asking(table), 10, exact=True).withColumnRenamed("id", "vec_id")
+
+
+@query()
+def vector_index_search(table, spark):
+    """The same from the nearest lists' codes and a shortlist, as the index is used; recall is measured in the tests."""
+    return vectors_index(table).search(_asking(table), 10).withColumnRenamed("id", "vec_id")
+
+
 @query(
     """SELECT doc_id, lang, round(CASE WHEN max(n_chars) OVER w = min(n_chars) OVER w THEN 1.0
     ELSE (n_chars - min(n_chars) OVER w) / (max(n_chars) OVER w - min(n_chars) OVER w)::DOUBLE END, 6) AS scaled FROM documents WINDOW w AS (PARTITION BY lang)"""
@@ -194,7 +229,10 @@ def coverage_reserve(table, spark):
     return R.reserve_coverage(rows.where("category <> 'principal'"), rows, 10, "o_orderkey", F.col("category") == "principal")
 
 
-@query()
+@query(
+    f"""WITH {bm25_sql(MORE, 100)}, c AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INT AS rank, max(score) OVER (PARTITION BY q) AS head FROM bm)
+    SELECT q, doc_id, score, rank FROM c WHERE rank <= 20 AND (rank = 1 OR score - 0.3 * head > -1)"""
+)
 def mmr_select(table, spark):
     """Candidates of each language in an order that spreads their scores."""
     rows = best(table, MORE, 100).select("q", "doc_id", "score")
