@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import text as X
@@ -13,6 +14,7 @@ from verdigris.operators import lexical
 from verdigris.operators import registry as G
 from verdigris.operators import revocations as V
 from verdigris.operators import temporal as T
+from verdigris.operators.settlement import settle_ends
 from verdigris.plans import catalogue_answers as A
 from verdigris.queries._registry import query
 
@@ -110,6 +112,23 @@ def revoker_choice(table, spark):
     return V.best_revokers(mentions, acts, "doc")
 
 
+@query(
+    """WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS p, o_orderdate::DATE + (floor(o_totalprice)::BIGINT % 90)::INT AS s, CASE WHEN o_orderstatus = 'F' THEN o_orderdate::DATE + 30 END AS e,
+      lead(o_orderkey) OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate, o_orderkey) AS b FROM orders),
+    r(k, s, ends, who, begins, state) AS (SELECT k, s, e, NULL::BIGINT, NULL::DATE, 'stated' FROM o WHERE b IS NULL UNION ALL
+      SELECT k, s, CASE WHEN begins >= p THEN begins ELSE e END, who, begins, 'settled' FROM (SELECT o.k, o.s, o.p, o.e, CASE WHEN r.ends <= r.s AND r.who IS NOT NULL THEN r.who ELSE r.k END AS who,
+        CASE WHEN r.ends <= r.s AND r.who IS NOT NULL THEN r.begins ELSE r.s END AS begins FROM r JOIN o ON o.b = r.k))
+    SELECT k AS o_orderkey, ends AS settled_end, who AS settled_by, state FROM r"""
+)
+def settled_ends(table, spark):
+    """Ends along chains of revokers: an order is revoked by its customer's next of the year, which starts some days after its date."""
+    after = Window.partitionBy("o_custkey", F.year("o_orderdate")).orderBy("o_orderdate", "o_orderkey")
+    day = F.to_date("o_orderdate")
+    start = F.date_add(day, (F.floor("o_totalprice") % 90).cast("int"))
+    acts = table("orders").select("o_orderkey", F.lead("o_orderkey").over(after).alias("by"), day.alias("published"), start.alias("start"), F.when(F.col("o_orderstatus") == "F", F.date_add(day, 30)).alias("end"))
+    return settle_ends(acts, "o_orderkey", "by", "published", "start", "end").select("o_orderkey", "settled_end", "settled_by", "state")
+
+
 BEST_SQL = f"""{HEAD_SQL}, b AS (SELECT o_custkey AS doc, o_orderkey, mode, n, y FROM h JOIN orders USING (o_orderkey) WHERE mode IS NOT NULL),
     best AS (SELECT *, count(*) OVER (PARTITION BY doc)::BIGINT AS chunks, 'portaria nº ' || n || '/' || y AS said FROM b
       QUALIFY row_number() OVER (PARTITION BY doc ORDER BY CASE mode WHEN 'line' THEN 3 ELSE 1 END DESC, length(n), o_orderkey) = 1)"""
