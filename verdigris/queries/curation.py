@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.text import normalize
 from verdigris.operators import curation as C
+from verdigris.operators.lexical_index import input_version
 from verdigris.queries._registry import query
+from verdigris.session import shared_dir
+from verdigris.sources.bucketed import BucketedTable
 
 OLD_SQL = "old AS (SELECT doc_id, sha256(CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE text END) AS digest FROM documents WHERE doc_id % 7 <> 0), new AS (SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id % 5 <> 0)"
 
@@ -51,6 +54,24 @@ def upsert_rows(table, spark):
     return C.upsert(current, updates, ["c_custkey"], ["c_acctbal"])
 
 
+@query(
+    """WITH u AS (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 5)
+    SELECT c_custkey, CASE WHEN c_custkey IN (SELECT c_custkey FROM u) THEN upper(c_name) ELSE c_name END AS c_name, c_acctbal FROM customer WHERE NOT (c_mktsegment = 'MACHINERY' AND c_nationkey = 7)"""
+)
+def bucketed_changes(table, spark):
+    """All customers in a bucketed table, after some were renamed and some deleted there."""
+    rows = table("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey")
+    held = BucketedTable(spark, f"{shared_dir(spark)}/customers-{input_version(rows)[:24]}", ["c_custkey"], 64)
+    steps = (held.version() or {"number": 0})["number"]
+    if steps < 1:
+        held.upsert(rows)
+    if steps < 2:
+        held.upsert(rows.where("c_mktsegment = 'BUILDING' AND c_nationkey < 5").withColumn("c_name", F.upper("c_name")))
+    if steps < 3:
+        held.delete(rows.where("c_mktsegment = 'MACHINERY' AND c_nationkey = 7"))
+    return held.read().select("c_custkey", "c_name", "c_acctbal")
+
+
 @query(
     """WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN 'docs/' || upper(replace(c_name, '#', ' ')) || '.PDF' ELSE 'none' || c_custkey::VARCHAR END AS name FROM customer)
     SELECT c_custkey, CASE WHEN c_custkey % 3 <> 2 THEN c_custkey END AS found, CASE c_custkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'normalized' END AS matched FROM n"""

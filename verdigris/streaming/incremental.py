@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from verdigris.operators.index_segments import SegmentedIndex
+from verdigris.sources.bucketed import BucketedTable
 from verdigris.sources.sinks import upsert_table
 
 
@@ -24,6 +25,17 @@ def ingest(spark: SparkSession, folder: str, schema: str, table: str, checkpoint
     return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_buckets(spark: SparkSession, folder: str, schema: str, table: BucketedTable, checkpoint: str, order: str) -> StreamingQuery:
+    """The same into a bucketed table: a delivery rewrites the buckets of its keys alone, and one that the table has already changes nothing."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        latest = batch.groupBy(*table.key).agg(F.max_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
+        table.upsert(latest, stream=checkpoint, batch=number)
+
+    lines = spark.readStream.schema(schema).json(folder)
+    return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def index_arrivals(spark: SparkSession, folder: str, schema: str, index: SegmentedIndex, checkpoint: str, id_col: str, text_col: str, order: str, gone: str = "false") -> StreamingQuery:
     """Take the JSON lines of new files into an index, then stop. Rows that satisfy ``gone`` delete their id; of several rows with an id in
     one delivery the last by ``order`` counts. The index knows which deliveries it has, so a repeated one changes nothing.
