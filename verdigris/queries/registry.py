@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import text as X
 from verdigris.operators import registry as G
+from verdigris.operators.likeness import alike_names
 from verdigris.operators.name_index import name_index_for
 from verdigris.operators.paths import paths_between
 from verdigris.plans import catalog
@@ -131,6 +132,17 @@ def name_all_prefixes(table, spark):
     return table("part").join(found, "p_partkey").select("p_partkey", "p_name")
 
 
+@query(
+    """WITH n AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT name, '##' || lower(trim(name)) || '##' AS t FROM n),
+    g AS (SELECT name, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i::INT, 3))) AS g FROM t),
+    p AS (SELECT x.name AS a, y.name AS b, len(list_intersect(x.g, y.g)) AS k, len(x.g) + len(y.g) AS s FROM g x JOIN g y ON x.name <> y.name)
+    SELECT a, b, round(k / (s - k)::DOUBLE, 6) AS likeness FROM p WHERE k / (s - k)::DOUBLE >= 0.5 - 1e-9"""
+)
+def alike_part_names(table, spark):
+    """The names of parts that share half of their letter groups or more."""
+    return alike_names(table("part"), table("part"), "p_name", 0.5)
+
+
 @query("SELECT s_suppkey, s_name, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def lookup_join(table, spark):
     """Codes with their descriptions."""
