@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdigris.functions import html as H
 from verdigris.functions import text as X
 from verdigris.operators import context, lexical
 from verdigris.operators.index_segments import SegmentedIndex
@@ -170,6 +171,22 @@ def html_strip(table, spark):
     return table("pages").select("page_id", t.alias("t")).select("page_id", F.length("t").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
+def _blocks_sql() -> str:
+    text = "regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"
+    tags = "|".join(sorted(H.BLOCKS, key=len, reverse=True))
+    return f"""WITH s AS (SELECT page_id, chr(2) || regexp_replace({text}, '(?i)<(/?(?:{tags}))(?:\\s[^>]*|/?)>', chr(1) || '\\1' || chr(2), 'g') AS h FROM pages),
+    p AS (SELECT page_id, unnest(string_split(h, chr(1))) AS piece, generate_subscripts(string_split(h, chr(1)), 1) AS n FROM s),
+    q AS (SELECT page_id, n, lower(split_part(piece, chr(2), 1)) AS tag, {_strip_sql('split_part(piece, chr(2), 2)')} AS t FROM p)
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n) - 1)::INT AS place, CASE WHEN starts_with(tag, '/') THEN '' ELSE tag END AS tag, length(t)::INT AS n_chars, md5(t) AS digest FROM q WHERE t <> ''"""
+
+
+@query(_blocks_sql())
+def page_blocks(table, spark):
+    """The blocks of each page that have a text: their element, length and digest."""
+    rows = table("pages").select("page_id", F.explode(H.blocks(F.col("html"))).alias("b"))
+    return rows.select("page_id", "b.place", "b.tag", F.length("b.text").alias("n_chars"), F.md5(F.col("b.text").cast("binary")).alias("digest"))
+
+
 @query(
     r"""SELECT page_id, u.n::INT AS n, u.link AS link FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '(?i)<a\s+[^>]*href=["'']([^"'']*)["'']', 1), lambda x, i: {'link': x, 'n': i - 1})) AS u FROM pages)"""
 )
