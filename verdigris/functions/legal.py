@@ -153,3 +153,46 @@ def article_references(text: Column) -> Column:
     """Articles that a text names, in a common form, each once, in order."""
     found = F.regexp_extract_all(normalize(text), F.lit(r"\b(?:art(?:igo|\.)?) ?([0-9]+(?:-[a-z])?)"), F.lit(1))
     return F.array_distinct(found)
+
+
+#: How a text names articles, paragraphs, items and letters, in common form; levels from the widest to the narrowest.
+PROVISIONS = {
+    "art. ": r"\bart(?:igos?|s?\.)? ?([0-9]{1,4})[oa]?((?:-[a-z])?)\b",
+    "§ ": r"§{1,2} ?([0-9]{1,3})o?\b|\bparagrafo ([0-9]{1,3})o?\b|\bparagrafo (unico)\b",
+    "inciso ": r"\bincisos? ([ivxlc]+)\b|(?<=[0-9a-z], )([ivxlc]+)(?=,|;|\.| d[oa]s? |\)|$)",
+    "alínea ": r"\balineas? [\"'“”]?([a-z])(?![a-z])",
+}
+
+
+def provision_references(text: Column) -> Column:
+    """The provisions that a text names as paths (``art. 5, § 2, inciso iii, alínea a``), each once, in order: one fold over the text's tokens.
+
+    A token belongs to the wider ones before it: a paragraph to the article named last, and so on; a wider or equal token begins another path.
+    So ``art. 5, incisos I e art. 6, § 1`` names three levels of two articles. A text without any has an empty array.
+    """
+    plain = normalize(F.coalesce(text, F.lit("")))
+    tokens = F.regexp_extract_all(plain, F.lit("|".join(f"(?:{p})" for p in PROVISIONS.values())), F.lit(0))
+    names = list(PROVISIONS)
+
+    def level_of(token: Column) -> Column:
+        kinds = (r"^art", r"^(?:§|paragrafo)", r"^(?:inciso|[ivxlc]+$)")
+        return F.when(F.rlike(token, F.lit(kinds[0])), 0).when(F.rlike(token, F.lit(kinds[1])), 1).when(F.rlike(token, F.lit(kinds[2])), 2).otherwise(3)
+
+    def value_of(token: Column) -> Column:
+        number = F.regexp_replace(token, r"^(?:art(?:igos?|s?\.)? ?|§{1,2} ?|paragrafo |incisos? |alineas? [\"'“”]?)", "")
+        return F.regexp_replace(number, r"^([0-9]+)[oa]?", "$1")
+
+    def path_of(held: Column) -> Column:
+        return F.array_join(F.filter(F.transform(held, lambda v, i: F.when(v != "", F.concat(F.get(F.array(*[F.lit(n) for n in names]), i), v))), lambda x: x.isNotNull()), ", ")
+
+    none = F.array(*[F.lit("") for _ in names])
+    start = F.struct(none.alias("held"), F.lit(-1).alias("last"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, token: Column) -> Column:
+        level = level_of(token)
+        ends = (acc["last"] >= 0) & (level <= acc["last"])
+        held = F.transform(acc["held"], lambda v, i: F.when(i < level, v).when(i == level, value_of(token)).otherwise(""))
+        out = F.when(ends, F.concat(acc["out"], F.array(path_of(acc["held"])))).otherwise(acc["out"])
+        return F.struct(held.alias("held"), level.alias("last"), out.alias("out"))
+
+    return F.array_distinct(F.aggregate(tokens, start, step, lambda acc: F.when(acc["last"] >= 0, F.concat(acc["out"], F.array(path_of(acc["held"])))).otherwise(acc["out"])))
