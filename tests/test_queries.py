@@ -40,3 +40,14 @@ def test_plans_push_down_and_stay_in_the_jvm(spark, data):
     for name in ("bm25_topk", "boolean_and", "phrase_search", "status_in_period", "name_match_score"):
         text = catalogue.QUERIES[name](spark, str(data))._jdf.queryExecution().toString()
         assert "Python" not in text and "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_reranking_brings_texts_to_sixty_rows(spark, data):
+    from verdigris import catalogue
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.QUERIES["rerank_local"](spark, str(data))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan  # neither texts nor vectors are shuffled

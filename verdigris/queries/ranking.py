@@ -183,8 +183,10 @@ def multi_base_rrf(table, spark):
 )
 def rerank_local(table, spark):
     """Sixty candidates ranked anew by vector, words and their score."""
-    docs = table("documents").select("doc_id", "text").join(table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    rows = best_one(table, 60).select("doc_id", "score").join(docs, "doc_id")
+    # Sixty rows: neither texts nor vectors are shuffled to meet them.
+    few = best_one(table, 60).select("doc_id", "score")
+    docs = table("documents").select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    rows = table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(F.broadcast(docs), "doc_id")
     return R.rerank_local(rows, QUESTION, _asked(table), 20, "doc_id", "text", "embedding")
 
 
