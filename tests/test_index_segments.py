@@ -121,3 +121,19 @@ def test_streams_feed_the_index(spark, tmp_path):
     run()
     assert sorted(map(tuple, index.open().terms.select("token", "df").collect())) == [("a", 1), ("b", 1)]
     assert index.open().postings.agg(F.count("id")).first()[0] == 2
+
+
+def test_the_first_update_joins_no_texts(spark, tmp_path, monkeypatch):
+    plans, index = [], SegmentedIndex(spark, str(tmp_path / "index"))
+    written = index._tokenised
+    monkeypatch.setattr(index, "_tokenised", lambda folder, texts: (plans.append(texts._jdf.queryExecution().executedPlan().toString()), written(folder, texts))[1])
+    rows = spark.createDataFrame([(i, f"ore {i}") for i in range(20)], SCHEMA)
+    index.update(rows, "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index.update(rows.where("id < 15").withColumn("text", F.when(F.col("id") == 3, "hill").otherwise(F.col("text"))), "id")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" not in plans[0]
+    assert "SortMergeJoin" not in plans[1] and "ShuffledHashJoin" in plans[1]  # no text is sorted
+    assert index.open().totals.first().n == 15

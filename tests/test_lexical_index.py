@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.operators import lexical, ranking
-from verdigris.operators.lexical_index import build_index, index_for, input_version, open_index
+from verdigris.operators.lexical_index import build_index, index_for, input_version, open_index, own_words, postings_of
 from verdigris.plans.boolean_query import compile_query, matches_nothing_held, words_in
 
 TEXTS = [
@@ -59,6 +59,17 @@ def test_searches_read_the_index_alone(spark, texts, index, tmp_path):
     assert index_for(spark.read.parquet(other).limit(0).where("false"), "doc_id").totals.first().n == 0
 
 
+def test_a_build_shuffles_words_of_texts_not_places(spark, texts, tmp_path):
+    own_words(texts.select(F.col("doc_id").alias("id"), "text")).write.parquet(str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words"))
+    rows = postings_of(words)
+    want = lexical.postings(texts, "doc_id").select("token", F.col("doc_id").alias("id"), "positions", "tf").collect()
+    assert sorted(map(tuple, rows.select("token", "id", "positions", "tf").collect())) == sorted(map(tuple, want))
+    assert words.count() == len(TEXTS)  # texts without words are there as well
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "collect_list" not in plan  # nothing is brought together after the shuffle
+
+
 def test_words_and_empty_matches():
     assert words_in('a AND "b c" NOT d near/3 e') == ["a", "b", "c", "d", "e"]
     assert matches_nothing_held("NOT a") and not matches_nothing_held("a NOT b") and not matches_nothing_held("")

@@ -7,11 +7,10 @@ import uuid
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.operators.lexical import with_tokens
-from verdigris.operators.lexical_index import ROW_GROUP, LexicalIndex
+from verdigris.operators.lexical_index import ROW_GROUP, LexicalIndex, in_order, own_words, postings_of
 
 #: Segments that an index has at most before the smaller ones are merged.
 MOST = 8
@@ -34,6 +33,10 @@ class Version:
     batches: tuple[tuple[str, int], ...] = ()
 
 
+def _digest(text_col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+
+
 class Folder:
     """A folder that all tasks share, through Hadoop's file systems."""
 
@@ -121,37 +124,25 @@ class SegmentedIndex:
     def _write_segment(self, folder: str, forward: DataFrame, postings: DataFrame) -> int:
         path = f"{self.folder.path}/{folder}"
         forward.write.parquet(f"{path}/forward")
-        postings.sortWithinPartitions("token", "id").write.option("parquet.block.size", 8 * ROW_GROUP).parquet(f"{path}/postings")
+        postings.write.option("parquet.block.size", 8 * ROW_GROUP).parquet(f"{path}/postings")
         words = self._table(folder, "forward").select(F.explode("words").alias("w"))
         terms = words.groupBy("w.token").agg(F.count(F.lit(1)).alias("df"), F.sum("w.tf").cast("long").alias("tf"))
         terms.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/terms")
         return self._table(folder, "forward").count()
 
     def _tokenised(self, folder: str, texts: DataFrame) -> int:
-        """Write the segment of ``id, digest, text``: each text is tokenised once and written as its words in order, then turned into postings."""
-        path = f"{self.folder.path}/{folder}/tokens"
-        with_tokens(texts, "text").select("id", "digest", "tokens").write.parquet(path)
+        """Write the segment of ``id, digest, text``: each text is tokenised once and written as its words with their positions, then turned into postings."""
+        path = f"{self.folder.path}/{folder}/words"
+        own_words(texts.select("id", "digest", "text")).write.parquet(path)
         rows = self.spark.read.parquet(path)
-        word = F.posexplode("tokens").alias("position", "token")
-        dealt = rows.select("id", F.size("tokens").alias("length"), word).repartitionByRange("token", "id")
-        postings = dealt.groupBy("token", "id").agg(F.sort_array(F.collect_list("position")).alias("positions"), F.first("length").alias("length"))
-        postings = postings.select("token", "id", "positions", F.size("positions").alias("tf"), "length")
-        # A text's own words: sorted, so that equal ones stand together; a word's count is the gap between where runs begin.
-        order = F.array_sort("tokens")
-        starts = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
-        ends = F.concat(F.slice("_b", 2, F.size("_b")), F.array(F.size("_s")))
-        words = F.zip_with("_b", ends, lambda b, e: F.struct(F.get("_s", b).alias("token"), (e - b).alias("tf")))
-        empty = F.array().cast("array<struct<token:string,tf:int>>")
-        forward = rows.select("id", "digest", F.size("tokens").alias("length"), order.alias("_s")).withColumn("_b", F.when(F.size("_s") > 0, starts))
-        forward = forward.select("id", "digest", "length", F.coalesce(F.when(F.size("_s") > 0, words), empty).alias("words"))
-        n = self._write_segment(folder, forward, postings)
-        self.folder.delete(f"{folder}/tokens")
+        counted = F.transform("words", lambda w: F.struct(w["token"].alias("token"), F.size(w["positions"]).alias("tf")))
+        n = self._write_segment(folder, rows.select("id", "digest", "length", counted.alias("words")), postings_of(rows))
+        self.folder.delete(f"{folder}/words")
         return n
 
     def changes(self, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """``id, digest, had`` of what a whole table of texts has new (``had`` is null), changed, or no longer (``digest`` is null)."""
-        digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("digest")
-        now = texts.select(F.col(id_col).alias("id"), digest)
+        now = texts.select(F.col(id_col).alias("id"), _digest(text_col).alias("digest"))
         v = self.version()
         if not v.segments:
             return now.withColumn("had", F.lit(None).cast("string"))
@@ -165,7 +156,12 @@ class SegmentedIndex:
         found = self._table(folder, "rows")
         new = found.where("digest IS NOT NULL").select(F.col("id").alias("_id"), "digest")
         # Texts are met again by id and digest alone: the rows that stay as they are go no further than this join.
-        rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(new, F.col("id") == F.col("_id")).drop("_id")
+        rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        if self.version().segments:
+            # The narrow side is hashed, so that no text is sorted.
+            rows = rows.join(new.hint("shuffle_hash"), F.col("id") == F.col("_id")).drop("_id")
+        else:
+            rows = rows.withColumn("digest", _digest("text"))  # all are new
         kinds = found.selectExpr("count_if(had IS NULL) AS added", "count_if(had IS NOT NULL AND digest IS NOT NULL) AS changed", "count_if(digest IS NULL) AS removed").first().asDict()
         self._commit(rows, found.where("had IS NOT NULL").select("id"), kinds["added"] + kinds["changed"], kinds["changed"] + kinds["removed"])
         self.folder.delete(folder)
@@ -180,8 +176,7 @@ class SegmentedIndex:
         v = self.version()
         if stream and batch <= dict(v.batches).get(stream, -1):
             return False
-        digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("digest")
-        rows = upserts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), digest)
+        rows = upserts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _digest(text_col).alias("digest"))
         ids = rows.select("id") if deletes is None else rows.select("id").unionByName(deletes.select(F.col(id_col).alias("id"))).distinct()
         self._commit(rows, ids if v.segments else ids.limit(0), rows.count(), ids.count() if v.segments else 0, {stream: batch} if stream else {})
         return True
@@ -214,7 +209,8 @@ class SegmentedIndex:
             return
         number, folder = v.number + 1, f"segment-{v.number + 1}-{uuid.uuid4().hex}"
         some = replace(v, segments=tuple(small))
-        postings = self._live(some, "postings", ["token", "id", "positions", "tf", "length"]).drop("segment").repartitionByRange("token", "id")
+        postings = self._live(some, "postings", ["token", "id", "positions", "tf", "length"]).drop("segment")
+        postings = in_order(postings, postings.select("id").count())
         rows = self._write_segment(folder, self._live(some, "forward", ["id", "digest", "length", "words"]).drop("segment"), postings)
         segments = tuple(s for s in v.segments if s in large) + ((number, folder, rows),)
         # A grave is of use as long as an older segment stands.
