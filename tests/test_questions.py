@@ -162,3 +162,14 @@ def test_ladder_of_relations(spark):
     got = classification.classify(frame).collect()
     assert [(r.relation, r.confidence) for r in got] == [(r.want, r.sure) for r in got]
     assert got[0].area == "minerario" and got[1].family == "institucional_anm_dnpm" and got[4].family == "mineracao_geral"
+
+
+def test_heads_are_read_once(spark):
+    """The best chunk and the number of chunks come from one aggregation; a text without the words goes no further."""
+    rows = spark.createDataFrame([(1, 7, "Revogada  pela\tPortaria nº 3/2001"), (2, 7, "Esta norma, revogada pela Portaria nº 12/2001. Art. 1"), (3, 7, "Norma em vigor."), (4, None, "Revogada pela Lei 1/2000"), (5, 8, None)], "c int, d int, t string")
+    read = rows.select("c", "d", V.head_revocation(F.col("t")).alias("h"))
+    chunks = read.select("c", "d", F.lower("h.said").alias("said"), "h.mode", "h.kind", "h.number", "h.year", "h.date", F.lit(1).alias("confidence"))
+    best = V.best_rows(chunks, "d", "c")
+    assert [(r.d, r.c, r.said, r["mode"], r.number, r.year, r.chunks, r.quality) for r in best.collect()] == [(7, 1, "portaria nº 3/2001", "line", "3", 2001, 2, "alta")]
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan

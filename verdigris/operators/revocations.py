@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,11 @@ HIGH, MIDDLE, LOW = "alta", "media", "baixa"
 NAMED = 8
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
@@ -38,14 +44,17 @@ def stamp_date(text: Column) -> Column:
 
 def reference_parts(said: Column) -> Column:
     """``kind, number, year, date`` of an act as a text names it; null where it says nothing of them."""
-    text = normalize(said)
-    kind = F.regexp_extract(text, rf"\b({'|'.join(KINDS)})\b", 1)
     both = r"\b([0-9]{1,6}) ?/ ?((?:19|20)[0-9]{2})\b"
     dated = rf"\b([0-9]{{1,2}}o? de (?:{'|'.join(MONTHS)}) de [0-9]{{4}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}})\b"
-    number = F.coalesce(_filled(F.regexp_extract(text, both, 1)), _filled(F.regexp_extract(text, r"\b(?:n[o.]? ?)?([0-9]{1,6})\b", 1)))
-    date = day_month_year(_filled(F.regexp_extract(text, dated, 1)))
-    year = F.coalesce(_filled(F.regexp_extract(text, both, 2)), _filled(F.regexp_extract(text, r"\b((?:19|20)[0-9]{2})\b", 1))).cast("int")
-    return F.struct(_filled(kind).alias("kind"), number.alias("number"), F.coalesce(year, F.year(date)).alias("year"), date.alias("date"))
+
+    def parts(text: Column) -> Column:
+        kind = F.regexp_extract(text, rf"\b({'|'.join(KINDS)})\b", 1)
+        number = F.coalesce(_filled(F.regexp_extract(text, both, 1)), _filled(F.regexp_extract(text, r"\b(?:n[o.]? ?)?([0-9]{1,6})\b", 1)))
+        year = F.coalesce(_filled(F.regexp_extract(text, both, 2)), _filled(F.regexp_extract(text, r"\b((?:19|20)[0-9]{2})\b", 1))).cast("int")
+        dates = once(_filled(F.regexp_extract(text, dated, 1)), day_month_year)
+        return once(dates, lambda date: F.struct(_filled(kind).alias("kind"), number.alias("number"), F.coalesce(year, F.year(date)).alias("year"), date.alias("date")))
+
+    return once(normalize(said), parts)
 
 
 def _filled(value: Column) -> Column:
@@ -61,14 +70,18 @@ def head_revocation(text: Column) -> Column:
     whole = r"(?i)^(parcialmente )?revogad[ao]s? pela (.+)$"
     inside = r"(?i)\b(parcialmente )?revogad[ao]s? pela ([^.\n]{6,220})"
     line = F.get(F.filter(lines, lambda x: F.rlike(x, F.lit(whole))), F.lit(0))
-    head = squeezed(F.substring(text, 1, HEAD_CHARS))
-    clause = F.when(F.rlike(head, F.lit(inside)), head)
-    mode = F.when(line.isNotNull(), "line").when(clause.isNotNull(), "inline")
-    part = lambda k: F.when(line.isNotNull(), F.regexp_extract(line, whole, k)).otherwise(F.regexp_extract(clause, inside, k))
-    said = F.trim(part(2))
-    found = reference_parts(said)
-    status = F.when(part(1) != "", "parcialmente_revogado").otherwise("revogado")
-    return F.when(mode.isNotNull(), F.struct(status.alias("status"), said.alias("said"), mode.alias("mode"), *[found[c].alias(c) for c in ("kind", "number", "year", "date")]))
+    clause = once(squeezed(F.substring(text, 1, HEAD_CHARS)), lambda head: F.when(F.rlike(head, F.lit(inside)), head))
+
+    def stated(line: Column, clause: Column) -> Column:
+        mode = F.when(line.isNotNull(), "line").when(clause.isNotNull(), "inline")
+        part = lambda k: F.when(line.isNotNull(), F.regexp_extract(line, whole, k)).otherwise(F.regexp_extract(clause, inside, k))
+        status = F.when(part(1) != "", "parcialmente_revogado").otherwise("revogado")
+        fields = lambda said, found: F.struct(status.alias("status"), said.alias("said"), mode.alias("mode"), *[found[c].alias(c) for c in ("kind", "number", "year", "date")])
+        return F.when(mode.isNotNull(), once(F.trim(part(2)), lambda said: once(reference_parts(said), lambda found: fields(said, found))))
+
+    # What neither can match without: most texts go no further.
+    told = F.rlike(text, F.lit(r"(?i)revogad[ao]s?\s+pela\s"))
+    return F.when(told, once(F.struct(line.alias("line"), clause.alias("clause")), lambda x: stated(x["line"], x["clause"])))
 
 
 def revoker_score(said: Column, kind: Column, number: Column, year: Column, name: Column, title: Column, known: Column) -> Column:
@@ -109,10 +122,11 @@ def best_rows(rows: DataFrame, doc: str, order: str) -> DataFrame:
     named = rows.where(F.coalesce(F.trim("said"), F.lit("")) != "")
     complete = F.col("kind").isNotNull() & F.col("number").isNotNull() & F.col("year").isNotNull()
     mode = F.when(F.col("mode") == "line", 3).when(F.col("mode") == "inline", 1).otherwise(2)
-    ranks = [F.desc(mode), F.desc(complete), F.desc(F.col("date").isNotNull()), F.desc(F.col("confidence").isNotNull()), F.length("said"), F.col(order)]
-    counts = named.groupBy(doc).agg(F.count(F.lit(1)).alias("chunks"))
-    best = first_of_each(named.withColumn("complete", complete), [doc], ranks).withColumn("quality", signal_quality(F.col("mode"), F.col("complete")))
-    return best.join(counts, doc)
+    # The least by these; a null order comes first. One aggregation has the best and the number, so what heads say is read once.
+    ranks = F.struct(-mode, ~complete, F.col("date").isNull(), F.col("confidence").isNull(), F.length("said"), F.col(order))
+    whole = F.struct(*rows.columns, complete.alias("complete"))
+    best = named.where(F.col(doc).isNotNull()).groupBy(F.col(doc).alias("_doc")).agg(F.min_by(whole, ranks).alias("_best"), F.count(F.lit(1)).alias("chunks"))
+    return best.select("_best.*", "chunks").withColumn("quality", signal_quality(F.col("mode"), F.col("complete")))
 
 
 def distinct_revokers(rows: DataFrame, stores: list[str]) -> DataFrame:
