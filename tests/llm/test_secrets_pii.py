@@ -235,3 +235,28 @@ def test_empty_tables(documents):
     assert secret_report(documents([])).count() == 0
     assert pii_report(documents([])).count() == 0
     assert {r.spans for r in pii_report(documents([None, ""])).collect()} == {""}
+
+
+def test_all_labelled_candidates_take_part(spark, monkeypatch):
+    """However many there are: half of them fit the trees, none is left out by a bound."""
+    from pyspark.sql import functions as F
+
+    from verdigris.llm import pii
+
+    class Fitted(Exception):
+        pass
+
+    n, fitted = 50_000, []
+
+    def fit(self, rows):
+        fitted.append(rows.where("label = 1").count())
+        raise Fitted
+
+    monkeypatch.setattr(pii.GBTClassifier, "fit", fit)
+    found = spark.range(n).select(
+        F.col("id").alias("_row"), F.col("id").alias("doc_id"), F.lit("email_like").alias("kind"), F.lit("jo@example.com").alias("match"), F.lit(1).alias("start"), F.lit(15).alias("end"),
+        F.lit("mail ").alias("before"), F.lit(" now").alias("after"), F.lit(False).alias("base"), F.lit(True).alias("known"), F.lit(1.0).alias("label"),
+    )
+    with pytest.raises(Fitted):
+        pii.select_spans(found)
+    assert abs(fitted[0] - n / 2) < 1_000
