@@ -78,3 +78,21 @@ def test_stages_keep_the_columns(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(40).withColumnRenamed("n_chars", "_hash")
     for name, function in corpus_pipeline.STAGES[1:4]:
         assert function(spark, docs, str(data)).columns == docs.columns, name
+
+
+def test_a_worker_keeps_tables_of_one_operator():
+    """Workers serve all stages: what one stage keeps for its next task goes when another stage's work comes."""
+    import public_tokenizers
+
+    from verdigris.llm import bpe, near_dedup
+    from verdigris.llm.language_id import CharModels, _Scorer
+
+    class Shared:
+        value = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+    near_dedup.Sampler(3.0)
+    assert near_dedup._parameters.cache_info().currsize == 1
+    kept = bpe._bpe(Shared, public_tokenizers.PATTERN)
+    assert near_dedup._parameters.cache_info().currsize == 0 and bpe._bpe(Shared, public_tokenizers.PATTERN) is kept
+    _Scorer(CharModels([], []))
+    assert not bpe._built

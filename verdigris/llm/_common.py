@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from verdigris.session import drop_staged, shared_dir  # noqa: F401  (the operat
 from verdigris.session import staged as stage  # noqa: F401
 
 #: Bytes of an Arrow batch that goes to a Python worker: rows are long texts, and several copies of a batch are held at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
@@ -107,19 +108,41 @@ def text_slices(column, chars: int = 2_000_000):
 
 
 def tidied(run):
-    """``run`` for ``mapInArrow``: at its end the worker, which stays for other tasks, gives back memory that Arrow holds unused."""
+    """``run`` for ``mapInArrow``: at its end the worker, which stays for other tasks, gives back memory that it holds unused."""
 
     def batches_of(batches):
-        import pyarrow as pa
-
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return batches_of
 
 
+def give_back() -> None:
+    """Return to the system what the collector, Arrow and the C library hold unused; elsewhere than on glibc the last of them keeps it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(operator: str, clear: Callable[[], None]) -> None:
+    """An operator is about to keep tables in this process (``clear`` drops them): those that others kept for their own tasks go."""
+    for other in [name for name in _held if name != operator]:
+        _held.pop(other)()
+    _held[operator] = clear
+
+
 def mix64(x):
     """Spread the bits of an array of uint64 (the finaliser of splitmix64)."""
     import numpy as np

@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from verdigris.llm._common import bound_batches, tidied
+from verdigris.llm._common import bound_batches, hold, tidied
 
-#: Entries that each of a memo's two generations holds: a bound of a worker's memory.
-MEMO = 250_000
+#: Entries that each of a memo's two generations holds: a bound of a worker's memory, about 80 MB for both.
+MEMO = 180_000
 LONG_PIECE = 64  # longer pieces are not remembered
 #: Unicode's white space. The split pattern never joins a character with white space after it, so a text
 #: may be cut wherever white space begins and the parts encoded apart.
@@ -241,6 +241,7 @@ _built: dict[tuple, Bpe] = {}
 def _bpe(shared, pattern: str) -> Bpe:
     """One table for each worker process and rank table."""
     key = (len(shared.value), pattern, hash(frozenset(shared.value.items())))
+    hold("bpe", _built.clear)
     if key not in _built:
         _built.clear()
         _built[key] = Bpe(shared.value, pattern)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm._common import bound_batches, mix64, stage, text_slices, tidied
+from verdigris.llm._common import bound_batches, hold, mix64, stage, text_slices, tidied
 
 ORDER = 5
 #: Documents of each language, as expected, that the models are fitted on; further ones of the same number calibrate.
@@ -339,6 +339,7 @@ class _Scorer:
 
     def __init__(self, models: CharModels):
         self.models = models
+        hold("language", lambda: None)  # nothing is kept from task to task
         self.start()
 
     def start(self) -> None:

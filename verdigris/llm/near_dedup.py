@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm._common import bound_batches, drop_staged, frequent_first, frequent_left, frequent_values, mix64, packed, stage, text_slices, tidied
+from verdigris.llm._common import bound_batches, drop_staged, frequent_first, frequent_left, frequent_values, hold, mix64, packed, stage, text_slices, tidied
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -258,6 +258,7 @@ class Sampler:
 
     def __init__(self, usual: float):
         self.usual = usual
+        hold("near", _parameters.cache_clear)
         r, c, b = _parameters()
         self.table = _sortable(self._log_a(r, c, b, np.log(usual)))
 
