@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 
 from verdigris.llm._common import bound_batches, hold, tidied
 
-#: Entries that each of a memo's two generations holds: a bound of a worker's memory, about 80 MB for both.
-MEMO = 180_000
+#: Entries that each of a memo's two generations holds: a bound of a worker's memory.
+MEMO = 250_000
 LONG_PIECE = 64  # longer pieces are not remembered
 #: Unicode's white space. The split pattern never joins a character with white space after it, so a text
 #: may be cut wherever white space begins and the parts encoded apart.
