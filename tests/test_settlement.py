@@ -102,3 +102,14 @@ def test_guards_of_partial_and_inline_revocations(spark):
     frame = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, said string, mode string, partial boolean, status string, kind string, some boolean")
     for r in frame.select("i", S.believed_revocation(*[F.col(c) for c in ("said", "mode", "partial", "status", "kind", "some")]).alias("b")).collect():
         assert (r.b and tuple(r.b)) == cases[r.i][1], cases[r.i]
+
+
+def test_acts_without_a_revoker_go_through_no_join(spark, monkeypatch):
+    plans, written = [], S.staged
+    monkeypatch.setattr(S, "staged", lambda df, name: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), written(df, name))[1])
+    acts = [(i, 1 if i % 10 == 3 else None, None, day(1), day(5)) for i in range(50)]
+    got = {r.key: r.state for r in S.settle_ends(spark.createDataFrame(acts, ACTS), "key", "by", "published", "start", "end").collect()}
+    assert got == {i: "settled" if i % 10 == 3 else "stated" for i in range(50)}
+    first = next(p for name, p in plans if name == "settled")
+    join = first[first.index("LeftAnti") :]
+    assert "Filter isnull(by" not in join and "Filter isnotnull(by" in join and "Filter isnull(by" in first  # nulls of a join are one task's

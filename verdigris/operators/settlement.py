@@ -85,7 +85,9 @@ def settle_ends(acts: DataFrame, key: str, by: str, published: str, start: str,
     rows = staged(acts.select(F.col(key).alias("key"), F.col(by).alias("by"), F.col(published).alias("published"), F.col(start).alias("start"), F.col(end).alias("end")), "acts")
     known = rows.select(F.col("key").alias("by"))
     empty = F.lit(None).cast(rows.schema["key"].dataType)
-    free = rows.join(known, "by", "left_anti").select("key", "start", F.col("end").alias("settled_end"), empty.alias("settled_by"), empty.alias("start_by"), F.lit("stated").alias("state"))
+    # Acts without a revoker, most of them, meet none: in a join their nulls would all go to one task.
+    alone = rows.where("by IS NULL").unionByName(rows.where("by IS NOT NULL").join(known, "by", "left_anti").select(*rows.columns))
+    free = alone.select("key", "start", F.col("end").alias("settled_end"), empty.alias("settled_by"), empty.alias("start_by"), F.lit("stated").alias("state"))
     free = free.withColumn("start_by", F.lit(None).cast(rows.schema["start"].dataType))
     last = staged(free, "settled")
     done, left, own = [last], staged(rows.join(known, "by", "left_semi"), "unsettled"), [rows]
