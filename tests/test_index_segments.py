@@ -137,3 +137,12 @@ def test_the_first_update_joins_no_texts(spark, tmp_path, monkeypatch):
     assert "Join" not in plans[0]
     assert "SortMergeJoin" not in plans[1] and "ShuffledHashJoin" in plans[1]  # no text is sorted
     assert index.open().totals.first().n == 15
+
+
+def test_terms_are_summed_from_ordered_postings(spark, tmp_path, monkeypatch):
+    index, read = SegmentedIndex(spark, str(tmp_path / "index")), []
+    table = index._table
+    monkeypatch.setattr(index, "_table", lambda folder, name: (read.append(name), table(folder, name))[1])
+    index.update(spark.createDataFrame([(1, "ore of ore"), (2, "of")], SCHEMA), "id")
+    assert "postings" in read
+    assert sorted(map(tuple, index.open().terms.select("token", "df", "tf").collect())) == [("of", 2, 2), ("ore", 1, 2)]

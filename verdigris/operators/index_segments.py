@@ -125,8 +125,8 @@ class SegmentedIndex:
         path = f"{self.folder.path}/{folder}"
         forward.write.parquet(f"{path}/forward")
         postings.write.option("parquet.block.size", 8 * ROW_GROUP).parquet(f"{path}/postings")
-        words = self._table(folder, "forward").select(F.explode("words").alias("w"))
-        terms = words.groupBy("w.token").agg(F.count(F.lit(1)).alias("df"), F.sum("w.tf").cast("long").alias("tf"))
+        # Postings lie in the order of tokens, so a task sends on few rows for each; the texts' own words don't.
+        terms = self._table(folder, "postings").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("tf"))
         terms.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/terms")
         return self._table(folder, "forward").count()
 
