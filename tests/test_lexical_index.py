@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.operators import lexical, ranking
-from verdigris.operators.lexical_index import build_index, index_for, input_version, open_index, own_words, postings_of
+from verdigris.functions.text import spaced_tokens
+from verdigris.operators import lexical, lexical_index, ranking
+from verdigris.operators.lexical_index import build_index, index_for, input_version, open_index, own_words, postings_of, postings_of_texts
 from verdigris.plans.boolean_query import compile_query, matches_nothing_held, words_in
 
 TEXTS = [
@@ -70,6 +71,35 @@ def test_a_build_shuffles_words_of_texts_not_places(spark, texts, tmp_path):
     assert "rangepartitioning" in plan and "collect_list" not in plan  # nothing is brought together after the shuffle
 
 
+@pytest.mark.parametrize("block, batch", [(2, 7), (3, 10_000), (128, 1)])
+def test_a_build_is_one_pass_without_a_sample(spark, texts, monkeypatch, block, batch):
+    monkeypatch.setattr(lexical_index, "BLOCK", block)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        rows = postings_of_texts(texts.select(F.col("doc_id").alias("id"), "text"))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "REBALANCE" in plan and "rangepartitioning" not in plan  # a range's bounds would take a pass of their own
+        got = rows.collect()
+        parts = rows.select("token", F.spark_partition_id().alias("p")).where("token IS NOT NULL").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = lexical.postings(texts, "doc_id").select("token", F.col("doc_id").alias("id"), "positions", "tf").collect()
+    assert sorted((r.token, r.id, r.positions, r.tf) for r in got if r.token is not None) == sorted(map(tuple, want))
+    lengths = {r.doc_id: len(r.tokens) for r in lexical.with_tokens(texts).collect()}
+    assert {r.id: r.length for r in got if r.token is None} == lengths and sum(r.token is None for r in got) == len(TEXTS)
+    assert all(r.length == lengths[r.id] for r in got)
+    for p in {r.p for r in parts}:
+        held = [r.token.encode() for r in parts if r.p == p]
+        assert held == sorted(held)
+
+
+def test_spaced_tokens_are_the_tokens(spark):
+    odd = ["", None, " ", "  a  b ", "A_b-c\td\ne", "\u0130X \u01c5 \u00df", "x\u0301y \u00a0z\u200b9", "\u0663\u2167\u00bd \U0001d7d8\U0001f600b", "a\x00b", "...", "\u4e2d\u6587 \ud55c"]
+    rows = spark.createDataFrame([(x,) for x in odd], "text string")
+    for r in lexical.with_tokens(rows).withColumn("spaced", spaced_tokens(F.col("text"))).collect():
+        assert (r.spaced.split(" ") if r.spaced else []) == r.tokens
+
+
 def test_words_and_empty_matches():
     assert words_in('a AND "b c" NOT d near/3 e') == ["a", "b", "c", "d", "e"]
     assert matches_nothing_held("NOT a") and not matches_nothing_held("a NOT b") and not matches_nothing_held("")
